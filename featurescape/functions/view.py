@@ -89,7 +89,7 @@ def jitter(x: Column, y: Column, z: Column | None = None) -> Column:
     z = z if z is not None else F.lit(0.0)
     a, b, c = (_to_int32(col.cast("double") * F.lit(float(m)))
                for col, m in zip((x, y, z), JITTER_MULTIPLIERS))
-    seed = F.bitwiseXOR(F.bitwiseXOR(a, b), c)
+    seed = a.bitwiseXOR(b).bitwiseXOR(c)
     rng = F.sin(seed.cast("double")) * 10000
     return (rng - F.floor(rng)) * 2 - 1
 

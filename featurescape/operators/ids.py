@@ -57,7 +57,7 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     counts = ranged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = _offsets(counts, ["_pid"], "_n", "_off").select("_pid", "_off")
     out = (ranged.join(F.broadcast(offsets), pid == F.col("_pid"))
-                 .withColumn(name, F.col("_off") + F.bitwiseAND(F.col("_mid"), F.lit(_LOW_BITS)))
+                 .withColumn(name, F.col("_off") + F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
                  .drop("_mid", "_pid", "_off"))
     return out
 
