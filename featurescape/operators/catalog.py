@@ -87,7 +87,8 @@ def nested_catalog(cat: DataFrame) -> DataFrame:
                         F.map_from_entries(F.filter(
                             F.collect_list(F.struct(F.col("subtype"), F.col("path"))),
                             lambda e: e["subtype"].isNotNull())).alias("position")))
-    return (per_time.groupBy("dataset", "source")
-                    .agg(F.sort_array(F.collect_list(F.struct(
-                        F.col("time"), F.struct("feature", "meta", "schema", "position").alias("algorithms"))))
-                        .alias("items")))
+    entries = F.collect_list(F.struct(
+        F.col("time"), F.struct("feature", "meta", "schema", "position").alias("algorithms")))
+    by_time = F.array_sort(entries, lambda a, b: F.when(a["time"] < b["time"], -1)
+                           .when(a["time"] > b["time"], 1).otherwise(0))
+    return per_time.groupBy("dataset", "source").agg(by_time.alias("items"))

@@ -89,8 +89,9 @@ class EncodeModel:
     broadcast_rows: int = BROADCAST_ROW_LIMIT
     passthrough: list[str] = field(default_factory=list)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """ID + one normalised double column per feature (same names)."""
+    def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """ID + one normalised double column per feature (same names), plus
+        the fitted passthrough columns and ``keep``."""
         out = df
         coded: dict[str, Column] = {}
         for spec in self.features:
@@ -106,9 +107,11 @@ class EncodeModel:
                 out = out.join(d, fill_text(c) == F.col(key), "left")
                 v = minmax_expr(F.col(code).cast("double"), 0.0, float(max(spec.distinct - 1, 0)))
             coded[spec.name] = threshold_small(v, self.threshold)
-        keep = [F.col(f"`{p}`") for p in self.passthrough if p in df.columns]
+        extra = [p for p in list(self.passthrough) + list(keep) if p in df.columns]
+        extra = [F.col(f"`{p}`").alias(f"_keep_{p}") if p in {s.name for s in self.features} else F.col(f"`{p}`")
+                 for p in dict.fromkeys(extra)]
         return out.select(F.col(f"`{self.id_col}`"),
-                          *[coded[s.name].alias(s.name) for s in self.features], *keep)
+                          *[coded[s.name].alias(s.name) for s in self.features], *extra)
 
     @property
     def labels(self) -> dict[str, str]:
