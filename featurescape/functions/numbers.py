@@ -34,7 +34,7 @@ def to_number(c: Column) -> Column:
     """FE-7: parse like ``pd.to_numeric(errors='coerce')``; null if not a
     number.  Non-string inputs are cast directly."""
     s = c.cast("string")
-    return F.when(is_number_text(s), F.trim(s).cast("double"))
+    return F.when(is_number_text(s), F.trim(s).try_cast("double"))
 
 
 def to_number_or_zero(c: Column) -> Column:
@@ -56,13 +56,13 @@ def py_float_str(c: Column) -> Column:
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     java = x.cast("string")
     mant = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).cast("int")
+    exp = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
     sci = F.concat(mant, F.lit("e"), F.when(exp < 0, F.lit("-")).otherwise(F.lit("+")),
                    F.lpad(F.abs(exp).cast("string"), 2, "0"))
     return (F.when(x.isNull() | F.isnan(x), F.lit("nan"))
              .when(x == float("inf"), F.lit("inf"))
              .when(x == float("-inf"), F.lit("-inf"))
-             .when(x == 0, F.when(F.signum(F.lit(1.0) / x) < 0, F.lit("-0.0")).otherwise(F.lit("0.0")))
+             .when(x == 0, F.when(java.startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
              .when((a >= 1e-4) & (a < 1e16), plain)
              .otherwise(sci))
 

@@ -40,11 +40,14 @@ def _cell_join(a: DataFrame, b: DataFrame):
 
 def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Seeds ``(sid, sord, sx, sy, scx, scy)`` of the greedy pass.
-    ``pts``: ``(id, ord, x, y, cx, cy)``."""
-    undecided = materialize(pts)
-    seeds = None
+    ``pts``: ``(id, ord, x, y, cx, cy)``.
+
+    One checkpoint per round: the undecided items of the round with their
+    new status (``seed``, ``covered`` or still undecided)."""
+    undecided = pts
+    seeds = []
     rounds = 0
-    while not undecided.isEmpty():
+    while True:
         rounds += 1
         if rounds > max_rounds:
             raise RuntimeError(f"ball clustering needed more than {max_rounds} rounds; "
@@ -59,17 +62,27 @@ def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> Dat
                           .where((F.col("ord") < F.col("sord"))
                                  & (F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r)))
                           .select("sid").distinct())
-        new_seeds = materialize(cand.join(blocked, "sid", "left_anti"))
+        new_seeds = cand.join(blocked, "sid", "left_anti")
         seeds_ex = explode_neighbour_cells(new_seeds, "scx", "scy")
         covered = (seeds_ex.join(undecided, _cell_join(seeds_ex, undecided))
                            .where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r))
-                           .select("id").distinct())
-        undecided = materialize(undecided.join(covered, "id", "left_anti"))
-        seeds = new_seeds if seeds is None else seeds.unionByName(new_seeds)
-    if seeds is None:
-        spark = pts.sparkSession
-        return spark.createDataFrame([], "sid string, sord long, sx double, sy double, scx long, scy long")
-    return seeds
+                           .select(F.col("id").alias("_cov")).distinct())
+        step = (undecided.join(covered, F.col("id") == F.col("_cov"), "left")
+                         .join(new_seeds.select(F.col("sid").alias("_seed")), F.col("id") == F.col("_seed"), "left")
+                         .withColumn("status", F.when(F.col("_seed").isNotNull(), F.lit("seed"))
+                                                .when(F.col("_cov").isNotNull(), F.lit("covered")))
+                         .drop("_cov", "_seed"))
+        step = materialize(step)
+        seeds.append(step.where(F.col("status") == "seed").select(
+            F.col("id").alias("sid"), F.col("ord").alias("sord"), F.col("x").alias("sx"),
+            F.col("y").alias("sy"), F.col("cx").alias("scx"), F.col("cy").alias("scy")))
+        undecided = step.where(F.col("status").isNull()).drop("status")
+        if undecided.isEmpty():
+            break
+    out = seeds[0]
+    for more in seeds[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",

@@ -172,19 +172,45 @@ def histogram_edges(lo: float, hi: float) -> tuple[float, float]:
     return lo, hi
 
 
-def bin_expr(v: Column, first: Column, last: Column, bins: int = HISTOGRAM_BINS) -> Column:
-    """Q6: the numpy equal-width bin of ``v`` in [first, last], including
-    its edge corrections (floor of the scaled offset, clamp of the last
-    edge, one step down/up when the computed edge disagrees)."""
+def _edge(k: Column, first: Column, last: Column, bins: int) -> Column:
     step = (last - first) / F.lit(float(bins))
+    return F.when(k == bins, last).otherwise(k.cast("double") * step + first)
+
+
+def _i0(v: Column, first: Column, last: Column, bins: int) -> Column:
+    return F.least(F.floor((v - first) / (last - first) * F.lit(float(bins))).cast("long"),
+                   F.lit(bins - 1).cast("long"))
+
 
-    def edge(k: Column) -> Column:
-        return F.when(k == bins, last).otherwise(k.cast("double") * step + first)
+def _i1(v: Column, i0: Column, first: Column, last: Column, bins: int) -> Column:
+    return F.when(v < _edge(i0, first, last, bins), i0 - 1).otherwise(i0)
 
-    i0 = F.least(F.floor((v - first) / (last - first) * F.lit(float(bins))).cast("long"),
-                 F.lit(bins - 1).cast("long"))
-    i1 = F.when(v < edge(i0), i0 - 1).otherwise(i0)
-    return F.when((v >= edge(i1 + 1)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+
+def _i2(v: Column, i1: Column, first: Column, last: Column, bins: int) -> Column:
+    return F.when((v >= _edge(i1 + 1, first, last, bins)) & (i1 != bins - 1), i1 + 1).otherwise(i1)
+
+
+def bin_expr(v: Column, first: Column, last: Column, bins: int = HISTOGRAM_BINS) -> Column:
+    """Q6: the numpy equal-width bin of ``v`` in [first, last], including
+    its edge corrections (floor of the scaled offset, clamp of the last
+    edge, one step down/up when the computed edge disagrees).  Single
+    expression form; :func:`with_bins` evaluates the steps once each."""
+    i0 = _i0(v, first, last, bins)
+    return _i2(v, _i1(v, i0, first, last, bins), first, last, bins)
+
+
+def with_bins(num: DataFrame, edges: list[tuple[str, float, float]], bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """``b<fid>`` bin columns for ``f<fid>`` value columns.  The three steps
+    of :func:`bin_expr` are separate projections so that each intermediate
+    is computed once per row (the inlined form repeats the first step ~20
+    times and outgrows whole-stage codegen)."""
+    vals = [F.col(f"f{fid}") for fid, _, _ in edges]
+    s1 = num.select(*vals, *[_i0(F.col(f"f{fid}"), F.lit(a), F.lit(b), bins).alias(f"_a{fid}")
+                             for fid, a, b in edges])
+    s2 = s1.select(*vals, *[_i1(F.col(f"f{fid}"), F.col(f"_a{fid}"), F.lit(a), F.lit(b), bins).alias(f"_b{fid}")
+                            for fid, a, b in edges])
+    return s2.select(*[_i2(F.col(f"f{fid}"), F.col(f"_b{fid}"), F.lit(a), F.lit(b), bins).alias(f"b{fid}")
+                       for fid, a, b in edges])
 
 
 def bin_width(b: Column, first: Column, last: Column, bins: int = HISTOGRAM_BINS) -> Column:
@@ -204,20 +230,18 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGRA
     stats = stats or basic_stats(num, cols)
     spark = df.sparkSession
     edges = []
-    parts = []
     for s in stats:
         if s.n == 0:
             continue
         first, last = histogram_edges(s.lo, s.hi)
         edges.append((s.fid, s.name, first, last, s.n))
-        b = bin_expr(F.col(f"f{s.fid}"), F.lit(first), F.lit(last), bins)
-        parts.append(F.struct(F.lit(s.fid).alias("feature_id"), b.alias("bin")))
-    if not parts:
+    if not edges:
         return spark.createDataFrame([], "feature_id string, name string, bin int, count bigint, "
                                          "density double, relative double")
-    counts = (num.select(F.explode(F.array(*parts)).alias("p"))
-                 .groupBy(F.col("p.feature_id").alias("feature_id"), F.col("p.bin").alias("bin"))
-                 .agg(F.count(F.lit(1)).alias("count")))
+    binned = with_bins(num, [(fid, a, b) for fid, _, a, b, _ in edges], bins)
+    binned = binned.toDF(*[fid for fid, *_ in edges])
+    counts = (binned.unpivot([], [fid for fid, *_ in edges], "feature_id", "bin")
+                    .groupBy("feature_id", "bin").agg(F.count(F.lit(1)).alias("count")))
     # features x bins grid: bounded by the schema, never by the data
     grid = (spark.createDataFrame(edges, "feature_id string, name string, first double, last double, n bigint")
                  .withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")))))

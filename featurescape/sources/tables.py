@@ -114,7 +114,7 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
             cols.append(v)
             continue
         if t == "bigint":
-            cols.append(F.trim(v).cast("bigint").alias(c))
+            cols.append(F.trim(v).try_cast("bigint").alias(c))
         elif t == "double":
             cols.append(to_number(v).alias(c))
         elif t == "boolean":
