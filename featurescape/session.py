@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,10 +76,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint: freezes nondeterministic columns and cuts
-    the lineage.  Survives executor loss (data lives in the shared folder)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a Parquet table under the shared checkpoint
+    folder and read it back.
+
+    Freezes nondeterministic columns, cuts the lineage and survives
+    executor loss (the data lives in the shared folder), like a reliable
+    ``checkpoint()``; unlike it, the planner sees the real file sizes.  A
+    checkpointed plan keeps its origin's size estimate, and across
+    iterative rounds the join estimates (products of child sizes) grow
+    without bound."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
