@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurescape.operators.ids import BROADCAST_ROW_LIMIT, with_global_index
+from featurescape.session import materialize
 
 # Normalised values with |v| below this become 0.0.
 SMALL_VALUE_THRESHOLD = 1e-3
@@ -168,6 +169,10 @@ def fit_encoder(df: DataFrame, id_col: str = "ID", threshold: float = SMALL_VALU
             s.lo = float(row[f"lo{s.fid}"]) if row[f"lo{s.fid}"] is not None else 0.0
             s.hi = float(row[f"hi{s.fid}"]) if row[f"hi{s.fid}"] is not None else 0.0
     dictionary, sizes = build_dictionary(df, text)
+    if text:
+        # FE-3: the fitted dictionary is a table; transforms join against it
+        # instead of re-deriving it from the raw data per text column
+        dictionary = materialize(dictionary)
     for s in text:
         s.distinct = sizes.get(s.fid, 0)
     return EncodeModel(id_col, specs, dictionary, threshold, broadcast_rows,

@@ -288,3 +288,47 @@ def idset_toggle(current: DataFrame, flip: DataFrame, id_col: str = "ID") -> Dat
     cur = current.select(id_col).distinct()
     fl = flip.select(id_col).distinct()
     return cur.join(fl, id_col, "left_anti").unionByName(fl.join(cur, id_col, "left_anti"))
+
+
+def raw_prefilter(raw: DataFrame, flt: list, model) -> Column | None:
+    """A predicate on the *raw* columns implied by the AND-mode range
+    filters on numeric features, for ``where`` before encoding: it reaches
+    the Parquet scan (``PushedFilters``, row-group skipping).  It is
+    conservative -- widened for rounding, keeping null/NaN (encoded as 0)
+    and values that the small-value threshold maps to 0 -- and the exact
+    normalised predicate is still applied afterwards."""
+    specs = {s.name: s for s in model.features}
+    dtypes = dict(raw.dtypes)
+    preds = []
+    for f in flt:
+        if not isinstance(f, FeatureFilter) or f.empty or f.mode != FilterMode.AND:
+            continue
+        spec = specs.get(f.feature)
+        if spec is None or spec.kind != "number" or spec.hi == spec.lo:
+            continue
+        span = spec.hi - spec.lo
+        eps = 1e-9 * (abs(spec.lo) + abs(spec.hi) + 1.0)
+        c = F.col(f"`{f.feature}`")
+        cond = c <= F.lit(spec.lo + max(f.hi, model.threshold) * span + eps)
+        if f.lo > model.threshold:
+            cond = cond & (c >= F.lit(spec.lo + f.lo * span - eps))
+        # null and NaN are encoded as 0: keep them only if 0 itself passes
+        z = (0.0 - spec.lo) / span
+        z = 0.0 if abs(z) < model.threshold else z
+        if not (f.lo <= z <= f.hi):
+            preds.append(cond)              # NaN > everything in Spark: fails too
+        elif dtypes.get(f.feature) in ("double", "float"):
+            continue                        # IsNaN is not pushable: no prefilter
+        else:
+            preds.append(c.isNull() | cond)
+    if not preds:
+        return None
+    return functools.reduce(lambda a, b: a & b, preds)
+
+
+def apply_filters_pushed(raw: DataFrame, model, flt: list) -> DataFrame:
+    """``apply_filters`` on encoded items, with the raw-range prefilter
+    pushed below the encoding (and so into the scan)."""
+    pre = raw_prefilter(raw, flt, model)
+    enc = model.transform(raw if pre is None else raw.where(pre))
+    return apply_filters(enc, flt)

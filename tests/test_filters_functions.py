@@ -180,3 +180,22 @@ def test_glyph_axes_and_flat(spark):
         "ID", glyph.is_flat(F.col("features"), ["1", "2", "10"]),
         glyph.is_flat(F.col("features"), [], 0.01, strict=True)).collect()}
     assert flat == {"a": (False, True), "b": (True, True)}
+
+
+def test_raw_prefilter_is_conservative_and_pushed(spark, tmpdir_fresh):
+    import os
+    from featurescape.operators import encode
+    rows = [(str(i), float(i) if i % 17 else None, i % 9) for i in range(300)]
+    rows += [("nan", float("nan"), 3)]
+    path = os.path.join(tmpdir_fresh, "t.parquet")
+    spark.createDataFrame(rows, "ID string, a double, b int").write.parquet(path)
+    raw = spark.read.parquet(path)
+    model = encode.fit_encoder(raw)
+    for lo, hi in [(0.2, 0.6), (0.0, 0.3), (0.0, 0.0), (0.5, 1.0)]:
+        fs = [FeatureFilter("a", lo, hi), FeatureFilter("b", 0.0, 0.5)]
+        got = {r["ID"] for r in filters.apply_filters_pushed(raw, model, fs).collect()}
+        want = {r["ID"] for r in filters.apply_filters(model.transform(raw), fs).collect()}
+        assert got == want, (lo, hi)
+    plan = filters.apply_filters_pushed(raw, model, [FeatureFilter("a", 0.2, 0.6)])._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(a), LessThanOrEqual(a" in plan or "LessThanOrEqual(a" in plan
