@@ -12,7 +12,8 @@
    a cell can only hold a neighbour closer than ``ub`` if
    ``d(q, pivot) - R <= ub``; items are exploded to those candidate cells
    only and equi-joined on the cell id;
-4. exact distances, filter ``<= ub``, top-k per item (ties by id).
+4. exact distances per bounded block (``_block_topk``), filter ``<= ub``,
+   top-k per item (ties by id).
 
 Because pivots are sampled from the data, dense regions get
 proportionally more pivots (smaller cells).
@@ -53,12 +54,9 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str | None, cols: list[str] |
     return df.select(F.col(id_col).cast("string").alias("id"), v.alias("v"))
 
 
-def _sq_dist(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, z: acc + z)
-
-
 def knn_graph(df: DataFrame, k: int = DEFAULT_K, id_col: str = "ID", vec_col: str | None = None,
-              cols: list[str] | None = None, max_pivots: int = 256, seed: int = 42) -> DataFrame:
+              cols: list[str] | None = None, max_pivots: int = 256, seed: int = 42,
+              block: int = 512) -> DataFrame:
     """POS-6: exact k nearest neighbours ``(src, dst, rank, dist)``, rank
     1..k, ties broken by ``dst`` id; an item is not its own neighbour."""
     pts = materialize(_vectors(df, id_col, vec_col, cols))
@@ -109,16 +107,65 @@ def knn_graph(df: DataFrame, k: int = DEFAULT_K, id_col: str = "ID", vec_col: st
 
     cand = assigned.select("id", "v").mapInPandas(
         candidates, "qid string, qv array<double>, ub double, cells array<int>")
-    probe = cand.select("qid", "qv", "ub", F.explode("cells").alias("cell"))
-    pairs = (probe.join(assigned.select(F.col("id").alias("did"), F.col("v").alias("dv"), "cell"), "cell")
-                  .where(F.col("qid") != F.col("did"))
-                  .withColumn("dist", F.sqrt(_sq_dist(F.col("qv"), F.col("dv"))))
-                  .where(F.col("dist") <= F.col("ub")))
+    probe = materialize(cand.select("qid", "qv", "ub", F.explode("cells").alias("cell")))
+    return _block_topk(probe, assigned, k, block)
+
+
+def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> DataFrame:
+    """Exact top-k of every probe over the members of its candidate cells as
+    a block nested loop: per cell, probes and members are hash-split into
+    chunks of about ``block`` rows (chunk counts from per-cell counts, one
+    row per pivot); members are replicated once per probe chunk of their
+    cell, probes once per member chunk; each (cell, member chunk, probe
+    chunk) group holds at most ~block x block vectors, whatever the skew,
+    and emits only its top-k per probe."""
+    sizes = {r["cell"]: r["n"] for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    qsizes = {r["cell"]: r["n"] for r in probe.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    mch = {c: max(1, math.ceil(n / block)) for c, n in sizes.items()}
+    pch = {c: max(1, math.ceil(n / block)) for c, n in qsizes.items()}
+
+    def lookup(d):
+        return F.create_map(*[x for c, v in d.items() for x in (F.lit(int(c)), F.lit(int(v)))])
+    m_n = F.coalesce(F.element_at(lookup(mch), F.col("cell")), F.lit(1))
+    p_n = F.coalesce(F.element_at(lookup(pch), F.col("cell")), F.lit(1))
+    pr = (probe.withColumn("pchunk", F.pmod(F.xxhash64("qid"), p_n.cast("long")))
+               .withColumn("mchunk", F.explode(F.sequence(F.lit(0).cast("long"), (m_n - 1).cast("long")))))
+    mb = (members.select(F.col("id").alias("did"), F.col("v").alias("dv"), "cell")
+                 .withColumn("mchunk", F.pmod(F.xxhash64("did"), m_n.cast("long")))
+                 .withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), (p_n - 1).cast("long")))))
+
+    def block_topk(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(m):
+            return pd.DataFrame({"qid": [], "did": [], "dist": []})
+        qv = np.stack(q["qv"].to_numpy())
+        mv = np.stack(m["dv"].to_numpy())
+        qids, dids, ubs = q["qid"].to_numpy(), m["did"].to_numpy(), q["ub"].to_numpy()
+        out_q, out_d, out_x = [], [], []
+        step = max(1, (1 << 22) // max(1, mv.shape[0] * mv.shape[1]))
+        for s0 in range(0, len(qv), step):
+            diff = qv[s0:s0 + step, None, :] - mv[None, :, :]
+            dist = np.sqrt((diff * diff).sum(-1))
+            for i in range(dist.shape[0]):
+                row = dist[i]
+                ok = (row <= ubs[s0 + i]) & (dids != qids[s0 + i])
+                idx = np.nonzero(ok)[0]
+                if len(idx) > k:
+                    keys = sorted(zip(row[idx], dids[idx]))[:k]
+                else:
+                    keys = sorted(zip(row[idx], dids[idx]))
+                for dv_, did_ in keys:
+                    out_q.append(qids[s0 + i])
+                    out_d.append(did_)
+                    out_x.append(float(dv_))
+        return pd.DataFrame({"qid": out_q, "did": out_d, "dist": out_x})
+
+    keys = ["cell", "mchunk", "pchunk"]
+    local = (pr.groupBy(*keys).cogroup(mb.groupBy(*keys))
+               .applyInPandas(block_topk, "qid string, did string, dist double"))
     w = Window.partitionBy("qid").orderBy("dist", "did")
-    return (pairs.select("qid", "did", "dist").withColumn("rank", F.row_number().over(w))
-                 .where(F.col("rank") <= k)
-                 .select(F.col("qid").alias("src"), F.col("did").alias("dst"), F.col("rank").cast("int").alias("rank"),
-                         "dist"))
+    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+                 .select(F.col("qid").alias("src"), F.col("did").alias("dst"),
+                         F.col("rank").cast("int").alias("rank"), "dist"))
 
 
 def _bisect(entries, target, kernel, iters: int = 48):
