@@ -111,6 +111,12 @@ def knn_graph(df: DataFrame, k: int = DEFAULT_K, id_col: str = "ID", vec_col: st
     return _block_topk(probe, assigned, k, block)
 
 
+def _pairs_frame(q, d, x) -> pd.DataFrame:
+    return pd.DataFrame({"qid": pd.Series([str(v) for v in q], dtype=object),
+                         "did": pd.Series([str(v) for v in d], dtype=object),
+                         "dist": pd.Series(x, dtype="float64")})
+
+
 def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> DataFrame:
     """Exact top-k of every probe over the members of its candidate cells as
     a block nested loop: per cell, probes and members are hash-split into
@@ -136,7 +142,7 @@ def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> Dat
 
     def block_topk(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
-            return pd.DataFrame({"qid": [], "did": [], "dist": []})
+            return _pairs_frame([], [], [])
         qv = np.stack(q["qv"].to_numpy())
         mv = np.stack(m["dv"].to_numpy())
         qids, dids, ubs = q["qid"].to_numpy(), m["did"].to_numpy(), q["ub"].to_numpy()
@@ -157,7 +163,7 @@ def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> Dat
                     out_q.append(qids[s0 + i])
                     out_d.append(did_)
                     out_x.append(float(dv_))
-        return pd.DataFrame({"qid": out_q, "did": out_d, "dist": out_x})
+        return _pairs_frame(out_q, out_d, out_x)
 
     keys = ["cell", "mchunk", "pchunk"]
     local = (pr.groupBy(*keys).cogroup(mb.groupBy(*keys))

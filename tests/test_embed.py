@@ -51,3 +51,16 @@ def test_embedding_keeps_label_neighbourhoods(spark, method):
 def test_embedding_size_guard(spark):
     df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(10)], "ID string, v array<double>")
     assert embed.neighbor_embedding(df, method="tsne", vec_col="v", max_rows=5).count() == 0
+
+
+def test_knn_with_a_third_identical_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 6))
+    x[::3] = x[0]                                  # 40 identical vectors
+    ids = [f"v{j:03d}" for j in range(len(x))]
+    df = spark.createDataFrame([(ids[j], x[j].tolist()) for j in range(len(x))], "ID string, v array<double>")
+    got = {}
+    for r in embed.knn_graph(df, k=4, vec_col="v", max_pivots=16, block=16).collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    want = _brute(x, ids, 4)
+    assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == want

@@ -106,3 +106,14 @@ def test_view_predicates(spark):
     assert vis == {"0", "1"}                # 25-5 = 20 is not < 20
     lens = {r["ID"] for r in spatial.within_radius(df, 0.0, 0.0, 20.0).collect()}
     assert lens == {"0", "1"}
+
+
+def test_ball_clusters_with_a_third_of_points_in_one_cell(spark):
+    rng = np.random.default_rng(11)
+    spread = [(float(x), float(y)) for x, y in rng.uniform(0, 200, size=(120, 2))]
+    blob = [(50.0 + float(dx), 50.0 + float(dy)) for dx, dy in rng.uniform(-0.5, 0.5, size=(60, 2))]
+    pts = spread[:40] + blob + spread[40:]
+    got = {row["ID"]: row for row in cluster.ball_clusters(_frame(spark, pts), 10.0).collect()}
+    clustered, rep = greedy(pts, 10.0)
+    assert [got[str(i)]["clustered"] for i in range(len(pts))] == clustered
+    assert [got[str(i)]["representative"] for i in range(len(pts))] == rep
