@@ -64,23 +64,19 @@ def feature_map(df: DataFrame, id_col: str = "ID") -> Column:
     return F.create_map(*kv) if kv else F.create_map().cast("map<string,double>")
 
 
-def to_items(raw: DataFrame, encoded: DataFrame, id_col: str = "ID",
-             order_col: str | None = "_ord") -> DataFrame:
+def to_items(raw: DataFrame, model, id_col: str = "ID", order_col: str | None = "_ord") -> DataFrame:
     """PRJ-6: nested item records ``(id, defaultcontext, features{ctx:
-    {fid: v}}, values{fid: raw})``.  ``raw`` and ``encoded`` share the id
-    (and ``order_col`` when present) and are joined on it."""
-    rv = raw.select(F.col(id_col).alias("_rid"), *([F.col(order_col)] if order_col in raw.columns else []),
-                    raw_values(raw, id_col).alias("values"))
-    fm = encoded.select(F.col(id_col).alias("_eid"), feature_map(encoded, id_col).alias("_f"),
-                        *([F.col(order_col).alias("_eord")] if order_col in encoded.columns else []))
-    if order_col in raw.columns and "_eord" in fm.columns:
-        j = rv.join(fm, (F.col("_rid") == F.col("_eid")) & (F.col(order_col) == F.col("_eord")))
-    else:
-        j = rv.join(fm, F.col("_rid") == F.col("_eid"))
-    keep = [F.col(order_col)] if order_col in raw.columns else []
-    return j.select(F.col("_rid").alias("id"), F.lit(DEFAULT_CONTEXT).alias("defaultcontext"),
-                    F.create_map(F.lit(DEFAULT_CONTEXT), F.col("_f")).alias("features"),
-                    "values", *keep)
+    {fid: v}}, values{fid: raw})``.  The raw-value map is computed before
+    encoding and carried through the model's transform, so raw and encoded
+    values never need a join on the id."""
+    carried = raw.withColumn("_values", raw_values(raw, id_col))
+    keep = ("_values",) + ((order_col,) if order_col and order_col in raw.columns else ())
+    enc = model.transform(carried, keep=keep)
+    fm = F.create_map(*[x for s in model.features for x in (F.lit(s.fid), F.col(f"`{s.name}`").cast("double"))])
+    extra = [F.col(order_col)] if order_col and order_col in enc.columns else []
+    return enc.select(F.col(id_col).alias("id"), F.lit(DEFAULT_CONTEXT).alias("defaultcontext"),
+                      F.create_map(F.lit(DEFAULT_CONTEXT), fm).alias("features"),
+                      F.col("_values").alias("values"), *extra)
 
 
 def from_items(items: DataFrame, context: str = DEFAULT_CONTEXT, long: bool = True) -> DataFrame:

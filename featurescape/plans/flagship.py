@@ -15,13 +15,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = ensure_id(part.select(F.col("p_partkey").alias("ID"), "p_brand", "p_type",
                                 F.col("p_size").alias("size-x"), F.col("p_retailprice").alias("size-y")),
                     keep_order_column=True)
-    enc, _ = encode.encode_features(raw)
+    model = encode.fit_encoder(raw)
+    enc = model.transform(raw.withColumn("p_type_raw", F.col("p_type")), keep=("p_type_raw",))
     pos = positions.pair_positions(raw)
     flt = [filters.FeatureFilter("size-y", 0.1, 0.9),
-           filters.TextFilter(["ECONOMY"], columns=["p_type"]),
+           filters.TextFilter(["ECONOMY"], columns=["p_type_raw"]),
            filters.IdFilter(part.where(F.col("p_size") < 5).select(F.col("p_partkey").cast("string").alias("ID")))]
-    rawtxt = raw.select(F.col("ID").alias("_rid"), "p_type")
-    enc = enc.join(rawtxt.withColumnRenamed("p_type", "p_type_raw"), F.col("ID") == F.col("_rid")).drop("_rid")
-    flt[1] = filters.TextFilter(["ECONOMY"], columns=["p_type_raw"])
     view = explore(enc, pos, "size", flt, color_feature="size-y")
     return view.select("ID", "passive", "x", "y", "color", "clustered", "representative", "visible")

@@ -33,7 +33,7 @@ def prepare_dataset(spark: SparkSession, path: str, out_dir: str, date: _dt.date
         write_table(raw, with_id_path(path))             # SNK-1
     interchange.write_schema(items.derive_schema(raw), out_dir, stem, time)
     enc, model = encode.encode_features(raw)
-    interchange.write_features(items.to_items(raw, enc), out_dir, stem, time, fmt)
+    interchange.write_features(items.to_items(raw, model), out_dir, stem, time, fmt)
     interchange.write_meta(profile.build_meta(raw), out_dir, stem, time)
     sets = []
     proj = positions.projection_features(enc)

@@ -331,10 +331,9 @@ WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)
 
 
 def q_filter_compose(spark, sf_dir):
-    raw = part_table(spark, sf_dir)
-    enc, _ = encode.encode_features(raw)
-    rec = enc.join(raw.select(F.col("ID").alias("_rid"), items.raw_values(raw).alias("values")),
-                   F.col("ID") == F.col("_rid")).drop("_rid")
+    raw = part_table(spark, sf_dir, with_order=False)
+    model = encode.fit_encoder(raw)
+    rec = model.transform(raw.withColumn("values", items.raw_values(raw)), keep=("values",))
     small = _t(spark, sf_dir, "part").where(F.col("p_size") < 10).select(F.col("p_partkey").cast("string").alias("ID"))
     large = _t(spark, sf_dir, "part").where(F.col("p_size") > 45).select(F.col("p_partkey").cast("string").alias("ID"))
     fs = [filters.FeatureFilter("p_retailprice", 0.5, 1.0),
@@ -358,10 +357,9 @@ FROM e
 def q_mark_passive_counts(spark, sf_dir):
     ev = ensure_id(_t(spark, sf_dir, "events").select(F.col("event_id").alias("ID"), "ts", "user_id",
                                                        "event_type", "value"))
-    enc, _ = encode.encode_features(ev)
-    rec = enc.join(ev.select(F.col("ID").alias("_rid"), items.raw_values(ev).alias("values"),
-                             F.date_format("ts", "ddMMyyyy").alias("time")),
-                   F.col("ID") == F.col("_rid")).drop("_rid")
+    model = encode.fit_encoder(ev)
+    carried = ev.withColumn("values", items.raw_values(ev)).withColumn("time", F.date_format("ts", "ddMMyyyy"))
+    rec = model.transform(carried, keep=("values", "time"))
     fs = [filters.FeatureFilter("value", 0.25, 0.75), filters.TextFilter(["Click"])]
     marked = filters.mark_passive(rec, fs)
     return filters.filter_counts(marked, ["time"])
