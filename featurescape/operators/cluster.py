@@ -58,20 +58,21 @@ def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> Dat
                                  F.col("c.x").alias("sx"), F.col("c.y").alias("sy"),
                                  F.col("cx").alias("scx"), F.col("cy").alias("scy")))
         cand_ex = explode_neighbour_cells(cand, "scx", "scy")
-        blocked = (cand_ex.join(undecided, _cell_join(cand_ex, undecided))
-                          .where((F.col("ord") < F.col("sord"))
-                                 & (F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r)))
-                          .select("sid").distinct())
-        new_seeds = cand.join(blocked, "sid", "left_anti")
+        near = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r)
+        # a candidate always meets itself in its own cell, so every
+        # candidate survives the inner join and gets a flag
+        flags = (cand_ex.join(undecided, _cell_join(cand_ex, undecided))
+                        .groupBy("sid", "sord", "sx", "sy", "scx", "scy")
+                        .agg(F.max(F.when((F.col("ord") < F.col("sord")) & near, 1).otherwise(0)).alias("blk")))
+        new_seeds = flags.where(F.col("blk") == 0).drop("blk")
         seeds_ex = explode_neighbour_cells(new_seeds, "scx", "scy")
-        covered = (seeds_ex.join(undecided, _cell_join(seeds_ex, undecided))
-                           .where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r))
-                           .select(F.col("id").alias("_cov")).distinct())
-        step = (undecided.join(covered, F.col("id") == F.col("_cov"), "left")
-                         .join(new_seeds.select(F.col("sid").alias("_seed")), F.col("id") == F.col("_seed"), "left")
-                         .withColumn("status", F.when(F.col("_seed").isNotNull(), F.lit("seed"))
-                                                .when(F.col("_cov").isNotNull(), F.lit("covered")))
-                         .drop("_cov", "_seed"))
+        step = (undecided.join(seeds_ex, _cell_join(seeds_ex, undecided), "left")
+                         .groupBy("id", "ord", "x", "y", "cx", "cy")
+                         .agg(F.max(F.when(F.col("sid") == F.col("id"), 1).otherwise(0)).alias("_seed"),
+                              F.max(F.when(near, 1).otherwise(0)).alias("_cov"))
+                         .withColumn("status", F.when(F.col("_seed") == 1, F.lit("seed"))
+                                                .when(F.col("_cov") == 1, F.lit("covered")))
+                         .drop("_seed", "_cov"))
         step = materialize(step)
         seeds.append(step.where(F.col("status") == "seed").select(
             F.col("id").alias("sid"), F.col("ord").alias("sord"), F.col("x").alias("sx"),
@@ -94,8 +95,10 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
     ``visible`` is the aggregated view (not clustered, or representative)."""
     base = valid_xy(pos).select(F.col(id_col).cast("string").alias("id"),
                                 F.col(order_col).cast("long").alias("ord"), "x", "y")
-    pts = with_cells(base, r)
-    seeds = materialize(cluster_seeds(pts, r, max_rounds))
+    # the input may be a deep lazy plan (encode, joins, filters, scaling):
+    # every round reads the points several times, so write them once
+    pts = materialize(with_cells(base, r))
+    seeds = cluster_seeds(pts, r, max_rounds)   # union of filters over round tables
     seeds_ex = explode_neighbour_cells(seeds, "scx", "scy")
     member = (seeds_ex.join(pts, _cell_join(seeds_ex, pts))
                       .where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r))
