@@ -132,3 +132,21 @@ def test_row_numbers_follow_partition_order(spark):
     df = spark.range(0, 1000, numPartitions=7).select(F.col("id").alias("v"))
     out = ensure_id(df)
     assert all(int(r["ID"]) == r["v"] + 1 for r in out.collect())
+
+
+def test_transform_without_broadcast_matches(spark):
+    rows = [(str(i), f"k{(i * 31) % 97}", float(i % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "ID string, t string, x double")
+    small = encode.fit_encoder(df)
+    big = encode.fit_encoder(df, broadcast_rows=0)
+    a = sorted(map(tuple, small.transform(df).collect()))
+    b_df = big.transform(df)
+    assert a == sorted(map(tuple, b_df.collect()))
+
+
+def test_global_index_is_dense_and_ordered(spark):
+    from featurescape.operators.ids import with_global_index
+    df = spark.createDataFrame([(f"v{(i * 7) % 500:04d}",) for i in range(500)], "v string").repartition(5)
+    out = sorted((r["idx"], r["v"]) for r in with_global_index(df, ["v"], num_partitions=4).collect())
+    assert [i for i, _ in out] == list(range(500))
+    assert [v for _, v in out] == sorted(v for _, v in out)
