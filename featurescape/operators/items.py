@@ -7,7 +7,7 @@ Wide tables stay wide (column pruning and pushdown keep working); nested
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurescape.functions.numbers import py_str
@@ -106,9 +106,14 @@ def with_labels(df: DataFrame, labels: DataFrame, fallback: str = "id") -> DataF
 
 def dedupe_positions(pos: DataFrame, order_col: str = "_pord", id_col: str = "ID",
                      by: tuple[str, ...] = ("algorithm",)) -> DataFrame:
-    """Q9 fix: a later duplicate position of the same id wins."""
-    w = Window.partitionBy(*by, id_col).orderBy(F.col(order_col).desc())
-    return pos.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """Q9 fix: a later duplicate position of the same id wins.  An
+    aggregate (``max`` of ``(order, x, y)``) rather than a window, so a hot
+    id with many duplicates is combined map-side instead of sorted in one
+    task."""
+    last = F.max(F.struct(F.col(order_col).alias("o"), F.col("x").alias("x"), F.col("y").alias("y")))
+    return (pos.groupBy(*by, id_col).agg(last.alias("_l"))
+               .select(*by, id_col, F.col("_l.x").alias("x"), F.col("_l.y").alias("y"),
+                       F.col("_l.o").alias(order_col)))
 
 
 def attach_positions(items: DataFrame, positions: DataFrame, algorithms: list[str],
