@@ -254,7 +254,8 @@ def _bin_label_sql(b: str) -> str:
 SQL_BRUSH_TO_RANGE = f"""
 WITH h AS ({_hist_sql(HIST_COLS, "lineitem")})
 SELECT feature_id, bin, count, ({0.2137 * 50!r} <= bin + 1 AND bin <= floor({0.5821 * 50!r})) AS selected,
-       round({math.floor(0.2137 / 0.02) * 0.02!r}, 6) AS lo, round({min((math.floor(0.5821 / 0.02) + 1) * 0.02, 1.0)!r}, 6) AS hi,
+       round(CAST({math.floor(0.2137 / 0.02) * 0.02!r} AS DOUBLE), 6) AS lo,
+       round(CAST({min((math.floor(0.5821 / 0.02) + 1) * 0.02, 1.0)!r} AS DOUBLE), 6) AS hi,
        {_bin_label_sql("bin")} AS label
 FROM h
 """
