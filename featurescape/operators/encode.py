@@ -42,10 +42,18 @@ def is_numeric_type(dtype: str) -> bool:
     return dtype in NUMERIC_TYPES or dtype.startswith("decimal")
 
 
+# Helper columns the engine itself adds (row order, source file/split,
+# carried raw values, position file order); user columns are never dropped.
+INTERNAL_COLUMNS = frozenset({"_ord", "_src_file", "_src_block", "_values", "_pord"})
+
+
+def is_internal(c: str) -> bool:
+    return c in INTERNAL_COLUMNS or c.startswith("_keep_")
+
+
 def feature_columns(df: DataFrame, id_col: str = "ID") -> list[str]:
-    """PRJ-2: every column after the id (internal ``_``-prefixed helper
-    columns excluded)."""
-    return [c for c in df.columns if c != id_col and not c.startswith("_")]
+    """PRJ-2: every column after the id except the engine's helper columns."""
+    return [c for c in df.columns if c != id_col and not is_internal(c)]
 
 
 def fill_number(c: Column) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featurescape.functions.numbers import to_number_or_zero
-from featurescape.operators.encode import fill_number, is_numeric_type
+from featurescape.operators.encode import feature_columns, fill_number, is_numeric_type
 
 # Histogram resolution of the meta document.
 HISTOGRAM_BINS = 50
@@ -141,7 +141,7 @@ def exact_medians(num: DataFrame, stats: list[ColumnStats],
 
 def profile_stats(df: DataFrame, cols: list[str] | None = None,
                   encoded: bool = False) -> list[ColumnStats]:
-    cols = cols if cols is not None else [c for c in df.columns[1:] if not c.startswith("_")]
+    cols = cols if cols is not None else feature_columns(df, df.columns[0])
     num = numeric_view(df, cols, encoded)
     stats = basic_stats(num, cols)
     med = exact_medians(num, stats)
@@ -225,7 +225,7 @@ def histogram(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGRA
     """AGG-5 + AGG-10: ``(feature_id, name, bin, count, density,
     relative)`` -- density = count / width / n like ``np.histogram(...,
     density=True)``; ``relative`` = density / max density of the feature."""
-    cols = cols if cols is not None else [c for c in df.columns[1:] if not c.startswith("_")]
+    cols = cols if cols is not None else feature_columns(df, df.columns[0])
     num = numeric_view(df, cols, encoded)
     stats = stats or basic_stats(num, cols)
     spark = df.sparkSession
@@ -259,7 +259,7 @@ def build_meta(df: DataFrame, cols: list[str] | None = None, bins: int = HISTOGR
                encoded: bool = False) -> DataFrame:
     """AGG-6: one row ``features MAP<STRING, STRUCT<histogram MAP<STRING,
     DOUBLE>, max, min, median, variance, deviation>>`` (the meta document)."""
-    cols = cols if cols is not None else [c for c in df.columns[1:] if not c.startswith("_")]
+    cols = cols if cols is not None else feature_columns(df, df.columns[0])
     stats = profile_stats(df, cols, encoded)
     hist = histogram(df, cols, bins, encoded, stats)
     spark = df.sparkSession

@@ -148,5 +148,6 @@ def with_id_path(path: str) -> str:
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """SNK-1: the table with its ``ID`` column as CSV with header (a
     directory of part files written in parallel)."""
-    out = df.drop(*[c for c in df.columns if c.startswith("_")])
+    from featurescape.operators.encode import is_internal
+    out = df.drop(*[c for c in df.columns if is_internal(c)])
     out.write.mode(mode).option("header", True).csv(path)

@@ -150,3 +150,10 @@ def test_global_index_is_dense_and_ordered(spark):
     out = sorted((r["idx"], r["v"]) for r in with_global_index(df, ["v"], num_partitions=4).collect())
     assert [i for i, _ in out] == list(range(500))
     assert [v for _, v in out] == sorted(v for _, v in out)
+
+
+def test_underscore_user_columns_are_features(spark):
+    df = spark.createDataFrame([("1", 1.0, "a"), ("2", 3.0, "b")], "ID string, _score double, _tag string")
+    enc, model = encode.encode_features(df)
+    assert [s.name for s in model.features] == ["_score", "_tag"]
+    assert sorted(r["_score"] for r in enc.collect()) == [0.0, 1.0]
