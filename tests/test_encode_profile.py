@@ -40,9 +40,12 @@ def test_constant_threshold_and_booleans(spark):
     assert got["1"][2] == 1.0 and got["3"][2] == 0.0   # null bool -> 0
 
 
-def test_tiny_values_strict_threshold():
-    # threshold is strict: 0.001 stays
-    assert encode.SMALL_VALUE_THRESHOLD == 1e-3
+def test_tiny_values_strict_threshold(spark):
+    vals = [0.0, 0.0005, 0.001, 0.0015, 1.0]
+    df = spark.createDataFrame([(str(i), v) for i, v in enumerate(vals)], "ID string, t double")
+    enc, _ = encode.encode_features(df)
+    got = {r["ID"]: r["t"] for r in enc.collect()}
+    assert [got[str(i)] for i in range(5)] == [0.0, 0.0, 0.001, 0.0015, 1.0]   # |v| < 1e-3 -> 0
 
 
 def test_standardize_population_std(spark):

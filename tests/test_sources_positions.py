@@ -207,3 +207,19 @@ def test_streaming_marks_passive(spark, tmpdir_fresh):
     q2.stop()
     c = spark.sql("select * from live_counts").first()
     assert (c["total"], c["surviving"]) == (2, 1)
+
+
+def test_ids_follow_file_order_across_splits(spark, tmpdir_fresh):
+    p = os.path.join(tmpdir_fresh, "big.csv")
+    _write(p, "v,w\n" + "\n".join(f"{i},{'x' * 20}" for i in range(2000)) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        df = tables.read_table(spark, p)
+        assert df.rdd.getNumPartitions() > 5
+        got = sorted((int(r["ID"]), r["v"]) for r in df.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == [(i + 1, i) for i in range(2000)]
