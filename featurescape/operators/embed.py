@@ -143,26 +143,24 @@ def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> Dat
     def block_topk(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(m):
             return _pairs_frame([], [], [])
+        m = m.sort_values("did", kind="stable")          # ties then resolve by id
         qv = np.stack(q["qv"].to_numpy())
         mv = np.stack(m["dv"].to_numpy())
         qids, dids, ubs = q["qid"].to_numpy(), m["did"].to_numpy(), q["ub"].to_numpy()
+        kk = min(k, len(m))
         out_q, out_d, out_x = [], [], []
         step = max(1, (1 << 22) // max(1, mv.shape[0] * mv.shape[1]))
         for s0 in range(0, len(qv), step):
             diff = qv[s0:s0 + step, None, :] - mv[None, :, :]
             dist = np.sqrt((diff * diff).sum(-1))
-            for i in range(dist.shape[0]):
-                row = dist[i]
-                ok = (row <= ubs[s0 + i]) & (dids != qids[s0 + i])
-                idx = np.nonzero(ok)[0]
-                if len(idx) > k:
-                    keys = sorted(zip(row[idx], dids[idx]))[:k]
-                else:
-                    keys = sorted(zip(row[idx], dids[idx]))
-                for dv_, did_ in keys:
-                    out_q.append(qids[s0 + i])
-                    out_d.append(did_)
-                    out_x.append(float(dv_))
+            bad = (dist > ubs[s0:s0 + step, None]) | (qids[s0:s0 + step, None] == dids[None, :])
+            dist = np.where(bad, np.inf, dist)
+            order = np.argsort(dist, axis=1, kind="stable")[:, :kk]
+            best = np.take_along_axis(dist, order, axis=1)
+            rows, cols = np.nonzero(np.isfinite(best))
+            out_q.extend(qids[s0 + rows])
+            out_d.extend(dids[order[rows, cols]])
+            out_x.extend(best[rows, cols].tolist())
         return _pairs_frame(out_q, out_d, out_x)
 
     keys = ["cell", "mchunk", "pchunk"]

@@ -597,6 +597,12 @@ def q_neighbor_embedding(spark, sf_dir):
     return neighbor_embedding(emb, method="umap", vec_col="embedding")
 
 
+def q_tsne_embedding(spark, sf_dir):
+    from featurescape.operators.embed import neighbor_embedding
+    emb = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ID"), "embedding")
+    return neighbor_embedding(emb, method="tsne", vec_col="embedding", perplexity=30.0)
+
+
 def q_random_item(spark, sf_dir):
     """SMP-1: one random item for the legend (the limit is the feature)."""
     return items.random_item(part_table(spark, sf_dir, with_order=False)).select("ID")
@@ -775,6 +781,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_embeddings": q_pca_embeddings,
     "knn_embeddings": q_knn_embeddings,
     "neighbor_embedding": q_neighbor_embedding,
+    "tsne_embedding": q_tsne_embedding,
     "random_item": q_random_item,
     "glyph_axes": q_glyph_axes,
     "flat_items": q_flat_items,

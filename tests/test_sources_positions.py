@@ -223,3 +223,35 @@ def test_ids_follow_file_order_across_splits(spark, tmpdir_fresh):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert got == [(i + 1, i) for i in range(2000)]
+
+
+def test_items_round_trip_thumbnails_labels_and_selection(spark, tmpdir_fresh):
+    raw = spark.createDataFrame([("1", "red", 2.0), ("2", "blue", 4.0)], "ID string, colour string, size double")
+    model = encode.fit_encoder(raw)
+    rec = items.to_items(raw, model)
+    long = {(r["id"], r["feature_id"]): (r["value"], r["raw"]) for r in items.from_items(rec).collect()}
+    assert long[("1", "1")] == (1.0, "red") and long[("2", "2")] == (1.0, "4.0")
+    labels = items.labels_frame(raw)
+    lab = {r["feature_id"]: r["label"] for r in items.with_labels(
+        spark.createDataFrame([("1",), ("9",)], "feature_id string"), labels).collect()}
+    assert lab == {"1": "colour", "9": "9"}
+    det = items.item_details(rec, labels, id_value="2").collect()
+    assert sorted((r["label"], r["value"]) for r in det) == [("colour", "blue"), ("size", "4.0")]
+    thumbs = spark.createDataFrame([("1", "/t/1.jpg", "image/jpeg", b"x")],
+                                   "id string, path string, mime string, content binary")
+    th = {r["ID"]: r["mime"] for r in items.attach_thumbnails(raw, thumbs).collect()}
+    assert th == {"1": "image/jpeg", "2": None}
+    assert catalog.contexts(items.derive_schema(raw)) == ["1"]
+    sch = items.derive_schema(raw).first()
+    assert (sch["color"], sch["glyph"], sch["label"]) == ("1", ["1", "2"], {"1": "colour", "2": "size"})
+    pos = spark.createDataFrame([("d", "t1", "pca", "1", 0.0, 0.0), ("d", "t1", "umap", "1", 1.0, 1.0),
+                                 ("d", "t2", "pca", "1", 5.0, 5.0)],
+                                "dataset string, time string, algorithm string, ID string, x double, y double")
+    cat = spark.createDataFrame([("d", "local", "t1", "position", "pca", "p"), ("d", "local", "t2", "position", "pca", "q")],
+                                catalog.CATALOG_SCHEMA)
+    sel = positions.select_positions(pos, cat, "d").collect()
+    assert [(r["time"], r["algorithm"], r["x"]) for r in sel] == [("t1", "pca", 0.0)]
+    out = os.path.join(tmpdir_fresh, "cat")
+    interchange.write_catalog(cat, out)
+    assert spark.read.json(out).count() == 2
+    assert interchange.snapshot_base("cars", dt.date(2025, 7, 9)) == "cars.09072025"
