@@ -565,6 +565,39 @@ def q_ball_clusters(spark, sf_dir):
     return cluster.ball_clusters(p, RADIUS).select("ID", "clustered", "representative", "cluster", "visible")
 
 
+# The greedy pass written sequentially: walk the items in order, carrying the
+# visited set and the seeds found so far (a recursive CTE, one step per item).
+SQL_BALL_CLUSTERS = f"""
+WITH RECURSIVE s AS ({_PART_POS_SQL}),
+nb AS (SELECT a.ord AS o, list(b.ord ORDER BY b.ord) AS nbrs
+       FROM s a JOIN s b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 10
+       GROUP BY a.ord),
+seq AS (SELECT row_number() OVER (ORDER BY ord) AS step, ord FROM s),
+walk(step, visited, seeds) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT w.step + 1,
+         CASE WHEN list_contains(w.visited, q.ord) OR len(n.nbrs) < 2 THEN w.visited
+              ELSE list_concat(w.visited, n.nbrs) END,
+         CASE WHEN list_contains(w.visited, q.ord) OR len(n.nbrs) < 2 THEN w.seeds
+              ELSE list_append(w.seeds, q.ord) END
+  FROM walk w JOIN seq q ON q.step = w.step + 1 JOIN nb n ON n.o = q.ord),
+fin AS (SELECT seeds FROM walk WHERE step = (SELECT max(step) FROM walk)),
+sd AS (SELECT unnest(seeds) AS seed FROM fin),
+mem AS (SELECT sd.seed, unnest(n.nbrs) AS m FROM sd JOIN nb n ON n.o = sd.seed),
+mp AS (SELECT mem.seed, mem.m, s.x, s.y FROM mem JOIN s ON s.ord = mem.m),
+ctr AS (SELECT seed, avg(x) AS cx, avg(y) AS cy FROM mp GROUP BY seed),
+rep AS (SELECT seed, arg_min(m, [sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)), m]) AS r
+        FROM (SELECT mp.*, ctr.cx, ctr.cy FROM mp JOIN ctr USING (seed)) GROUP BY seed),
+lastc AS (SELECT m, max(seed) AS seed FROM mp GROUP BY m),
+flags AS (SELECT lastc.m, lastc.seed, rep.r = lastc.m AS representative FROM lastc JOIN rep USING (seed))
+SELECT s.ID, flags.m IS NOT NULL AS clustered, coalesce(flags.representative, false) AS representative,
+       CAST(flags.seed AS VARCHAR) AS cluster,
+       (flags.m IS NULL) OR coalesce(flags.representative, false) AS visible
+FROM s LEFT JOIN flags ON flags.m = s.ord
+"""
+
+
 def q_pca_embeddings(spark, sf_dir):
     emb = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ID"), "embedding")
     pc = positions.pca_positions(emb, vector_col="embedding")
@@ -817,6 +850,7 @@ ORACLE_SQL: dict[str, str] = {
     "lens": SQL_LENS,
     "nearest_batch": SQL_NEAREST_BATCH,
     "radius_neighbors": SQL_RADIUS_NEIGHBORS,
+    "ball_clusters": SQL_BALL_CLUSTERS,
     "grid_clusters": SQL_GRID_CLUSTERS,
     "knn_embeddings": SQL_KNN_EMBEDDINGS,
     "glyph_axes": SQL_GLYPH_AXES,

@@ -12,5 +12,5 @@ def test_entry_flagship_runs(spark):
 
 def test_every_query_has_sql_or_is_rows_only():
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only == {"ball_clusters", "pca_embeddings", "neighbor_embedding", "tsne_embedding", "random_item"}
+    assert rows_only == {"pca_embeddings", "neighbor_embedding", "tsne_embedding", "random_item"}
     assert set(entry.oracle_sql()) <= set(entry.queries())
