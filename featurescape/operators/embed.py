@@ -247,7 +247,7 @@ def _repulsion(cent: np.ndarray, counts: np.ndarray, strength: float):
 def neighbor_embedding(df: DataFrame, method: str = "umap", k: int = DEFAULT_K, perplexity: float = 30.0,
                        id_col: str = "ID", vec_col: str | None = None, cols: list[str] | None = None,
                        rounds: int = 30, grid: int = 32, seed: int = 42, max_rows: int | None = None,
-                       learning_rate: float = 0.2) -> DataFrame:
+                       learning_rate: float = 0.2, checkpoint_every: int = 1) -> DataFrame:
     """POS-4 (``umap``) / POS-5 (``tsne``): 2-D layout ``(algorithm, ID, x,
     y)``.  ``max_rows`` mirrors the browser's size guard: above it the
     result is empty (the operator is skipped, not truncated)."""
@@ -306,7 +306,8 @@ def neighbor_embedding(df: DataFrame, method: str = "umap", k: int = DEFAULT_K,
                   .select("id",
                           (F.col("x") + F.lit(lr) * (F.coalesce(F.col("mx") - F.col("x"), F.lit(0.0)) + F.col("rx"))).alias("x"),
                           (F.col("y") + F.lit(lr) * (F.coalesce(F.col("my") - F.col("y"), F.lit(0.0)) + F.col("ry"))).alias("y")))
-        pos = materialize(nxt)
+        # lineage is cut every ``checkpoint_every`` rounds (and after the last)
+        pos = materialize(nxt) if ((it + 1) % checkpoint_every == 0 or it == rounds - 1) else nxt
         # the grid of the next round covers this round's extent, widened
         pad = 0.5 * max(max(r["bx"] for r in cells) - min(r["ax"] for r in cells),
                         max(r["by"] for r in cells) - min(r["ay"] for r in cells), 1e-9) / grid
