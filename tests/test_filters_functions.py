@@ -199,3 +199,57 @@ def test_raw_prefilter_is_conservative_and_pushed(spark, tmpdir_fresh):
     plan = filters.apply_filters_pushed(raw, model, [FeatureFilter("a", 0.2, 0.6)])._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PushedFilters: [IsNotNull(a), LessThanOrEqual(a" in plan or "LessThanOrEqual(a" in plan
+
+
+def _python_passive(rows, flt):
+    """Reference semantics of the refresh loop, item by item."""
+    all_empty = len(flt) == 0 or all(f.empty for f in flt)
+    or_init = all(f.empty for f in flt if f.mode == FilterMode.OR)
+    out = {}
+    for r in rows:
+        and_ok, or_ok = True, or_init
+        for f in flt:
+            if f.empty:
+                continue
+            if isinstance(f, FeatureFilter):
+                v = r[f.feature]
+                hit = v is not None and not math.isnan(v) and f.lo <= v <= f.hi
+            elif isinstance(f, TextFilter):
+                hit = any(str(v).lower() in f.terms for v in r["values"].values())
+            else:
+                hit = r["ID"] in f.ids
+            if f.mode == FilterMode.OR:
+                or_ok = or_ok or hit
+            else:
+                and_ok = and_ok and hit
+        out[r["ID"]] = False if all_empty else not (and_ok and or_ok)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_filter_sets_match_python(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    words = ["Red", "blue", "GREEN", "x", "7"]
+    rows = []
+    for i in range(40):
+        a = rnd.choice([None, float("nan"), 0.0, 1.0, round(rnd.random(), 3)])
+        rows.append({"ID": str(i), "a": a, "b": round(rnd.random(), 3),
+                     "values": {"1": rnd.choice(words), "2": rnd.choice(words)}})
+    df = spark.createDataFrame([(r["ID"], r["a"], r["b"], r["values"]) for r in rows],
+                               "ID string, a double, b double, values map<string,string>")
+    flt = []
+    for _ in range(rnd.randint(0, 4)):
+        kind = rnd.choice(["feature", "text", "id"])
+        mode = rnd.choice([FilterMode.AND, FilterMode.OR])
+        if kind == "feature":
+            lo = round(rnd.random() * 0.5, 2)
+            f = FeatureFilter(rnd.choice(["a", "b"]), lo, round(lo + rnd.random() * 0.5, 2), mode=mode)
+            if rnd.random() < 0.2:
+                f.clear()
+        elif kind == "text":
+            f = TextFilter(rnd.sample(words, rnd.randint(0, 2)), mode=mode)
+        else:
+            f = IdFilter([str(rnd.randint(0, 39)) for _ in range(rnd.randint(0, 6))], mode=mode)
+        flt.append(f)
+    assert passive(df, flt) == _python_passive(rows, flt)
