@@ -91,7 +91,9 @@ def with_row_number(df: DataFrame, name: str = "_rownum") -> DataFrame:
                     .withColumn("_p", F.shiftright(F.col("_mid"), 33)))
     blocks = (tagged.groupBy("_f", "_b", "_p")
                     .agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n")))
-    offsets = _offsets(blocks, ["_f", "_b", "_p"], "_n", "_off").drop("_n")
+    # one row per block: written once, so the size check and the join do not
+    # each re-scan the source to derive it
+    offsets = materialize(_offsets(blocks, ["_f", "_b", "_p"], "_n", "_off").drop("_n"))
     offsets = broadcast_if_small(offsets)
     out = (tagged.join(offsets, ["_f", "_b", "_p"])
                  .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
