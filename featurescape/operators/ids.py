@@ -101,12 +101,6 @@ def with_row_number(df: DataFrame, name: str = "_rownum") -> DataFrame:
     return out.drop(*[c for c in ("_sf", "_sb") if c in out.columns])
 
 
-def id_as_string(c):
-    """Ids are always strings (fixes pandas' ``1.0`` ids): integral doubles
-    print without ``.0``."""
-    return F.when(c.isNull(), F.lit(None).cast("string")).otherwise(c.cast("string"))
-
-
 def ensure_id(df: DataFrame, keep_order_column: bool = False) -> DataFrame:
     """PRJ-1: make ``ID`` the first column.
 

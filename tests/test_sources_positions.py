@@ -255,3 +255,41 @@ def test_items_round_trip_thumbnails_labels_and_selection(spark, tmpdir_fresh):
     interchange.write_catalog(cat, out)
     assert spark.read.json(out).count() == 2
     assert interchange.snapshot_base("cars", dt.date(2025, 7, 9)) == "cars.09072025"
+
+
+def test_small_public_operators(spark, tmpdir_fresh):
+    from featurescape.functions import view
+    from featurescape.operators import cluster
+    # FE-2 / FE-4
+    df = spark.createDataFrame([("1", "b", 2.0), ("2", "a", 4.0), ("3", None, 6.0)], "ID string, t string, x double")
+    coded, dic = encode.label_encode(df, ["t"])
+    assert {r["ID"]: r["t"] for r in coded.collect()} == {"1": 2, "2": 1, "3": 0}
+    assert {r["ID"]: r["x"] for r in encode.minmax(df, ["x"]).collect()} == {"1": 0.0, "2": 0.5, "3": 1.0}
+    # FLT-6 / FLT-10 (Column form) / CL-4 / CAT-2
+    a = spark.createDataFrame([("1",), ("2",)], "ID string")
+    b = spark.createDataFrame([("2",), ("3",)], "ID string")
+    assert sorted(r["ID"] for r in filters.idset_add(a, b).collect()) == ["1", "2", "3"]
+    assert sorted(r["ID"] for r in filters.idset_remove(a, b).collect()) == ["1"]
+    lo, hi = filters.brush_range_cols(F.lit(0.2137), F.lit(0.5821))
+    r = spark.range(1).select(lo.alias("lo"), hi.alias("hi")).first()
+    assert (round(r["lo"], 9), round(r["hi"], 9)) == (0.2, 0.6)
+    cl = spark.createDataFrame([("1", True, False), ("2", True, True), ("3", False, False)],
+                               "ID string, clustered boolean, representative boolean")
+    assert sorted(r["ID"] for r in cluster.aggregated_view(cl).collect()) == ["2", "3"]
+    cat = spark.createDataFrame([("d", "local", "t", "feature", None, "p"), ("e", "local", "t", "meta", None, "q"),
+                                 ("d", "local", "u", "meta", None, "r")], catalog.CATALOG_SCHEMA)
+    assert sorted(r["dataset"] for r in catalog.datasets(cat).collect()) == ["d", "e"]
+    # SC-9 round trip, SC-15
+    pts = spark.createDataFrame([(3.0, -4.0), (-100.0, 20.0)], "x double, y double")
+    sx, sy = view.world_to_screen(F.col("x"), F.col("y"), 1.0, 2.0, 1.5, 1600, 900)
+    back = pts.select(sx.alias("sx"), sy.alias("sy")).select(
+        *view.screen_to_world(F.col("sx"), F.col("sy"), 1.0, 2.0, 1.5, 1600, 900)).collect()
+    assert [(round(p[0], 9), round(p[1], 9)) for p in back] == [(3.0, -4.0), (-100.0, 20.0)]
+    z = spark.range(1).select(view.fit_zoom(F.lit(100.0), F.lit(10.0), 1600.0, 900.0)).first()[0]
+    assert z == pytest.approx(min(1600 / 110.0, 900 / 11.0))
+    # SRC-5
+    p = os.path.join(tmpdir_fresh, "d.09072025.schema.json")
+    _write(p, json.dumps({"color": "1", "glyph": ["1"], "label": {"1": "a"}, "tooltip": ["1"],
+                          "variantcontext": {"1": {"description": "standard context", "id": "1"}}}))
+    s = interchange.read_schema(spark, p).first()
+    assert s["label"] == {"1": "a"} and catalog.contexts(interchange.read_schema(spark, p)) == ["1"]
