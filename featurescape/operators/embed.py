@@ -172,28 +172,32 @@ def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> Dat
                          F.col("rank").cast("int").alias("rank"), "dist"))
 
 
-def _bisect(entries, target, kernel, iters: int = 48):
-    """Bandwidth by bisection over a bounded list of distances: returns
-    sigma with sum(kernel(d, sigma)) ~= target."""
-    def total(s):
-        return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + kernel(e, s))
+def _bisect(score, target, iters: int = 48):
+    """Bandwidth sigma in [1e-6, 1e6] by geometric bisection such that
+    ``score(sigma)`` (increasing in sigma) meets ``target``; ``score`` builds
+    a Column over the row's bounded neighbour list."""
     init = F.struct(F.lit(1e-6).alias("lo"), F.lit(1e6).alias("hi"))
     res = F.aggregate(
         F.sequence(F.lit(1), F.lit(iters)), init,
-        lambda st, _: F.when(total(F.sqrt(st["lo"] * st["hi"])) > target,
+        lambda st, _: F.when(score(F.sqrt(st["lo"] * st["hi"])) > target,
                              F.struct(st["lo"].alias("lo"), F.sqrt(st["lo"] * st["hi"]).alias("hi")))
                       .otherwise(F.struct(F.sqrt(st["lo"] * st["hi"]).alias("lo"), st["hi"].alias("hi"))))
     return F.sqrt(res["lo"] * res["hi"])
 
 
+def _kernel_sum(entries, kernel):
+    return lambda s: F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + kernel(e, s))
+
+
 def umap_weights(knn: DataFrame, k: int) -> DataFrame:
     """Fuzzy membership per directed edge, then a + b - ab symmetrisation."""
     g = knn.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("e"))   # k entries
     rho = F.array_min(F.filter(F.transform("e", lambda e: e["dist"]), lambda d: d > 0))
     g = g.withColumn("rho", F.coalesce(rho, F.lit(0.0)))
     target = math.log2(k)
-    sigma = _bisect(F.col("e"), F.lit(target),
-                    lambda e, s: F.exp(-F.greatest(e["dist"] - F.col("rho"), F.lit(0.0)) / s))
+    sigma = _bisect(_kernel_sum(F.col("e"), lambda e, s: F.exp(-F.greatest(e["dist"] - F.col("rho"),
+                                                                          F.lit(0.0)) / s)),
+                    F.lit(target))
     g = g.withColumn("sigma", sigma)
     edges = g.select("src", "rho", "sigma", F.explode("e").alias("e")).select(
         "src", F.col("e.dst").alias("dst"),
@@ -202,22 +206,26 @@ def umap_weights(knn: DataFrame, k: int) -> DataFrame:
 
 
 def tsne_weights(knn: DataFrame, perplexity: float, n: int) -> DataFrame:
-    """Gaussian conditional affinities, (p + p^T) / 2n.  The bandwidth makes
-    the unnormalised kernel mass equal the perplexity (a simplification of
-    the exact entropy target: structural parity only)."""
-    g = knn.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("e"))
-    # bisection on beta = 1/(2 sigma^2) matching the effective neighbour count 2^H
-    target = F.lit(perplexity)
-
-    def kern(e, s):
-        return F.exp(-(e["dist"] * e["dist"]) / (2 * s * s))
-    sigma = _bisect(F.col("e"), F.least(target, F.size("e").cast("double")), kern)
-    g = g.withColumn("sigma", sigma)
+    """Gaussian conditional affinities over squared distances with the
+    bandwidth calibrated to the perplexity (entropy H = ln Z + beta * sum
+    d^2 p equal to ln(perplexity), in nats), then (p + p^T) / 2n."""
+    g = knn.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("e"))   # bounded by k
+    e = F.col("e")
+
+    def entropy(s):
+        two_s2 = F.lit(2.0) * s * s
+        z = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + F.exp(-(x["dist"] * x["dist"]) / two_s2))
+        sd = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["dist"] * x["dist"]
+                         * F.exp(-(x["dist"] * x["dist"]) / two_s2))
+        zz = F.greatest(z, F.lit(1e-300))
+        return F.log(zz) + sd / (two_s2 * zz)
+    target = F.lit(math.log(perplexity))
+    g = g.withColumn("sigma", _bisect(entropy, target))
     ex = g.select("src", "sigma", F.explode("e").alias("e"))
     raw = ex.select("src", F.col("e.dst").alias("dst"),
                     F.exp(-(F.col("e.dist") ** 2) / (2 * F.col("sigma") ** 2)).alias("p"))
     tot = raw.groupBy("src").agg(F.sum("p").alias("z"))
-    cond = raw.join(tot, "src").select("src", "dst", (F.col("p") / F.col("z")).alias("w"))
+    cond = raw.join(tot, "src").select("src", "dst", (F.col("p") / F.greatest(F.col("z"), F.lit(1e-300))).alias("w"))
     return _symmetrise(cond, lambda a, b: (a + b) / (2.0 * n))
 
 

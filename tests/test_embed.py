@@ -64,3 +64,15 @@ def test_knn_with_a_third_identical_vectors(spark):
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     want = _brute(x, ids, 4)
     assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == want
+
+
+def test_tsne_bandwidth_meets_perplexity(spark):
+    rng = np.random.default_rng(2)
+    d = np.sort(rng.uniform(0.5, 3.0, size=30))
+    knn = spark.createDataFrame([("q", f"n{j}", 1, float(d[j])) for j in range(30)],
+                                "src string, dst string, rank int, dist double")
+    w = embed.tsne_weights(knn, perplexity=8.0, n=1)
+    # recover the conditional p_j|q (no reverse edges exist, so w = p / 2)
+    p = np.array(sorted(r["w"] * 2 for r in w.where("src = 'q'").collect()))
+    h = -(p * np.log(p)).sum()
+    assert abs(h - np.log(8.0)) < 1e-6
