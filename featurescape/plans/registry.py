@@ -43,7 +43,7 @@ def part_table(spark, sf_dir, with_order: bool = True) -> DataFrame:
 
 
 def part_encoded(spark, sf_dir) -> tuple[DataFrame, encode.EncodeModel]:
-    return encode.encode_features(part_table(spark, sf_dir))
+    return encode.encode_features(part_table(spark, sf_dir, with_order=False))
 
 
 def customer_table(spark, sf_dir) -> DataFrame:
