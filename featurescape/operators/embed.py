@@ -172,7 +172,7 @@ def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> Dat
                          F.col("rank").cast("int").alias("rank"), "dist"))
 
 
-def _bisect(score, target, iters: int = 48):
+def _bisect(score, target, iters: int = 32):
     """Bandwidth sigma in [1e-6, 1e6] by geometric bisection such that
     ``score(sigma)`` (increasing in sigma) meets ``target``; ``score`` builds
     a Column over the row's bounded neighbour list."""
