@@ -18,7 +18,7 @@ undecided item can become a seed, so the work per round is linear in the
 undecided items (a dense cell meets at most 25 candidates, never itself
 pairwise).  A candidate becomes a seed when no lower-ordered undecided item
 lies within r; items within r of a new seed are then decided.  Every round
-checkpoints the undecided set, so lineage stays flat and lost executors
+writes the undecided set as a table, so lineage stays flat and lost executors
 replay one round at most.
 """
 
@@ -42,7 +42,7 @@ def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> Dat
     """Seeds ``(sid, sord, sx, sy, scx, scy)`` of the greedy pass.
     ``pts``: ``(id, ord, x, y, cx, cy)``.
 
-    One checkpoint per round: the undecided items of the round with their
+    One materialised table per round: the undecided items of the round with their
     new status (``seed``, ``covered`` or still undecided)."""
     undecided = pts
     seeds = []

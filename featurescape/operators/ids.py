@@ -44,8 +44,9 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     ``order_cols`` (ties: arbitrary but consistent).
 
     Range-partitions the rows (sampled bounds), sorts within partitions and
-    checkpoints, so the nondeterministic bounds are frozen before the
-    per-partition counts are taken.
+    materialises them (a table in the checkpoint folder), so the
+    nondeterministic bounds are frozen before the per-partition counts are
+    taken.
     """
     spark = df.sparkSession
     n = num_partitions or shuffle_partitions(spark)
@@ -74,7 +75,7 @@ def _file_order_columns(df: DataFrame):
 
 def with_row_number(df: DataFrame, name: str = "_rownum") -> DataFrame:
     """1-based row number in source order: files by path, then position in
-    the file; other plans by partition order (checkpointed first, because a
+    the file; other plans by partition order (materialised first, because a
     re-executed shuffle may reorder rows)."""
     if "_src_file" in df.columns and "_src_block" in df.columns:
         df = df.withColumnRenamed("_src_file", "_sf").withColumnRenamed("_src_block", "_sb")

@@ -3,7 +3,7 @@ items a view draws.
 
 ``load -> attach_positions -> mark_passive -> scale_positions ->
 ball_clusters -> aggregated view``.  Everything up to the clustering is one
-lazy Catalyst plan; the clustering adds its bounded, checkpointed rounds.
+lazy Catalyst plan; the clustering adds its bounded, materialised rounds.
 """
 
 from __future__ import annotations

@@ -2,7 +2,7 @@
 
 Everything here is plain SparkSession configuration.  The only piece of
 policy is :func:`materialize`: iterative or order-sensitive operators cut
-their lineage with a *reliable* ``checkpoint()`` into the folder named by
+their lineage by writing a table into the shared folder named by
 ``spark.checkpoint.dir`` so that a lost executor never forces a replay of
 nondeterministic work (range bounds, ``monotonically_increasing_id``).
 """
