@@ -293,3 +293,18 @@ def test_small_public_operators(spark, tmpdir_fresh):
                           "variantcontext": {"1": {"description": "standard context", "id": "1"}}}))
     s = interchange.read_schema(spark, p).first()
     assert s["label"] == {"1": "a"} and catalog.contexts(interchange.read_schema(spark, p)) == ["1"]
+
+
+def test_snapshot_reads_prune_partitions(spark, tmpdir_fresh):
+    out = os.path.join(tmpdir_fresh, "layout")
+    pos = spark.createDataFrame([("pca", str(i), float(i), float(-i)) for i in range(10)],
+                                "algorithm string, ID string, x double, y double")
+    interchange.write_positions(pos, out, "cars", "09072025")
+    interchange.write_positions(pos, out, "cars", "10072025")
+    interchange.write_positions(pos.withColumn("algorithm", F.lit("my-algo")), out, "wine", "09072025")
+    df = interchange.read_snapshot_positions(spark, out, "cars", "10072025").where(F.col("algorithm") == "pca")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "dataset" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert df.count() == 10
+    algos = {r["algorithm"] for r in interchange.read_snapshot_positions(spark, out, "wine").collect()}
+    assert algos == {"my_algo"}                      # sanitised on write (Q17)
