@@ -315,8 +315,9 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     tokens = materialize(occ.groupBy("token").agg(
         F.count("*").alias("n"), F.min("context").alias("a"), F.max("context").alias("b"))
         .where("n > 1").select("token", (F.col("a") != F.col("b")).alias("mixed")))
+    # Written before it is grouped, so that a join with a frequent token can be split.
     runs = materialize(
-        occ.join(tokens, "token")
+        materialize(occ.join(tokens, "token"))
         .groupBy(*_KEY, "lo", "back", "size", "token", "context", "mixed")
         .agg(F.count("*").alias("copies")))
     kinds = materialize(runs.where("mixed").groupBy("token", "context").agg(
@@ -325,7 +326,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     wanted = kinds.select("at.t1", "at.t2", "at.t3", F.struct(
         "token", "context", "copies", "at.lo", "at.back", "at.size").alias("w")
     ).groupBy(*_KEY).agg(F.collect_list("w").alias("wanted"))   # bounded by a text's length
-    source = texts.join(wanted, list(_KEY)).select("text", "wanted", *_KEY)
+    source = texts.join(materialize(wanted), list(_KEY)).select("text", "wanted", *_KEY)
     schema = "token long, context long, copies long, back int, size int, bytes binary"
     # Copies of a text each deliver their contexts; a bucket keeps one of each.
     contexts = source.select("text", "wanted").mapInArrow(_slice_contexts(width), schema)
