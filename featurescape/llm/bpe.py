@@ -12,13 +12,16 @@ A state's row (the arcs it lost) is what the gadgets leave of the arc set:
 
 * gadget ``k = (x, y)`` takes y from every state copied from x's state after
   step k (x on the right spine of the state's token, merged away later), and
-* every token built on a lost arc's left end after that step is lost too.
+* every token built on a lost arc's left end after that step is lost too (y on
+  the left spine of the token, not yet merged away).
 
 All rows together hold about 70 million lost arcs for a 50k vocabulary, so
-rows are determinised when a state is first visited and kept as a bit table
-(``ROWS_KEPT`` states at most, 6 KB each); a worker that drops them builds
-them again.  Encoding a pre-split word walks arcs longest label first, leaving
-positions already known to lead nowhere; decoding emits the labels of the arcs.
+the table is not written out: the gadgets are compiled into the spines of the
+tokens with the steps that merged their parts away, from which an arc is
+decided in a few look-ups, and a worker keeps the arcs it has visited
+(``ARCS_KEPT`` at most).  Encoding a pre-split word walks arcs longest label
+first, leaving positions known to lead nowhere; decoding emits the labels of
+the arcs.
 
 Null text is empty: no tokens, empty decoded text.  Special tokens of the
 vocabulary found in a text are one token each.  Rows, repeated or not, come
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 # The byte-level pre-split pattern of the public vocabulary.
 PRE_SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
              r"|\s+(?!\S)|\s+")
-ROWS_KEPT = 20_000
+ARCS_KEPT = 1_000_000        # arcs of the table a worker keeps
 DECODE_STEP = 1 << 18       # ids decoded at a time
 WORDS_KEPT = 300_000        # pre-split pieces remembered per worker
 LONG_PIECE = 64             # longer pieces are encoded each time they occur
@@ -86,73 +89,160 @@ class Automaton:
         self.label = dict(vocabulary["labels"])
         self.special = dict(vocabulary["special"])
         self.arc = {b: i for i, b in self.label.items()}
-        self.longest = max(map(len, self.arc), default=1)
         self.size = max([*self.label, *self.special.values()], default=0) + 1
         self.made: dict[int, tuple[int, int, int]] = {}        # w -> u, v, step
-        self.gadgets: dict[int, list[tuple[int, int]]] = {}    # u -> (step, v)
-        self.extends: dict[int, list[tuple[int, int]]] = {}    # u -> (step, w)
-        self.step_of: dict[tuple[int, int], int] = {}
+        self.step_of: dict[int, int] = {}                      # u * size + v -> step
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.never = len(vocabulary["merges"]) + 1
         for step, (u, v, w) in enumerate(vocabulary["merges"]):
-            self.step_of.setdefault((u, v), step)
+            self.step_of.setdefault(u * self.size + v, step)
             self.made.setdefault(w, (u, v, step))
-            self.gadgets.setdefault(u, []).append((step, v))
-            self.extends.setdefault(u, []).append((step, w))
         for w in sorted(self.made, key=lambda w: self.made[w][2]):
             u, v, _ = self.made[w]
             alive = self.arc.get(self.label[u]) == u and self.arc.get(self.label[v]) == v
             if not (alive and self._arises(w)):
                 self.arc.pop(self.label[w], None)              # an arc that is never made
-        self.rows: dict[int, bytes] = {}
+        self.reach: dict[bytes, int] = {}                      # longest label by its first four bytes
+        for b in self.arc:
+            if len(b) > 3:
+                self.reach[b[:4]] = max(self.reach.get(b[:4], 0), len(b))
+        self.table: dict[int, bool] = {}                       # state * size + token -> lost
         emitted = dict(self.label) | {i: t.encode() for t, i in self.special.items()}
         self.emit_len = np.array([len(emitted.get(i, b"")) for i in range(self.size)], np.int64)
         self.emit_at = np.cumsum(self.emit_len) - self.emit_len
         self.emit = np.frombuffer(b"".join(emitted.get(i, b"") for i in range(self.size)), np.uint8)
 
-    def row(self, token: int) -> bytes:
-        """Bit t is set if the state after ``token`` has no t-arc."""
-        todo, until, x = [], len(self.made) + 1, token
-        while True:                                            # states this one was copied from
-            todo += [g for g in self.gadgets.get(x, ()) if g[0] < until]
-            if x not in self.made:
-                break
-            _, x, step = self.made[x]
-            until = min(until, step)
-        lost: dict[int, int] = {}
-        while todo:
-            step, t = todo.pop()
-            if lost.get(t, step + 1) <= step:
-                continue
-            lost[t] = step
-            todo += [(s, w) for s, w in self.extends.get(t, ()) if s >= step]
-        bits = np.zeros(self.size, np.uint8)
-        bits[list(lost)] = 1
-        packed = np.packbits(bits, bitorder="little").tobytes()
-        if len(self.rows) >= ROWS_KEPT:
-            self.rows.clear()
-        self.rows[token] = packed
-        return packed
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Left (side 0) or right (1) parts of a token, down to its outer byte,
+        each with the step that merged it away (none for the token itself)."""
+        kept = self.spines[side]
+        if token not in kept:
+            out, until, x = [], self.never, token
+            while True:
+                out.append((x, until))
+                if x not in self.made:
+                    break
+                made = self.made[x]
+                x, until = made[side], min(until, made[2])
+            kept[token] = out
+        return kept[token]
+
+    def lost(self, before: int, token: int) -> bool:
+        """The state after ``before`` has no arc for ``token``: a gadget took it,
+        or took the arc it is built on."""
+        step_of, never, left = self.step_of, self.never, self._spine(token, 0)
+        for x, x_until in self._spine(before, 1):
+            x *= self.size
+            for y, y_until in left:
+                step = step_of.get(x + y, never)
+                if step < x_until and step <= y_until:
+                    return True
+        return False
 
     def encode_word(self, word: bytes) -> list[int]:
         """Path of the automaton that spells one pre-split word."""
-        arc, n, longest = self.arc, len(word), self.longest
+        arc, table, reach, n = self.arc, self.table, self.reach, len(word)
         path: list[int] = []
         at = 0
         sizes: list[int] = []
         dead = set()
-        size = min(longest, n)
+        size = min(reach.get(word[:4], 3), n)
         while at < n:
-            row = (self.rows.get(path[-1]) or self.row(path[-1])) if path else None
+            state = path[-1] * self.size if path else None
             while size:
                 t = arc.get(word[at:at + size])
-                if (t is not None and at + size not in dead
-                        and (row is None or not row[t >> 3] >> (t & 7) & 1)):
+                if t is not None and at + size not in dead:
+                    if state is None:
+                        break
+                    gone = table.get(state + t)
+                    if gone is None:
+                        if len(table) >= ARCS_KEPT:
+                            table.clear()
+                        gone = table[state + t] = self.lost(path[-1], t)
+                    if not gone:
+                        break
+                size -= 1
+            if size:
+                path.append(t)
+                sizes.append(size)
+                at += size
+                size = min(reach.get(word[at:at + 4], 3), n - at)
+            else:                                              # no arc goes on from here
+                if not path:
+                    raise ValueError(f"no path for {word[:40]!r}")
+                dead.add(at)
+                path.pop()
+                size = sizes.pop()
+                at -= size
+                size -= 1
+        return path
+
+    def _arises(self, w: int) -> bool:
+        """The gadget of ``w`` found its two arcs in a row: no earlier gadget
+        had taken an arc on v's left spine from a state on u's right spine."""
+        u, v, now = self.made[w]
+        for x, x_until in self._spine(u, 1):
+            for y, y_until in self._spine(v, 0):
+                step = self.step_of.get(x * self.size + y, now)
+                if step < min(now, x_until) and step <= y_until:
+                    return False
+        return True
+
+    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Left (side 0) or right (1) parts of a token, down to its outer byte,
+        each with the step that merged it away (none for the token itself)."""
+        kept = self.spines[side]
+        if token not in kept:
+            out, until, x = [], self.never, token
+            while True:
+                out.append((x, until))
+                if x not in self.made:
                     break
+                made = self.made[x]
+                x, until = made[side], min(until, made[2])
+            kept[token] = out
+        return kept[token]
+
+    def lost(self, before: int, token: int) -> bool:
+        """The state after ``before`` has no arc for ``token``: a gadget took it,
+        or took the arc it is built on."""
+        step_of, never, left = self.step_of, self.never, self._spine(token, 0)
+        for x, x_until in self._spine(before, 1):
+            x *= self.size
+            for y, y_until in left:
+                step = step_of.get(x + y, never)
+                if step < x_until and step <= y_until:
+                    return True
+        return False
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """Path of the automaton that spells one pre-split word."""
+        arc, table, reach, n = self.arc, self.table, self.reach, len(word)
+        path: list[int] = []
+        at = 0
+        sizes: list[int] = []
+        dead = set()
+        size = min(reach.get(word[:4], 3), n)
+        while at < n:
+            state = path[-1] * self.size if path else None
+            while size:
+                t = arc.get(word[at:at + size])
+                if t is not None and at + size not in dead:
+                    if state is None:
+                        break
+                    gone = table.get(state + t)
+                    if gone is None:
+                        if len(table) >= ARCS_KEPT:
+                            table.clear()
+                        gone = table[state + t] = self.lost(path[-1], t)
+                    if not gone:
+                        break
                 size -= 1
             if size:
                 path.append(t)
                 sizes.append(size)
                 at += size
-                size = min(longest, n - at)
+                size = min(reach.get(word[at:at + 4], 3), n - at)
             else:                                              # no arc goes on from here
                 if not path:
                     raise ValueError(f"no path for {word[:40]!r}")
@@ -195,50 +285,72 @@ class Automaton:
         return b"".join(out)
 
 
+class _Kept(dict):
+    """Results by word in two generations: when the young one is full it becomes
+    the old one, so frequent words stay and memory is bounded."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def put(self, key, value):
+        if len(self) >= WORDS_KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Pre-splits whole texts and encodes the pieces; remembers pieces."""
+    """Pre-splits whole texts and encodes the pieces; remembers words."""
 
     def __init__(self, vocabulary: dict):
         self.automaton = Automaton(vocabulary)
         self.pattern = regex.compile(PRE_SPLIT)
+        self.letters = regex.compile(r"\p{L}+")
         special = sorted(self.automaton.special, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         # White space before a space: pieces cannot be told apart by the space alone.
         self.odd_space = re.compile(r"\s ")
-        self.after_space: dict[str, tuple[str, bytes]] = {}
-        self.alone: dict[str, tuple[str, bytes]] = {}
+        self.after_space = _Kept()
+        self.alone = _Kept()
 
-    def _piece(self, piece: str) -> tuple[str, bytes]:
-        ids: list[int] = []
-        for word in self.pattern.findall(piece):
-            ids += self.automaton.encode_word(word.encode())
-        return ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
+    def _word(self, word: str, kept: _Kept, space: str = "") -> tuple[str, bytes]:
+        """One pre-split word (after a space), encoded or remembered."""
+        got = kept.old.get(word)
+        if got is None:
+            ids = self.automaton.encode_word((space + word).encode())
+            got = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
+        return kept.put(word, got) if len(word) <= LONG_PIECE else got
+
+    def _words(self, text: str) -> list[tuple[str, bytes]]:
+        kept = self.alone
+        return [kept.get(w) or self._word(w, kept) for w in self.pattern.findall(text)]
 
     def _spaced(self, piece: str) -> tuple[str, bytes]:
-        got = self._piece(" " + piece)
-        if len(piece) <= LONG_PIECE:
-            if len(self.after_space) >= WORDS_KEPT:
-                self.after_space.clear()
-            self.after_space[piece] = got
-        return got
-
-    def _word(self, word: str) -> tuple[str, bytes]:
-        ids = self.automaton.encode_word(word.encode())
-        got = ",".join(map(str, ids)), np.array(ids, np.int32).tobytes()
-        if len(word) <= LONG_PIECE:
-            if len(self.alone) >= WORDS_KEPT:
-                self.alone.clear()
-            self.alone[word] = got
-        return got
+        """A piece of text after a space: leading letters take the space, what
+        follows them is split on its own."""
+        kept = self.after_space
+        got = kept.old.get(piece)
+        if got is None:
+            head = self.letters.match(piece)
+            if head is None:
+                parts = self._words(" " + piece)
+            else:
+                word = head[0]
+                if len(word) == len(piece):
+                    return self._word(word, kept, " ")
+                parts = [kept.get(word) or self._word(word, kept, " "), *self._words(piece[len(word):])]
+            got = ",".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+        return kept.put(piece, got) if len(piece) <= LONG_PIECE else got
 
     def _plain(self, text: str) -> list[tuple[str, bytes]]:
         if self.odd_space.search(text):
-            known = self.alone
-            return [known.get(w) or self._word(w) for w in self.pattern.findall(text)]
+            return self._words(text)
         first, *rest = text.split(" ")
         known = self.after_space
         out = [known.get(p) or self._spaced(p) for p in rest]
-        return [self._piece(first), *out] if first else out
+        return [*self._words(first), *out] if first else out
 
     def encode(self, text: str) -> tuple[str, np.ndarray]:
         """Decimal ids joined by commas, and the ids."""
@@ -306,29 +418,42 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return src.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
+def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids, decoded_sha256) of every row: the ids, and the SHA-256
+    of the text decoded from them."""
+    return _digested(df, path, id_col, text_col, True)
+
+
 def token_digests(df: DataFrame, path: str, id_col: str = "doc_id",
                   text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the comma-joined ids, SHA-256 of the
     text decoded from those ids."""
+    return _digested(df, path, id_col, text_col, False)
+
+
+def _digested(df: DataFrame, path: str, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
     shipped = _ship(df, path)
+    kind_of_ids = pa.list_(pa.int32()) if with_ids else pa.string()
+    ids_name = "ids" if with_ids else "ids_sha256"
 
     def run(batches):
         enc = _encoder(path, shipped)
         for b in batches:
-            count, ids_hash, text_hash = [], [], []
+            count, held, text_hash = [], [], []
             for text in b.column(1):
                 joined, ids = enc.encode(text.as_py() or "")
                 decoded = enc.automaton.decode(ids).decode("utf-8", "replace").encode()
                 count.append(len(ids))
-                ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
+                held.append(ids if with_ids else hashlib.sha256(joined.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(count, pa.int64()), pa.array(ids_hash, pa.string()),
+                [b.column(0), pa.array(count, pa.int64()), pa.array(held, kind_of_ids),
                  pa.array(text_hash, pa.string())],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                names=["id", "n_tokens", ids_name, "decoded_sha256"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
+    ids_kind = "array<int>" if with_ids else "string"
     return src.mapInArrow(
-        run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        run, f"id {kind}, n_tokens long, {ids_name} {ids_kind}, decoded_sha256 string"
     ).withColumnRenamed("id", id_col)

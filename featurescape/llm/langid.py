@@ -188,32 +188,47 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
     shipped = src.sparkSession.sparkContext.broadcast(model)   # BUCKETS x labels numbers
 
     def run(batches):
-        m = shipped.value
-        labels = np.array(m["labels"], object)
         for batch in batches:
-            data, off = _padded(batch.column(1))
-            sums = _sums(data, off, m["table"])
-            n = sums[:, -1]
-            p = _softmax(sums[:, :-1] / np.maximum(n, 1)[:, None] + m["bias"])
-            best = p.argmax(axis=1)
-            score, lang = p[np.arange(len(p)), best], labels[best]
-            for i in np.flatnonzero(n < 4):                    # a word of two letters has four grams
-                if _no_letter(batch.column(1)[int(i)].as_py()):
-                    score[i], lang[i] = 0.0, "und"
-            odd = np.flatnonzero(_ascii_letters(data, off) == 0)
-            for i in odd:
-                if lang[i] != "und" and _no_letter(batch.column(1)[int(i)].as_py()):
-                    score[i], lang[i] = 0.0, "und"
-            rejected = (lang == "und") | (score < m["reject_below"])
+            lang, score, rejected = _predict(batch.column(1), shipped.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score, pa.float64()),
-                 pa.array(rejected.astype(bool), pa.bool_())],
-                names=["id", "lang_pred", "score", "rejected"])
+                 pa.array(rejected)], names=["id", "lang_pred", "score", "rejected"])
 
     return src.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean"
                           ).withColumnRenamed("id", id_col)
 
 
+def keep_known(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected (none without a model)."""
+    if model is None:
+        return docs.where("false")
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            rejected = _predict(batch.column(at), shipped.value)[2]
+            yield batch.filter(pa.array(~rejected))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _predict(texts: pa.Array, model: dict):
+    """(label, score, rejected) of each text."""
+    labels = np.array(model["labels"], object)
+    if not len(texts):
+        return labels[:0], np.zeros(0), np.zeros(0, bool)
+    data, off = _padded(texts)
+    sums = _sums(data, off, model["table"])
+    p = _softmax(sums[:, :-1] / np.maximum(sums[:, -1], 1)[:, None] + model["bias"])
+    best = p.argmax(axis=1)
+    score, lang = p[np.arange(len(p)), best], labels[best]
+    for i in np.flatnonzero(_ascii_letters(data, off) == 0):   # perhaps letters of other scripts
+        if _no_letter(texts[int(i)].as_py()):
+            score[i], lang[i] = 0.0, "und"
+    return lang, score, (lang == "und") | (score < model["reject_below"])
+
+
 def _ascii_letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """ASCII letters of each padded text."""
     if len(off) == 1:

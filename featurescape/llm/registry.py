@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from featurescape.llm import bpe, langid, phrases, suffixes
+from featurescape.llm import (bpe, jaccard, langid, licences, mixing, pagetext, phrases, pii, suffixes,
+                              vptree)
 from featurescape.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,10 +19,34 @@ def op1_language(spark, sf_dir):
             .select("doc_id", "held_out", "lang_pred", "score", "rejected"))
 
 
+def op2_page_text(spark, sf_dir):
+    return pagetext.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op3_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark, sf_dir):
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
+def op5_jaccard(spark, sf_dir):
+    return jaccard.link_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op6_vptree(spark, sf_dir):
+    return vptree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_pii(spark, sf_dir):
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op9_repeats(spark, sf_dir):
     return suffixes.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -32,9 +57,16 @@ def op10_phrases(spark, sf_dir):
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_page_text": op2_page_text,
+    "op3_licences": op3_licences,
+    "op4_mixing": op4_mixing,
+    "op5_jaccard": op5_jaccard,
+    "op6_vptree": op6_vptree,
     "op7_bpe": op7_bpe,
+    "op8_pii": op8_pii,
     "op9_repeats": op9_repeats,
     "op10_phrases": op10_phrases,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# The other operators are tested against brute-force versions in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle_sql()}
