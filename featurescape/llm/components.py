@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
                             .select("a", F.least("a", "m").alias("m")))
         large = materialize(both.join(least, "a").where("b > a").select(
             F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
-        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = least.select("a", F.col("m").alias("b")).unionByName(tied)
         now = materialize(small.where("a != b").select(

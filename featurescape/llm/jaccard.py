@@ -22,8 +22,8 @@ member with the smallest share of rare tokens), not with each other.  After the
 links' components are known, members of a key that are still in different
 components are compared pair by pair, under a few of the keys first, then under
 all, so no link between different components is missed.  Each class carries
-256 parity bits of its set, whose difference bounds the overlap from above;
-pairs that pass this bound are decided by the exact overlap of the whole sets.
+256 parity bits of its set (large ones 4096 more), whose difference bounds the
+overlap from above; pairs that pass these bounds are decided by the exact overlap of the whole sets.
 
 Defined results: null or word-less text has an empty set, linked with nothing
 (its component is its own id).  Texts with fewer words than a shingle hold one
@@ -50,6 +50,8 @@ BLOCK = 1 << 16
 COUNTED = 0.3                # share of the hash range that is counted
 FREQUENT = 48                # documents from which a token is frequent, at least
 FIRST_KEYS = 32              # one key in so many is compared pair by pair first
+WIDE_BITS = 4096             # of the second signature
+WIDE_FROM = 400              # tokens from which a set has one
 BROADCAST_ROWS = 1_000_000   # keys of 16 bytes; above, a shuffle join is planned
 
 _SIGN = ["w0", "w1", "w2", "w3"]
@@ -192,25 +194,27 @@ def _keys(tokens: np.ndarray, rare: np.ndarray, percent: int, pairs_up_to: int)
     return np.concatenate(out), len(head) / length
 
 
-def _signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """256 parity bits of each set, as four longs: two sets' bits differ in no
-    more places than the sets have tokens of their own."""
+def _signatures(hashes: np.ndarray, bounds: np.ndarray, bits: int = 256) -> np.ndarray:
+    """Parity bits of each set, as longs: two sets' bits differ in no more places
+    than the sets have tokens of their own."""
     n = len(bounds) - 1
-    at = np.repeat(np.arange(n), np.diff(bounds)) * 256 + (hashes & np.uint64(255)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * 256) & 1).astype(np.uint8)
-    return np.packbits(odd).reshape(n, 32).view(np.int64)
+    at = np.repeat(np.arange(n), np.diff(bounds)) * bits + (hashes & np.uint64(bits - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(n, bits // 8).view(np.int64)
 
 
 def _index(size: int, percent: int, pairs_up_to: int, counters: int, shipped):
     """Document rows (kind 0) and key rows (kind 1).  ``node`` is the class: a
     hash of the set below a byte with its share of rare prefix tokens."""
     shift = np.uint64(64 - int(counters).bit_length() + 1)
-    names = ["kind", "id", "text_hash", "node", "n", "key", *_SIGN]
+    names = ["kind", "id", "text_hash", "node", "n", "key", *_SIGN, "wide"]
+    longs = pa.list_(pa.int64())
 
     def run(batches):
         flags = np.unpackbits(np.frombuffer(shipped.value, np.uint8), bitorder="little").astype(bool)
         for batch, at, sets in _each_set(batches, 2, size):
             nodes, sizes, keys, of = [], [], [], []
+            wide: list = [None] * len(sets)
             bounds = np.cumsum([0, *map(len, sets)])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             mixed = mix64(flat)
@@ -229,6 +233,8 @@ def _index(size: int, percent: int, pairs_up_to: int, counters: int, shipped):
                 node = int(share * 127) << 56 | total >> 8
                 nodes.append(node)
                 keys.append(key)
+                if n >= WIDE_FROM:
+                    wide[i] = _signatures(twice[a:b], np.array([0, n]), WIDE_BITS)[0]
                 of.append(np.full(len(key), i))
             m = len(sets)
             text = batch.slice(at, m)
@@ -236,7 +242,8 @@ def _index(size: int, percent: int, pairs_up_to: int, counters: int, shipped):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(m, np.int32)), text.column(0), text.column(1),
                  pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), none,
-                 *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(4))], names=names)
+                 *(pa.array(np.ascontiguousarray(signs[:, k])) for k in range(4)), pa.array(wide, longs)],
+                names=names)
             if keys:
                 of = np.concatenate(of)
                 m = len(of)
@@ -244,8 +251,8 @@ def _index(size: int, percent: int, pairs_up_to: int, counters: int, shipped):
                     [pa.array(np.ones(m, np.int32)), pa.nulls(m, text.column(0).type),
                      pa.nulls(m, pa.int64()), pa.array(nodes, pa.int64()).take(pa.array(of)),
                      pa.array(np.array(sizes, np.int32)[of]),
-                     pa.array(np.concatenate(keys).view(np.int64)), *[pa.nulls(m, pa.int64())] * 4],
-                    names=names)
+                     pa.array(np.concatenate(keys).view(np.int64)), *[pa.nulls(m, pa.int64())] * 4,
+                     pa.nulls(m, longs)], names=names)
     return run
 
 
@@ -267,6 +274,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, hashed: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold, by their exact overlap.  The
     text of one document of each class in the pairs is read again."""
+    pairs = _possible_wide(pairs, classes, percent)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = materialize(classes.join(nodes, "node", "left_semi").select("node", "text_hash", "key_id"))
     sets = materialize(
@@ -300,18 +308,18 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = materialize(hashed.mapInArrow(
         _index(size, percent, pairs_up_to, counters, shipped),
         "kind int, id long, text_hash long, node long, n int, key long, "
-        "w0 long, w1 long, w2 long, w3 long"))
+        "w0 long, w1 long, w2 long, w3 long, wide array<long>"))
     documents, index = rows.where("kind = 0"), rows.where("kind = 1").select("key", "node", "n")
     hubs = materialize(index.groupBy("key").agg(
         F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"))
         .where("hub.node != last").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
     shared = materialize(materialize(index.join(hubs, "key")).distinct())
     classes = materialize(documents.where("node is not null").groupBy("node").agg(
-        F.min(F.struct("text_hash", F.coalesce("id", F.lit(0)).alias("key_id"), "n", *_SIGN)).alias("at"))
-        .select("node", "at.*"))
+        F.min(F.struct("text_hash", F.coalesce("id", F.lit(0)).alias("key_id"), "n", *_SIGN)).alias("at"),
+        F.any_value("wide").alias("wide")).select("node", "at.*", "wide"))
     stars = shared.where((F.col("node") != F.col("hub")) & _size_fits(F.col("n"), F.col("hub_n"), percent))
     signs = classes.select("node", "n", *_SIGN)
-    known = _unresolved_pairs(
+    known = _possible(
         stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), signs, percent)
     links = materialize(_verified(known, hashed, classes, size, percent))
     roots = materialize(components(links))
@@ -327,11 +335,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _labelled(documents, roots, id_col)
 
 
-def _unresolved_pairs(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and signatures leave room for a link (written)."""
+def _possible(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and signatures leave room for a link."""
     a, b = (signs.select(*[F.col(c).alias(c + side) for c in ("node", "n", *_SIGN)]) for side in "ab")
     both = pairs.join(a, F.col("a") == F.col("nodea")).join(b, F.col("b") == F.col("nodeb"))
-    return materialize(both.where(_may_link(percent)).select("a", "b"))
+    return both.where(_may_link(percent)).select("a", "b")
+
+
+def _possible_wide(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the wide signatures of large sets do not rule out (written)."""
+    a, b = (classes.select(*[F.col(c).alias(c + side) for c in ("node", "n", "wide")]) for side in "ab")
+    both = pairs.join(a, F.col("a") == F.col("nodea")).join(b, F.col("b") == F.col("nodeb"))
+    total = (F.col("na") + F.col("nb")).cast("long")
+    differ = F.aggregate(F.zip_with("widea", "wideb", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
+                         F.lit(0), lambda acc, x: acc + x)
+    room = (total - differ) * (100 + percent) >= 2 * percent * total
+    return materialize(both.where(F.coalesce(room, F.lit(True))).select("a", "b"))
 
 
 def _may_link(percent: int):
@@ -343,8 +362,7 @@ def _may_link(percent: int):
 
 
 def _cross_pairs(member: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a key's members that may link and are in different components
-    so far (written)."""
+    """Pairs of a key's members that may link and are in different components so far."""
     member = materialize(member.join(roots, "node", "left")
                          .withColumn("root", F.coalesce("root", "node")))
     split = materialize(member.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
@@ -353,8 +371,8 @@ def _cross_pairs(member: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     a, b = (member.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "root", *_SIGN)])
             for side in "ab")
     meet = (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _may_link(percent)
-    return materialize(a.join(b, (a["key"] == b["key"]) & meet)
-                       .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct())
+    return (a.join(b, (a["key"] == b["key"]) & meet)
+            .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct())
 
 
 def _labelled(documents: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
