@@ -20,8 +20,8 @@ for all documents, so any error of the sketch costs time only.
 Verification.  Members of a key are first compared with one hub each (the
 member with the smallest share of rare tokens), not with each other.  After the
 links' components are known, members of a key that are still in different
-components are compared pair by pair, under a few of the keys first, then under
-all, so no link between different components is missed.  Each class carries
+components are compared pair by pair, a hashed share of the pairs first, then all
+that are left, so no link between different components is missed.  Each class carries
 256 parity bits of its set (large ones 4096 more), whose difference bounds the
 overlap from above; pairs that pass these bounds are decided by the exact overlap of the whole sets.
 
@@ -49,7 +49,8 @@ COUNTERS = 1 << 22           # of the sketch: 8 MB a task, merged; 512 KB of fla
 BLOCK = 1 << 16
 COUNTED = 0.3                # share of the hash range that is counted
 FREQUENT = 48                # documents from which a token is frequent, at least
-FIRST_KEYS = 32              # one key in so many is compared pair by pair first
+FIRST_PAIRS = (64, 8, 1)     # one pair of members in so many is compared, in turn
+SLICE = 1 << 20              # bytes of text shingled at a time
 WIDE_BITS = 4096             # of the second signature
 WIDE_FROM = 400              # tokens from which a set has one
 BROADCAST_ROWS = 1_000_000   # keys of 16 bytes; above, a shuffle join is planned
@@ -67,7 +68,7 @@ _POWER = _INVERSE = np.ones(1, np.uint64)
 def _powers(n: int):
     global _POWER, _INVERSE
     if len(_POWER) < n + 1:
-        p = np.full(max(n + 1, 1 << 21), _BASE, np.uint64)
+        p = np.full(max(n + 1, 1 << 20), _BASE, np.uint64)
         p[0] = 1
         _POWER = np.cumprod(p)
         p[1:] = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -116,7 +117,7 @@ def _each_set(batches, text_at: int, size: int):
         col = (col.fill_null("") if col.null_count else col).cast(pa.large_string())
         space, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
         data, off = text_bytes(pc.binary_join_element_wise(col, space, none))
-        for i, j in slices(off):
+        for i, j in slices(off, SLICE):
             yield batch, i, _sets(data[off[i]:off[j]], off[i:j + 1] - off[i], size)
 
 
@@ -323,11 +324,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), signs, percent)
     links = materialize(_verified(known, hashed, classes, size, percent))
     roots = materialize(components(links))
-    # A few of the keys first: they join most of what is to be joined, and a
-    # pair that has come together is not looked at under its other keys.
+    # A few of the pairs first: they join most of what is to be joined, and a pair
+    # that has come together is not looked at again.
     member = shared.select("key", "node").join(signs, "node")
-    for some in (F.pmod(F.xxhash64("key"), F.lit(FIRST_KEYS)) == 0, F.lit(True)):
-        found = _verified(_cross_pairs(member.where(some), roots, percent), hashed, classes, size, percent)
+    for share in FIRST_PAIRS:
+        pairs = _cross_pairs(member, roots, share, percent)
+        found = _verified(pairs, hashed, classes, size, percent)
         found = materialize(found)
         if not found.isEmpty():
             links = links.unionByName(found)
@@ -361,8 +363,9 @@ def _may_link(percent: int):
             & ((total - differ) * (100 + percent) >= 2 * percent * total))
 
 
-def _cross_pairs(member: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a key's members that may link and are in different components so far."""
+def _cross_pairs(member: DataFrame, roots: DataFrame, share: int, percent: int) -> DataFrame:
+    """Pairs of a key's members that may link and are in different components so
+    far; one in ``share`` by a hash of the pair."""
     member = materialize(member.join(roots, "node", "left")
                          .withColumn("root", F.coalesce("root", "node")))
     split = materialize(member.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
@@ -371,6 +374,8 @@ def _cross_pairs(member: DataFrame, roots: DataFrame, percent: int) -> DataFrame
     a, b = (member.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "root", *_SIGN)])
             for side in "ab")
     meet = (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _may_link(percent)
+    if share > 1:
+        meet &= F.pmod(F.xxhash64("nodea", "nodeb"), F.lit(share)) == 0
     return (a.join(b, (a["key"] == b["key"]) & meet)
             .select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct())
 
