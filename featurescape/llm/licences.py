@@ -150,11 +150,11 @@ words AS (
 grams AS (
   SELECT DISTINCT r, doc_id, segment, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram
   FROM words WHERE len(w) > 1),
-own AS (SELECT r, doc_id, segment, count(*) AS n FROM grams GROUP BY ALL),
+own AS (SELECT r, segment, count(*) AS n FROM grams GROUP BY ALL),
 hits AS (SELECT r, doc_id, segment, licence, count(*) AS common FROM grams JOIN t USING (gram) GROUP BY ALL),
 scored AS (
   SELECT r, doc_id, segment, licence, 2.0::DOUBLE * common / (own.n + size.n) AS dice
-  FROM hits JOIN own USING (r, doc_id, segment) JOIN size USING (licence)),
+  FROM hits JOIN own USING (r, segment) JOIN size USING (licence)),
 best AS (
   SELECT *, row_number() OVER (PARTITION BY r, segment ORDER BY dice DESC, licence) AS k
   FROM scored WHERE dice >= {threshold})
