@@ -218,7 +218,8 @@ def minmax(df: DataFrame, cols: list[str]) -> DataFrame:
     row = df.agg(*aggs).collect()[0]
     out = df
     for c in cols:
-        out = out.withColumn(c, minmax_expr(fill_number(F.col(f"`{c}`")), float(row[f"lo_{c}"]), float(row[f"hi_{c}"])))
+        lo, hi = (0.0 if row[k] is None else float(row[k]) for k in (f"lo_{c}", f"hi_{c}"))  # no rows
+        out = out.withColumn(c, minmax_expr(fill_number(F.col(f"`{c}`")), lo, hi))
     return out
 
 
@@ -232,7 +233,7 @@ def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     row = df.agg(*aggs).collect()[0]
     out = df
     for c in cols:
-        m, s = float(row[f"m_{c}"]), float(row[f"s_{c}"])
+        m, s = (0.0 if row[k] is None else float(row[k]) for k in (f"m_{c}", f"s_{c}"))  # no rows
         s = 1.0 if s == 0 else s
         out = out.withColumn(c, (fill_number(F.col(f"`{c}`")) - F.lit(m)) / F.lit(s))
     return out

@@ -63,43 +63,43 @@ def with_global_index(df: DataFrame, order_cols: list[str], name: str = "idx",
     return out
 
 
-def _file_order_columns(df: DataFrame):
-    """(file_path, block_start) of a file scan, or None for other plans."""
+def _parquet_rows(df: DataFrame):
+    """(file_path, row_index) of a Parquet scan, or None for other plans."""
     try:
-        probe = df.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-        probe.schema  # noqa: B018 - forces analysis
-        return F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
-    except Exception:  # noqa: BLE001 - not a file scan
+        df.select("_metadata.file_path", "_metadata.row_index").schema  # noqa: B018 - forces analysis
+        return F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    except Exception:  # noqa: BLE001 - no Parquet scan
         return None
 
 
 def with_row_number(df: DataFrame, name: str = "_rownum") -> DataFrame:
-    """1-based row number in source order: files by path, then position in
-    the file; other plans by partition order (materialised first, because a
-    re-executed shuffle may reorder rows)."""
-    if "_src_file" in df.columns and "_src_block" in df.columns:
-        df = df.withColumnRenamed("_src_file", "_sf").withColumnRenamed("_src_block", "_sb")
-        meta = (F.col("_sf"), F.col("_sb"))
-    else:
-        meta = _file_order_columns(df)
-    if meta is None:
-        tagged = materialize(df.withColumn("_mid", F.monotonically_increasing_id()))
-        fcol, bcol = F.lit(""), F.lit(0).cast("long")
-    else:
-        tagged = df.withColumn("_mid", F.monotonically_increasing_id())
-        fcol, bcol = meta
-    tagged = (tagged.withColumn("_f", fcol).withColumn("_b", bcol)
-                    .withColumn("_p", F.shiftright(F.col("_mid"), 33)))
+    """1-based row number in source order: files by path, then position in the
+    file; other plans by partition order.
+
+    A Parquet scan numbers rows by their index in the file, which does not
+    depend on how the file is split.  Any other source is written once with its
+    tags, so that the counts and the rows come from the same splits: a change of
+    splits between two scans (executors gained or lost, another split size)
+    can neither drop nor renumber rows.
+    """
+    rows = None if "_src_file" in df.columns else _parquet_rows(df)
+    if rows is not None:
+        path, index = rows
+        counts = df.select(path.alias("_f")).groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+        offsets = broadcast_if_small(materialize(_offsets(counts, ["_f"], "_n", "_off").drop("_n")))
+        return (df.withColumn("_f", path).withColumn("_row", index).join(offsets, "_f")
+                  .withColumn(name, F.col("_off") + F.col("_row") + 1).drop("_f", "_row", "_off"))
+    sourced = "_src_file" in df.columns and "_src_block" in df.columns
+    fcol, bcol = (F.col("_src_file"), F.col("_src_block")) if sourced else (F.lit(""), F.lit(0).cast("long"))
+    tagged = df.withColumn("_mid", F.monotonically_increasing_id()).withColumn("_f", fcol).withColumn("_b", bcol)
+    tagged = materialize(tagged.drop(*(("_src_file", "_src_block") if sourced else ())))
+    tagged = tagged.withColumn("_p", F.shiftright(F.col("_mid"), 33))
     blocks = (tagged.groupBy("_f", "_b", "_p")
                     .agg(F.min("_mid").alias("_m0"), F.count(F.lit(1)).alias("_n")))
-    # one row per block: written once, so the size check and the join do not
-    # each re-scan the source to derive it
-    offsets = materialize(_offsets(blocks, ["_f", "_b", "_p"], "_n", "_off").drop("_n"))
-    offsets = broadcast_if_small(offsets)
-    out = (tagged.join(offsets, ["_f", "_b", "_p"])
-                 .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
-                 .drop("_f", "_b", "_p", "_mid", "_m0", "_off"))
-    return out.drop(*[c for c in ("_sf", "_sb") if c in out.columns])
+    offsets = broadcast_if_small(materialize(_offsets(blocks, ["_f", "_b", "_p"], "_n", "_off").drop("_n")))
+    return (tagged.join(offsets, ["_f", "_b", "_p"])
+                  .withColumn(name, F.col("_off") + F.col("_mid") - F.col("_m0") + 1)
+                  .drop("_f", "_b", "_p", "_mid", "_m0", "_off"))
 
 
 def ensure_id(df: DataFrame, keep_order_column: bool = False) -> DataFrame:

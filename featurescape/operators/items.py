@@ -119,8 +119,8 @@ def dedupe_positions(pos: DataFrame, order_col: str = "_pord", id_col: str = "ID
 def attach_positions(items: DataFrame, positions: DataFrame, algorithms: list[str],
                      id_col: str = "ID", order_col: str | None = None) -> DataFrame:
     """JN-1/JN-2: items LEFT JOIN positions, one ``(x, y)`` column pair per
-    algorithm.  Duplicate position ids: last wins (when ``order_col`` gives
-    the file order); positions of unknown ids are ignored; duplicate items
+    algorithm.  Duplicate position ids: last wins when ``order_col`` gives the
+    file order, else the largest (x, y); positions of unknown ids are ignored; duplicate items
     all receive the position (Q9).  The positions are pivoted by id with a
     fixed algorithm list (no extra pass to discover the pivot values), then
     one equi-join -- sort-merge at scale, AQE may switch to broadcast."""
@@ -130,10 +130,10 @@ def attach_positions(items: DataFrame, positions: DataFrame, algorithms: list[st
     pos = pos.where(F.col("algorithm").isin(*algorithms))
     piv = (pos.groupBy(F.col(id_col).cast("string").alias("_pid"))
               .pivot("algorithm", algorithms)
-              .agg(F.last("x").alias("x"), F.last("y").alias("y")))
+              .agg(F.max(F.struct("x", "y"))))              # x and y of one row
     rename = []
     for a in algorithms:
-        rename += [F.col(f"`{a}_x`").alias(f"{a}_x"), F.col(f"`{a}_y`").alias(f"{a}_y")]
+        rename += [F.col(f"`{a}`.x").alias(f"{a}_x"), F.col(f"`{a}`.y").alias(f"{a}_y")]
     piv = piv.select("_pid", *rename)
     out = items.join(piv, F.col(id_col).cast("string") == F.col("_pid"), "left").drop("_pid")
     return out
@@ -145,7 +145,8 @@ def attach_thumbnails(items: DataFrame, thumbs: DataFrame, id_col: str = "ID") -
     return items.join(t, F.col(id_col).cast("string") == F.col("_tid"), "left").drop("_tid")
 
 
-def random_item(items: DataFrame, seed: int = 42) -> DataFrame:
-    """SMP-1: one random item (for the legend).  A fixed-seed random key per
-    row, then top-1 (the limit is the feature)."""
-    return items.withColumn("_r", F.rand(seed)).orderBy("_r").limit(1).drop("_r")
+def random_item(items: DataFrame, seed: int = 42, id_col: str = "ID") -> DataFrame:
+    """SMP-1: one random item (for the legend; the limit is the feature): the first
+    in the order of a hash of seed and id, whatever the partitions."""
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")).cast("binary"))
+    return items.withColumn("_r", key).orderBy("_r", id_col).limit(1).drop("_r")

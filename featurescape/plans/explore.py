@@ -25,14 +25,16 @@ def explore(encoded: DataFrame, pos: DataFrame, algorithm: str, flt: list | None
     it = it.withColumnRenamed(f"{algorithm}_x", "x").withColumnRenamed(f"{algorithm}_y", "y")
     it = filters.mark_passive(it, flt or [])
     if order_col not in it.columns:
-        it = it.withColumn(order_col, F.monotonically_increasing_id())
+        raise ValueError(f"the items need their order in a column {order_col}")
     scaled = positions.scale_positions(it.where(F.col("x").isNotNull() & F.col("y").isNotNull()),
                                        width, height)
     if color_feature is not None:
         scaled = scaled.withColumn("color", colors.item_color(F.col(f"`{color_feature}`"), F.col("passive")))
     clustered = cluster.ball_clusters(scaled.select(id_col, order_col, "x", "y"), radius, id_col, order_col)
-    flags = clustered.select(F.col(id_col).alias("_cid"), "clustered", "representative", "cluster",
-                             F.col("visible").alias("_vis"))
+    # Ids may repeat: items with one id stand at one position and share their
+    # flags, so the flags are one row for each id.
+    flags = clustered.groupBy(F.col(id_col).alias("_cid")).agg(
+        *[F.max(c).alias(c) for c in ("clustered", "representative", "cluster")], F.max("visible").alias("_vis"))
     out = scaled.join(flags, F.col(id_col) == F.col("_cid"), "left").drop("_cid")
     vis = F.col("_vis") if aggregated else F.lit(True)
     return out.withColumn("visible", F.coalesce(vis, F.lit(True))).drop("_vis")

@@ -73,12 +73,14 @@ def snapshot_base(stem: str, date: _dt.date | None = None) -> str:
 
 
 def _writer(df: DataFrame, fmt: str, mode: str):
-    w = df.write.mode(mode)
+    """``overwrite`` replaces the partitions that are written, no others: a second
+    run of a snapshot leaves it once."""
+    w = df.write.mode(mode).option("partitionOverwriteMode", "dynamic")
     return w.format("json" if fmt == "json" else "parquet")
 
 
 def write_features(items: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "parquet",
-                   mode: str = "append") -> None:
+                   mode: str = "overwrite") -> None:
     """SNK-2: item records under ``dataset=/time=`` partitions."""
     df = items.select("defaultcontext", "features", "id", "values").withColumn(
         "dataset", F.lit(dataset)).withColumn("time", F.lit(time))
@@ -86,21 +88,21 @@ def write_features(items: DataFrame, out_dir: str, dataset: str, time: str, fmt:
 
 
 def write_meta(meta: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "json",
-               mode: str = "append") -> None:
+               mode: str = "overwrite") -> None:
     """SNK-3: the one-row meta document."""
     df = meta.withColumn("dataset", F.lit(dataset)).withColumn("time", F.lit(time))
     _writer(df, fmt, mode).partitionBy("dataset", "time").save(f"{out_dir}/meta")
 
 
 def write_schema(schema_doc: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "json",
-                 mode: str = "append") -> None:
+                 mode: str = "overwrite") -> None:
     """SNK-4: the one-row schema document."""
     df = schema_doc.withColumn("dataset", F.lit(dataset)).withColumn("time", F.lit(time))
     _writer(df, fmt, mode).partitionBy("dataset", "time").save(f"{out_dir}/schema")
 
 
 def write_positions(pos: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "parquet",
-                    mode: str = "append") -> None:
+                    mode: str = "overwrite") -> None:
     """SNK-5: tidy positions partitioned by algorithm (names sanitised,
     Q17).  A set without valid rows writes nothing (empty partitions are
     not created)."""

@@ -308,3 +308,47 @@ def test_snapshot_reads_prune_partitions(spark, tmpdir_fresh):
     assert df.count() == 10
     algos = {r["algorithm"] for r in interchange.read_snapshot_positions(spark, out, "wine").collect()}
     assert algos == {"my_algo"}                      # sanitised on write (Q17)
+
+
+def test_row_numbers_survive_a_change_of_splits(spark, tmpdir_fresh):
+    import os
+
+    from featurescape.operators.ids import ensure_id
+    from featurescape.sources.tables import read_table
+
+    path = os.path.join(tmpdir_fresh, "big.csv")
+    with open(path, "w") as f:
+        f.write("name,value\n" + "".join(f"n{i:06d},{i}\n" for i in range(60_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for source in ("csv", "parquet"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(400_000))
+            if source == "csv":
+                table = read_table(spark, path)
+            else:
+                spark.read.csv(path, header=True).coalesce(1).write.parquet(path + ".parquet")
+                table = ensure_id(spark.read.parquet(path + ".parquet"))
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(300_000))
+            rows = table.select("ID", "name").collect()
+            assert len(rows) == 60_000
+            assert all(r["ID"] == str(int(r["name"][1:]) + 1) for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_second_run_replaces_the_snapshot(spark, tmpdir_fresh):
+    import datetime
+    import os
+
+    from featurescape.plans.ingest import prepare_dataset
+
+    path = os.path.join(tmpdir_fresh, "cars.csv")
+    with open(path, "w") as f:
+        f.write("id,a,b\n" + "".join(f"c{i},{i},{i * i}\n" for i in range(20)))
+    out = os.path.join(tmpdir_fresh, "out")
+    for day in (1, 1, 2):
+        prepare_dataset(spark, path, out, datetime.date(2026, 1, day))
+    for kind, n in (("feature", 20), ("position", 20)):
+        rows = spark.read.parquet(f"{out}/{kind}").groupBy("time").count().collect()
+        assert [r["count"] for r in rows] == [n, n]
+    assert spark.read.json(f"{out}/meta").count() == 2
