@@ -40,12 +40,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurescape.llm.common import HELD, enter, small_batches
+
 # The byte-level pre-split pattern of the public vocabulary.
 PRE_SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
              r"|\s+(?!\S)|\s+")
-ARCS_KEPT = 1_000_000        # arcs of the table a worker keeps
+ARCS_KEPT = 500_000        # arcs of the table a worker keeps
 DECODE_STEP = 1 << 18       # ids decoded at a time
-WORDS_KEPT = 300_000        # pre-split pieces remembered per worker
+WORDS_KEPT = 150_000        # pre-split pieces remembered per worker
 LONG_PIECE = 64             # longer pieces are encoded each time they occur
 
 
@@ -368,11 +370,12 @@ class Encoder:
         return joined, np.frombuffer(b"".join([p[1] for p in parts]), np.int32)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = HELD.setdefault("bpe", {})
 
 
 def _encoder(path: str, shipped) -> Encoder:
     """The worker's automaton for a vocabulary (built once per worker)."""
+    enter("bpe")
     if path not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path] = Encoder(shipped.value)
@@ -381,7 +384,7 @@ def _encoder(path: str, shipped) -> Encoder:
 
 def _ship(df: DataFrame, path: str):
     # Bounded by the vocabulary (about 2 MB for 50k tokens), read by the driver alone.
-    return df.sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    return small_batches(df).sparkSession.sparkContext.broadcast(load_vocabulary(path))
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,32 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 
 
+# Rows of an Arrow batch: texts of some KB make batches of some MB.
+BATCH_ROWS = 1000
+
+# What operators keep in a Python worker between tasks, by operator.
+HELD: dict[str, dict] = {}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends batches of ``BATCH_ROWS`` rows at most to Python."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def enter(operator: str) -> None:
+    """At a task's start: drop what other operators kept in this worker."""
+    others = [held for name, held in HELD.items() if name != operator and held]
+    for held in others:
+        held.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

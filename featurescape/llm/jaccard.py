@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurescape.llm.common import byte_table, mix64, slices, text_bytes
+from featurescape.llm.common import byte_table, enter, mix64, slices, small_batches, text_bytes
 from featurescape.llm.components import components
 from featurescape.session import materialize
 
@@ -112,6 +112,7 @@ def _fold(word: np.ndarray, size: int) -> np.ndarray:
 
 def _each_set(batches, text_at: int, size: int):
     """(batch, rows from, sets) for slices of each batch."""
+    enter("jaccard")
     for batch in batches:
         col = batch.column(text_at)
         col = (col.fill_null("") if col.null_count else col).cast(pa.large_string())
@@ -302,7 +303,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles link at a Jaccard similarity of ``percent`` / 100 or more."""
     if not 0 < percent <= 100 or size < 1:
         raise ValueError("percent must be in 1..100 and size positive")
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shipped = spark.sparkContext.broadcast(frequent_flags(src.select("text"), size, counters, frequent))
     hashed = src.select("id", F.xxhash64("text").alias("text_hash"), "text")

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurescape.llm.common import text_bytes
+from featurescape.llm.common import enter, small_batches, text_bytes
 
 BUCKETS = 1 << 13
 WIDTH = 16                  # embedding width
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
     if model is None:
         return src.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"),
                           F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shipped = src.sparkSession.sparkContext.broadcast(model)   # BUCKETS x labels numbers
+    shipped = small_batches(src).sparkSession.sparkContext.broadcast(model)   # BUCKETS x labels numbers
 
     def run(batches):
         for batch in batches:
@@ -202,7 +202,7 @@ def keep_known(docs: DataFrame, model: dict | None, text_col: str = "text") -> D
     """The rows of ``docs``, all columns, that are not rejected (none without a model)."""
     if model is None:
         return docs.where("false")
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = small_batches(docs).sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -215,6 +215,7 @@ def keep_known(docs: DataFrame, model: dict | None, text_col: str = "text") -> D
 
 def _predict(texts: pa.Array, model: dict):
     """(label, score, rejected) of each text."""
+    enter("langid")
     labels = np.array(model["labels"], object)
     if not len(texts):
         return labels[:0], np.zeros(0), np.zeros(0, bool)

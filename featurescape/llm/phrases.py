@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurescape.llm.common import byte_table, in_order, mix64, slices, text_bytes
+from featurescape.llm.common import byte_table, enter, in_order, mix64, slices, small_batches, text_bytes
 
 BINS = 128
 LEVEL, SHORT, RUN = 3, 400, 5
@@ -227,6 +227,7 @@ def _with_next(batches):
 
 
 def _compare(batches):
+    enter("phrases")
     for t, last in _with_next(batches):
         side, bucket = t["_side"].to_numpy(), t["_bucket"].to_numpy()
         texts = [x or "" for x in t["text"].to_pylist()]
@@ -257,7 +258,7 @@ def _compare(batches):
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text (last half replaced by the
     start of the next document in descending id order) and their likeness."""
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chained = in_order(src, [F.col("id").isNull().cast("int"), F.coalesce(-F.col("id"), F.lit(0)),
                              F.xxhash64("text"), F.octet_length("text")], wrap=True)
     return chained.mapInArrow(

@@ -40,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurescape.llm.common import byte_table, mix64, shuffle_width, slices, text_bytes
+from featurescape.llm.common import (HELD, byte_table, enter, mix64, shuffle_width, slices, small_batches,
+                                     text_bytes)
 from featurescape.session import materialize
 
 WIDTH, GRAM = 400, 100
@@ -73,7 +74,7 @@ class _Hasher:
         return (prefix[end] - prefix[start]) * self.inverse[start]
 
 
-_HASHERS: dict[tuple[int, int], _Hasher] = {}
+_HASHERS: dict[tuple[int, int], _Hasher] = HELD.setdefault("suffixes", {})
 
 
 def _hasher(seed: int, size: int) -> _Hasher:
@@ -126,6 +127,7 @@ def _runs(data: np.ndarray, off: np.ndarray, width: int, gram: int):
 
 def _occurrences(width: int, gram: int):
     def run(batches):
+        enter("suffixes")
         for batch in batches:
             data, off = text_bytes(batch.column(3))
             for i, j in slices(off):
@@ -307,7 +309,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", width: int = WIDTH,
     windows, the ranges [first, last] of their starts, in bytes."""
     if not 0 < gram < width:
         raise ValueError("gram must be smaller than width")
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     texts = _keyed(docs, text_col)
     occ = materialize(texts.where(f"octet_length(text) >= {width}").mapInArrow(
         _occurrences(width, gram),
