@@ -45,12 +45,12 @@ from featurescape.session import materialize
 
 K = 2                        # tokens of a combination
 PAIRS_UP_TO = 150            # larger sets index frequent tokens singly
-COUNTERS = 1 << 22           # of the sketch: 8 MB a task, merged; 512 KB of flags sent out
+COUNTERS = 1 << 21           # of the sketch: 4 MB a task, merged; 256 KB of flags sent out
 BLOCK = 1 << 16
 COUNTED = 0.3                # share of the hash range that is counted
 FREQUENT = 48                # documents from which a token is frequent, at least
 FIRST_PAIRS = (64, 8, 1)     # one pair of members in so many is compared, in turn
-SLICE = 1 << 20              # bytes of text shingled at a time
+SLICE = 1 << 19              # bytes of text shingled at a time
 WIDE_BITS = 4096             # of the second signature
 WIDE_FROM = 400              # tokens from which a set has one
 BROADCAST_ROWS = 1_000_000   # keys of 16 bytes; above, a shuffle join is planned
@@ -133,7 +133,7 @@ def _count_blocks(size: int, counters: int):
             part = [s[:np.searchsorted(s, below)] for s in sets]
             held += part
             n += sum(map(len, part))
-            if n > 1 << 21:
+            if n > 1 << 20:
                 total += np.bincount((mix64(np.concatenate(held)) >> shift).astype(np.int64),
                                      minlength=counters).astype(np.uint32)
                 held, n = [], 0
@@ -165,7 +165,7 @@ def frequent_flags(docs: DataFrame, size: int, counters: int = COUNTERS, at_leas
     schema = "block long, salt long, tokens long, counts binary"
     blocks = docs.mapInArrow(_count_blocks(size, counters), schema)
     blocks = blocks.groupBy("block", "salt").applyInPandas(_add_blocks, schema)
-    rows = blocks.groupBy("block").applyInPandas(_add_blocks, schema).collect()  # one a block: 8 MB
+    rows = blocks.groupBy("block").applyInPandas(_add_blocks, schema).collect()  # one a block: 4 MB
     total = sum(r["tokens"] for r in rows)
     limit = min(max(at_least, 8 * total // counters), 65535)
     flags = np.zeros(counters, bool)

@@ -188,6 +188,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
     shipped = small_batches(src).sparkSession.sparkContext.broadcast(model)   # BUCKETS x labels numbers
 
     def run(batches):
+        enter("langid")
         for batch in batches:
             lang, score, rejected = _predict(batch.column(1), shipped.value)
             yield pa.RecordBatch.from_arrays(
@@ -206,6 +207,7 @@ def keep_known(docs: DataFrame, model: dict | None, text_col: str = "text") -> D
     at = docs.columns.index(text_col)
 
     def run(batches):
+        enter("langid")
         for batch in batches:
             rejected = _predict(batch.column(at), shipped.value)[2]
             yield batch.filter(pa.array(~rejected))
@@ -215,7 +217,6 @@ def keep_known(docs: DataFrame, model: dict | None, text_col: str = "text") -> D
 
 def _predict(texts: pa.Array, model: dict):
     """(label, score, rejected) of each text."""
-    enter("langid")
     labels = np.array(model["labels"], object)
     if not len(texts):
         return labels[:0], np.zeros(0), np.zeros(0, bool)
