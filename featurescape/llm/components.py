@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurescape.session import materialize
+from featurescape.session import drop_tables, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     neighbour.  Small star: its smaller neighbours are.  Rounds are about
     logarithmic in the longest path; the edge table shrinks to stars around the
     roots.  Every round is a written table; minima are combined map-side before
-    they are joined back, so a hub is no group in one task.
+    they are joined back, so a hub is no group in one task.  A round's tables go when
+    the next one's edges are written; the last edges stay, for the result.
     """
     now = materialize(edges.where("a != b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -25,13 +26,16 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.min("b").alias("m"))
                             .select("a", F.least("a", "m").alias("m")))
+        least_before = least
         large = materialize(both.join(least, "a").where("b > a").select(
             F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = least.select("a", F.col("m").alias("b")).unionByName(tied)
+        before = now
         now = materialize(small.where("a != b").select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        drop_tables(before, least_before, large)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

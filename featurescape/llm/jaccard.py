@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from featurescape.llm.common import byte_table, enter, mix64, slices, small_batches, text_bytes
 from featurescape.llm.components import components
-from featurescape.session import materialize
+from featurescape.session import drop_tables, materialize
 
 K = 2                        # tokens of a combination
 PAIRS_UP_TO = 150            # larger sets index frequent tokens singly
@@ -274,7 +274,7 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, hashed: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets reach the threshold, by their exact overlap.  The
+    """Pairs (a, b) whose sets reach the threshold, by their exact overlap (written).  The
     text of one document of each class in the pairs is read again."""
     pairs = _possible_wide(pairs, classes, percent)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -289,7 +289,9 @@ def _verified(pairs: DataFrame, hashed: DataFrame, classes: DataFrame, size: int
     both = pairs.join(left, "a").join(right, "b").withColumn(
         "common", F.size(F.array_intersect("ta", "tb")).cast("long"))
     union = F.size("ta") + F.size("tb") - F.col("common")
-    return both.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct()
+    found = materialize(both.where(F.col("common") * 100 >= union * percent).select("a", "b").distinct())
+    drop_tables(pairs, wanted, sets)
+    return found
 
 
 def _size_fits(n, m, percent: int):
@@ -311,11 +313,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _index(size, percent, pairs_up_to, counters, shipped),
         "kind int, id long, text_hash long, node long, n int, key long, "
         "w0 long, w1 long, w2 long, w3 long, wide array<long>"))
-    documents, index = rows.where("kind = 0"), rows.where("kind = 1").select("key", "node", "n")
+    documents = materialize(rows.where("kind = 0"))
+    index = rows.where("kind = 1").select("key", "node", "n")
     hubs = materialize(index.groupBy("key").agg(
         F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"))
         .where("hub.node != last").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    shared = materialize(materialize(index.join(hubs, "key")).distinct())
+    met = materialize(index.join(hubs, "key"))
+    drop_tables(rows, hubs)
+    shared = materialize(met.distinct())
+    drop_tables(met)
     classes = materialize(documents.where("node is not null").groupBy("node").agg(
         F.min(F.struct("text_hash", F.coalesce("id", F.lit(0)).alias("key_id"), "n", *_SIGN)).alias("at"),
         F.any_value("wide").alias("wide")).select("node", "at.*", "wide"))
@@ -323,18 +329,22 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = classes.select("node", "n", *_SIGN)
     known = _possible(
         stars.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), signs, percent)
-    links = materialize(_verified(known, hashed, classes, size, percent))
+    links = _verified(known, hashed, classes, size, percent)
     roots = materialize(components(links))
-    # A few of the pairs first: they join most of what is to be joined, and a pair
-    # that has come together is not looked at again.
-    member = shared.select("key", "node").join(signs, "node")
+    # A few of the pairs first: they join most of what is to be joined.  A pair that
+    # has come together is not looked at again, nor is a key all of whose members have.
+    member = shared
     for share in FIRST_PAIRS:
-        pairs = _cross_pairs(member, roots, share, percent)
+        apart = _apart(member, roots)
+        drop_tables(member)
+        member = apart
+        pairs = _cross_pairs(member, signs, share, percent)
         found = _verified(pairs, hashed, classes, size, percent)
-        found = materialize(found)
         if not found.isEmpty():
             links = links.unionByName(found)
+            drop_tables(roots)
             roots = materialize(components(links))
+    drop_tables(member, classes)
     return _labelled(documents, roots, id_col)
 
 
@@ -364,14 +374,21 @@ def _may_link(percent: int):
             & ((total - differ) * (100 + percent) >= 2 * percent * total))
 
 
-def _cross_pairs(member: DataFrame, roots: DataFrame, share: int, percent: int) -> DataFrame:
+def _apart(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, root) of the keys whose members are in different components (written)."""
+    placed = materialize(member.select("key", "node").join(roots, "node", "left")
+                         .select("key", "node", F.coalesce("root", "node").alias("root")))
+    split = materialize(placed.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
+                        .where("r1 != r2").select("key"))
+    out = materialize(placed.join(split, "key", "left_semi"))
+    drop_tables(placed, split)
+    return out
+
+
+def _cross_pairs(member: DataFrame, signs: DataFrame, share: int, percent: int) -> DataFrame:
     """Pairs of a key's members that may link and are in different components so
     far; one in ``share`` by a hash of the pair."""
-    member = materialize(member.join(roots, "node", "left")
-                         .withColumn("root", F.coalesce("root", "node")))
-    split = materialize(member.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"))
-                        .where("r1 != r2").select("key"))
-    member = materialize(member.join(split, "key", "left_semi"))
+    member = member.join(signs, "node")
     a, b = (member.select("key", *[F.col(c).alias(c + side) for c in ("node", "n", "root", *_SIGN)])
             for side in "ab")
     meet = (F.col("nodea") > F.col("nodeb")) & (F.col("roota") != F.col("rootb")) & _may_link(percent)
@@ -386,6 +403,7 @@ def _labelled(documents: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
         documents.select("id", "n", "node").join(roots, "node", "left")
         .select("id", "n", F.coalesce("root", "node").alias("root")))
     least = materialize(placed.where("root is not null").groupBy("root").agg(F.min("id").alias("least")))
+    drop_tables(documents, roots)
     return placed.join(least, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
