@@ -31,14 +31,13 @@ from featurescape.operators.spatial import explode_neighbour_cells, valid_xy, wi
 from featurescape.session import materialize
 
 DEFAULT_RADIUS = 10.0
-MAX_ROUNDS = 10_000
 
 
 def _cell_join(a: DataFrame, b: DataFrame):
     return (F.col("ncx") == F.col("cx")) & (F.col("ncy") == F.col("cy"))
 
 
-def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def cluster_seeds(pts: DataFrame, r: float) -> DataFrame:
     """Seeds ``(sid, sord, sx, sy, scx, scy)`` of the greedy pass.
     ``pts``: ``(id, ord, x, y, cx, cy)``.
 
@@ -46,12 +45,7 @@ def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> Dat
     new status (``seed``, ``covered`` or still undecided)."""
     undecided = pts
     seeds = []
-    rounds = 0
-    while True:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"ball clustering needed more than {max_rounds} rounds; "
-                               "use grid_clusters for ordered chains of this length")
+    while True:     # every round decides the lowest undecided item at least
         cand = (undecided.groupBy("cx", "cy")
                          .agg(F.min(F.struct("ord", "id", "x", "y")).alias("c"))
                          .select(F.col("c.id").alias("sid"), F.col("c.ord").alias("sord"),
@@ -87,7 +81,7 @@ def cluster_seeds(pts: DataFrame, r: float, max_rounds: int = MAX_ROUNDS) -> Dat
 
 
 def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",
-                        order_col: str = "_ord", max_rounds: int = MAX_ROUNDS):
+                        order_col: str = "_ord"):
     """CL-1...CL-4 as two tables: per positioned item ``(ID, x, y,
     clustered, representative, cluster, visible)`` and per cluster
     ``(cluster, size, centre_x, centre_y, representative)``.  ``cluster``
@@ -98,7 +92,7 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
     # the input may be a deep lazy plan (encode, joins, filters, scaling):
     # every round reads the points several times, so write them once
     pts = materialize(with_cells(base, r))
-    seeds = cluster_seeds(pts, r, max_rounds)   # union of filters over round tables
+    seeds = cluster_seeds(pts, r)   # union of filters over round tables
     seeds_ex = explode_neighbour_cells(seeds, "scx", "scy")
     member = (seeds_ex.join(pts, _cell_join(seeds_ex, pts))
                       .where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r))
@@ -130,9 +124,9 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
 
 
 def ball_clusters(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",
-                  order_col: str = "_ord", max_rounds: int = MAX_ROUNDS) -> DataFrame:
+                  order_col: str = "_ord") -> DataFrame:
     """CL-1...CL-4 per item (see :func:`ball_cluster_tables`)."""
-    return ball_cluster_tables(pos, r, id_col, order_col, max_rounds)[0]
+    return ball_cluster_tables(pos, r, id_col, order_col)[0]
 
 
 def aggregated_view(clustered: DataFrame) -> DataFrame:

@@ -254,15 +254,12 @@ def _repulsion(cent: np.ndarray, counts: np.ndarray, strength: float):
 
 def neighbor_embedding(df: DataFrame, method: str = "umap", k: int = DEFAULT_K, perplexity: float = 30.0,
                        id_col: str = "ID", vec_col: str | None = None, cols: list[str] | None = None,
-                       rounds: int = 30, grid: int = 32, seed: int = 42, max_rows: int | None = None,
+                       rounds: int = 30, grid: int = 32, seed: int = 42,
                        learning_rate: float = 0.2, checkpoint_every: int = 1) -> DataFrame:
     """POS-4 (``umap``) / POS-5 (``tsne``): 2-D layout ``(algorithm, ID, x,
-    y)``.  ``max_rows`` mirrors the browser's size guard: above it the
-    result is empty (the operator is skipped, not truncated)."""
+    y)`` of every row."""
     base = _vectors(df, id_col, vec_col, cols)
     n = base.count()
-    if max_rows is not None and n > max_rows:
-        return df.sparkSession.createDataFrame([], "algorithm string, ID string, x double, y double")
     if method == "umap":
         # standardised numeric inputs (population std, 0 -> 1), as the reference does
         d = base.select(F.size("v")).first()[0]

@@ -26,7 +26,6 @@ from featurescape.operators.encode import feature_columns, fill_number, is_numer
 # Histogram resolution of the meta document.
 HISTOGRAM_BINS = 50
 MEDIAN_SUB_BINS = 1024
-MAX_MEDIAN_ROUNDS = 200
 
 
 class NonFiniteValuesError(ValueError):
@@ -77,6 +76,8 @@ def basic_stats(num: DataFrame, cols: list[str]) -> list[ColumnStats]:
 
 
 def _bin_of(v: Column, lo: float, hi: float, bins: int) -> Column:
+    if hi - lo == float("inf"):     # halves, so that the width stays finite
+        v, lo, hi = v / F.lit(2.0), lo / 2, hi / 2
     return F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))).cast("long"),
                    F.lit(bins - 1).cast("long"))
 
@@ -95,11 +96,7 @@ def exact_medians(num: DataFrame, stats: list[ColumnStats],
                 done[(s.fid, k)] = s.lo
             else:
                 state[(s.fid, k)] = [s.lo, s.hi, 0]
-    rounds = 0
     while state:
-        rounds += 1
-        if rounds > MAX_MEDIAN_ROUNDS:
-            raise RuntimeError("median refinement did not converge")
         intervals = sorted({(fid, lo, hi) for (fid, _), (lo, hi, _) in state.items()})
         parts = []
         for j, (fid, lo, hi) in enumerate(intervals):

@@ -48,11 +48,6 @@ def test_embedding_keeps_label_neighbourhoods(spark, method):
     assert np.isfinite(pts).all()
 
 
-def test_embedding_size_guard(spark):
-    df = spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(10)], "ID string, v array<double>")
-    assert embed.neighbor_embedding(df, method="tsne", vec_col="v", max_rows=5).count() == 0
-
-
 def test_knn_with_a_third_identical_vectors(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(120, 6))

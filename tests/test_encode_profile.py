@@ -160,3 +160,11 @@ def test_underscore_user_columns_are_features(spark):
     enc, model = encode.encode_features(df)
     assert [s.name for s in model.features] == ["_score", "_tag"]
     assert sorted(r["_score"] for r in enc.collect()) == [0.0, 1.0]
+
+
+def test_median_of_a_range_wider_than_a_double(spark):
+    from featurescape.operators import profile
+    values = [-1.7e308, -1.0, 3.0, 8.0, 1.7e308]
+    num = spark.createDataFrame([(v,) for v in values], "f1 double")
+    stats = [profile.ColumnStats("1", "v", len(values), min(values), max(values), 0.0, 0.0)]
+    assert profile.exact_medians(num, stats) == {"1": 3.0}
