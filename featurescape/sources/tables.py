@@ -54,10 +54,10 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     if "://" not in path and not os.path.exists(local):
         raise MissingInputError(f"Error: File {path} does not exist.")
     raw = (spark.read.option("header", True).option("inferSchema", False)
-                .option("mode", "PERMISSIVE").option("multiLine", False)
+                .option("mode", "PERMISSIVE").option("multiLine", False).option("escape", '"')
                 .option("nullValue", "\u0000__none__").option("emptyValue", "")
                 .csv(path))
-    header = spark.read.option("header", False).csv(path).limit(1).collect()
+    header = spark.read.option("header", False).option("escape", '"').csv(path).limit(1).collect()
     names = [h if h is not None else "" for h in header[0]] if header else raw.columns
     names = _dedupe_headers([n if n != "" else f"Unnamed: {i}" for i, n in enumerate(names)])
     width = len(raw.columns)

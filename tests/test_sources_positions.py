@@ -364,3 +364,12 @@ def test_scaling_keeps_sets_with_a_null_key(spark, monkeypatch):
     assert sorted(map(str, many)) == few
     assert {r.ID: (r.x, r.y) for r in many} == {"a": (-50.0, -25.0), "b": (50.0, 25.0),
                                                 "c": (-50.0, -25.0), "d": (50.0, 25.0)}
+
+
+def test_doubled_quotes_in_csv(spark, tmp_path):
+    from featurescape.sources import tables
+    path = tmp_path / "quoted.csv"
+    path.write_text('ID,"the ""name"""\n1,"a ""b"" c"\n2,"x, ""y"""\n3,plain\n')
+    df = tables.read_csv_text(spark, str(path))
+    assert df.columns[:2] == ["ID", 'the "name"']
+    assert [r[1] for r in df.orderBy("ID").collect()] == ['a "b" c', 'x, "y"', "plain"]
