@@ -359,7 +359,7 @@ def test_scaling_keeps_sets_with_a_null_key(spark, monkeypatch):
     df = spark.createDataFrame([(None, "a", 0.0, 0.0), (None, "b", 2.0, 4.0), ("p", "c", 1.0, 1.0),
                                 ("p", "d", 3.0, 5.0)], "algorithm string, ID string, x double, y double")
     few = sorted(map(str, positions.scale_positions(df, 100.0, 50.0, by=["algorithm"]).collect()))
-    monkeypatch.setattr(positions, "BROADCAST_SETS", 0)
+    monkeypatch.setattr(positions, "LITERAL_SETS", 0)
     many = positions.scale_positions(df, 100.0, 50.0, by=["algorithm"]).collect()
     assert sorted(map(str, many)) == few
     assert {r.ID: (r.x, r.y) for r in many} == {"a": (-50.0, -25.0), "b": (50.0, 25.0),
