@@ -103,7 +103,8 @@ def char_count(column) -> F.Column:
 SAMPLE_PER_BUCKET = 32
 
 
-def in_order(df: DataFrame, key: list[F.Column], wrap: bool = False, before: bool = False) -> DataFrame:
+def in_order(df: DataFrame, key: list[F.Column], wrap: bool = False, before: bool = False,
+             marks: DataFrame | None = None) -> DataFrame:
     """Rows of ``df`` dealt into ordered buckets, with what a row needs of its
     neighbours beyond the bucket's ends.
 
@@ -114,6 +115,10 @@ def in_order(df: DataFrame, key: list[F.Column], wrap: bool = False, before: boo
     comes the first again), with ``before`` also -1 for a copy of the last row
     of the bucket before.  Partitions are sorted by bucket, side and key; only
     the copies (two a bucket at most, more if whole rows repeat) travel twice.
+
+    ``marks`` (_key, mark) has the rows that count as neighbours, with a mark
+    that is the same for copies: the rows copied from each side are then the
+    nearest one and the nearest one whose mark differs from it.
     """
     spark = df.sparkSession
     width = shuffle_width(spark)
@@ -124,16 +129,18 @@ def in_order(df: DataFrame, key: list[F.Column], wrap: bool = False, before: boo
     sample = sorted(tuple(r["_key"]) for r in keys.distinct().orderBy(F.xxhash64("_key"), "_key")
                     .limit(SAMPLE_PER_BUCKET * buckets).collect())
     splitters = sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
+    place = F.lit(0)
     if splitters:
         array = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(s, fields)])
                           for s in splitters])
-        df = df.withColumn("_bucket", F.size(F.filter(array, lambda s: s <= F.col("_key"))))
-    else:
-        df = df.withColumn("_bucket", F.lit(0))
+        place = F.size(F.filter(array, lambda s: s <= F.col("_key")))
+    df = df.withColumn("_bucket", place)
     ends = sorted(tuple(r) for r in df.groupBy("_bucket").agg(
         F.min("_key").alias("a"), F.max("_key").alias("b")).collect())   # a row for each bucket
     copies = []
-    for i, (bucket, a, b) in enumerate(ends):
+    if marks is not None:
+        copies = _unlike_neighbours([e[0] for e in ends], marks.withColumn("_bucket", place))
+    for i, (bucket, a, b) in enumerate(ends if marks is None else []):
         if i or wrap:
             copies.append((tuple(a), ends[i - 1][0], 1))
         if before and i + 1 < len(ends):
@@ -143,3 +150,28 @@ def in_order(df: DataFrame, key: list[F.Column], wrap: bool = False, before: boo
         small = spark.createDataFrame(copies, f"_key {fields.simpleString()}, _bucket int, _side int")
         out = out.unionByName(df.drop("_bucket").join(F.broadcast(small), "_key"))
     return (out.repartition(width, "_bucket").sortWithinPartitions("_bucket", "_side", "_key").drop("_key"))
+
+
+def _unlike_neighbours(buckets: list[int], marks: DataFrame) -> list[tuple]:
+    """(_key, _bucket, _side) of the nearest row beyond each end of each bucket,
+    and of the nearest one there with another mark."""
+    ends = marks.groupBy("_bucket").agg(F.min(F.struct("_key", "mark")).alias("a"),
+                                        F.max(F.struct("_key", "mark")).alias("b"))
+    unlike = marks.join(F.broadcast(ends), "_bucket").groupBy("_bucket").agg(     # a row for each bucket
+        F.first("a").alias("a"), F.first("b").alias("b"),
+        F.min(F.when(F.col("mark") != F.col("a.mark"), F.struct("_key", "mark"))).alias("a2"),
+        F.max(F.when(F.col("mark") != F.col("b.mark"), F.struct("_key", "mark"))).alias("b2"))
+    rows = {r["_bucket"]: [(tuple(x["_key"]), bytes(x["mark"])) if x is not None else None
+                           for x in (r["a"], r["a2"], r["b"], r["b2"])] for r in unlike.collect()}
+    copies = []
+    for side, order in ((1, buckets[::-1]), (-1, buckets)):
+        near = far = None                                      # nearest row, nearest one unlike it
+        for bucket in order:
+            copies += [(x[0], bucket, side) for x in (near, far) if x is not None]
+            if bucket not in rows:
+                continue
+            first, other = rows[bucket][:2] if side == 1 else rows[bucket][2:]
+            if other is None:
+                other = near if near is not None and near[1] != first[1] else far
+            near, far = first, other
+    return copies

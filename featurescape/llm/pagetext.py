@@ -4,25 +4,26 @@ Pages are ordered by host, URL path and id.  A page is compared with its
 nearest neighbours in that order, the page before and the page after it on the
 same host: their text lines (one per block element) are aligned by longest
 common subsequence, and lines of the alignment are deleted as the site's
-furniture.  A neighbour that shares more than half of the page's candidate text
-is a copy of the page, not a page beside it, and deletes nothing.
+furniture.  Copies (pages with the same candidate lines) say nothing of each
+other, and neither do pages without lines: the neighbour is the nearest page on
+that side beyond them, however many there are.
 
 What the tags say outright is used as well: lines in navigation, footers,
 asides, forms, scripts, and blocks whose class or id names them as advert,
 sidebar, comments, notice and the like are no candidates, and where a page
-marks its text as ``article`` or ``main``, lines outside are none and lines
-inside are not deleted by differencing (quotations and standing phrases recur
-on neighbouring pages).  Pages without such marks depend on differencing.
+marks its text as ``article`` or ``main``, lines outside are none.  Differencing
+decides all lines that are left, marked or not.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined in page order by a newline.  Null or empty
 html gives empty text; a null or host-less URL puts the page on the empty host.
-Repeated rows come back one for one: they are copies, not neighbours.  Pages are
+Repeated rows come back one for one, as copies.  Pages are
 handled whole; unclosed and truncated markup is read as far as it goes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import re
 from bisect import bisect_left
@@ -32,8 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featurescape.llm.common import in_order
-
-COPY_SHARE = 0.5            # shared part of the text from which a neighbour is a copy
+from featurescape.session import materialize
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
                     r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -146,51 +146,71 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(page: list[tuple[str, bool]], neighbours: list[list[tuple[str, bool]]]) -> str:
-    """Text of a page's lines, given the lines of its neighbours."""
-    if any(inside for _, inside in page):
-        page = [(t, inside) for t, inside in page if inside]
-    texts = [t for t, _ in page]
-    total = sum(map(len, texts))
+def candidates(page: list[tuple[str, bool]]) -> list[str]:
+    """The lines differencing decides: those in main elements if there are any."""
+    inside = [t for t, main in page if main]
+    return inside or [t for t, _ in page]
+
+
+def main_text(texts: list[str], neighbours: list[list[str]]) -> str:
+    """Text of a page's candidate lines, given the lines of its neighbours."""
     gone: set[int] = set()
     for other in neighbours:
-        shared = common_lines(texts, [t for t, _ in other])
-        if sum(len(texts[i]) for i in shared) <= COPY_SHARE * total:
-            gone |= shared
-    return "\n".join(t for i, (t, inside) in enumerate(page) if inside or i not in gone)
+        gone |= common_lines(texts, other)
+    return "\n".join(t for i, t in enumerate(texts) if i not in gone)
+
+
+def _signatures(batches):
+    """Digest of each page's candidate lines, null without any."""
+    for b in batches:
+        found = [candidates(lines_of(page)) for page in b.column("html").to_pylist()]
+        marks = [hashlib.blake2b("\n".join(t).encode("utf-8", "replace"), digest_size=16).digest() if t else None
+                 for t in found]
+        yield pa.RecordBatch.from_arrays([b.column("_key"), pa.array(marks, pa.binary())], names=["_key", "mark"])
 
 
 def _extract(batches):
     names = ["id", "url", "text", "n_chars"]
-    before = now = None                                        # (place, host, side, id, url, lines)
+    place = left = texts = last = None          # of the run of copies that is open
+    run: list[tuple] = []                       # (id, url) of its rows
     out: list[tuple] = []
 
-    def done(page, after):
-        if page is None or page[2] != 0:
-            return
-        beside = [p[5] for p in (before, after) if p is not None and p[:2] == page[:2]]
-        text = main_text(page[5], beside)
-        out.append((page[3], page[4], text, len(text)))
+    def close(right):
+        if run:
+            text = main_text(texts, [p for p in (left, right) if p is not None])
+            out.extend((key, url, text, len(text)) for key, url in run)
+            run.clear()
 
-    def batch():
-        cols = list(zip(*out))
-        out.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
-            names=names)
+    def ready(least):
+        while len(out) >= least:
+            cols = list(zip(*out[:500]))
+            del out[:500]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()))],
+                names=names)
 
     for b in batches:
         cols = [b.column(c) for c in ("_bucket", "host", "_side", "id", "url", "html")]
         for i in range(b.num_rows):
             bucket, host, side, key, url, page = (c[i].as_py() for c in cols)
-            after = (bucket, host, side, key, url, lines_of(page))
-            done(now, after)
-            before, now = now, after
-            if len(out) >= 500:
-                yield batch()
-    done(now, None)
-    if out:
-        yield batch()
+            lines = lines_of(page)
+            mine, whole = candidates(lines), [t for t, _ in lines]
+            if not mine:
+                if side == 0:
+                    out.append((key, url, "", 0))
+            else:
+                if place != (bucket, host):
+                    close(None)
+                    place, left, texts = (bucket, host), None, mine
+                elif texts != mine:
+                    close(whole)
+                    left, texts = last, mine
+                last = whole
+                if side == 0:
+                    run.append((key, url))
+            yield from ready(500)
+    close(None)
+    yield from ready(1)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -202,8 +222,11 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     src = src.withColumn("host", F.lower(F.regexp_extract(
         url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
     path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    ordered = in_order(src, [F.col("host"), path, F.coalesce("id", F.lit(-1)),
-                             F.xxhash64("url", "html")], before=True)
+    key = [F.col("host"), path, F.coalesce("id", F.lit(-1)), F.xxhash64("url", "html")]
+    marked = src.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(key)]).alias("_key"), "html")
+    kind = marked.schema["_key"].dataType.simpleString()
+    marks = materialize(marked.mapInArrow(_signatures, f"_key {kind}, mark binary"))
+    ordered = in_order(src, key, before=True, marks=marks.where("mark is not null"))
     found = ordered.select("_bucket", "host", "_side", "id", "url", "html").mapInArrow(
         _extract, "id long, url string, text string, n_chars long")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

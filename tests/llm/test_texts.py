@@ -95,6 +95,25 @@ def test_article_of_every_page(spark):
         assert r.text == "\n".join(w for w in words if w)
 
 
+def test_differencing_decides_marked_text(spark):
+    def page(n):
+        return (f"<article><p>Text of page {n} alone</p><p>Subscribe to our letter, it is free and comes every week of "
+                f"the whole year</p></article>")
+    pages = [(n, f"http://a.org/{n}", page(n)) for n in range(4)]
+    # a run of copies that covers many buckets, and pages without text, lie between the pages that differ
+    pages += [(n, f"http://b.org/{n:04}", f"<title>{n}</title>" + ("" if n % 7 == 5 else page("same")) if 0 < n < 300 else page(n))
+              for n in range(301)]
+    pages += [(900, "http://c.org/1", page(1)), (901, "http://c.org/2", page(1))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.url: r.text for r in pagetext.main_texts(df).collect()}
+    assert len(got) == len(pages)
+    assert all(got[f"http://a.org/{n}"] == f"Text of page {n} alone" for n in range(4))
+    for n in range(301):
+        want = f"Text of page {n} alone" if n in (0, 300) else "" if n % 7 == 5 else "Text of page same alone"
+        assert got[f"http://b.org/{n:04}"] == want
+    assert got["http://c.org/1"] == got["http://c.org/2"] and "Subscribe" in got["http://c.org/1"]
+
+
 # ---------------------------------------------------------------- licences
 def test_licences(spark):
     docs = [(1, "Released under the MIT License."), (1, "Released under the MIT License."),
