@@ -10,8 +10,10 @@ that side beyond them, however many there are.
 
 What the tags say outright is used as well: lines in navigation, footers,
 asides, forms, scripts, and blocks whose class or id names them as advert,
-sidebar, comments, notice and the like are no candidates, and where a page
-marks its text as ``article`` or ``main``, lines outside are none.  Differencing
+sidebar, comments, notice and the like are no candidates (names are whole
+class, id or role tokens).  Where a page marks its text as ``article`` or ``main``,
+lines outside are none, and names of wrappers around it, forms too, do not hold inside; an
+article within an article, or in or named as comments or related pages, is none of the page's own.  Differencing
 decides all lines that are left, marked or not.
 
 Character references are decoded, white space inside a block becomes one
@@ -50,15 +52,13 @@ _NAMED = frozenset("""ad ads advert advertisement advertising banner breadcrumb
     consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar
     navigation newsletter notice notification pagination pager popup promo promoted promotion related share
     sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split())
+_OTHERS = frozenset("comment comments disqus related".split())   # hold articles that are not the page's
 _ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def _named_furniture(attributes: str) -> bool:
-    for m in _ATTRIBUTE.finditer(attributes):
-        value = m[1] or m[2] or m[3] or ""
-        if any(w in _NAMED for w in re.split(r"[^a-z]+", value.lower())):
-            return True
-    return False
+def _tokens(attributes: str) -> set[str]:
+    """Whole class, id and role tokens."""
+    return {w for m in _ATTRIBUTE.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
 
 
 def lines_of(page: str | None) -> list[tuple[str, bool]]:
@@ -66,8 +66,8 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
     page = page or ""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []                   # name, furniture, main
-    furniture = main = 0
+    stack: list[tuple[str, int, int, int]] = []                # name; what it added to these three:
+    furniture = main = barred = 0                              # barred: no article in it is the page's
 
     def flush():
         if held:
@@ -107,17 +107,27 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
                     top = stack.pop()
                     furniture -= top[1]
                     main -= top[2]
+                    barred -= top[3]
                     if top[0] == name:
                         break
         else:
-            in_main = name in _MAIN
-            waste = not in_main and (name in _FURNITURE or (name == "header" and not main)
-                                     or _named_furniture(m[3]))
-            if waste:
+            named = _tokens(m[3])
+            in_main = bar = 0
+            if name in _MAIN:
+                # An article in an article, or named as a comment, is not the page's own.
+                bar = int(bool(named & _OTHERS) or name == "article" and any(s[0] == name for s in stack))
+                in_main = int(not bar and not barred)
+                waste = -furniture if in_main else bar         # a wrapper's name does not hold for the text in it
+            else:
+                tag = (name in _FURNITURE and name != "form") or (name == "header" and not main)
+                bar = int(tag or bool(named & _OTHERS))
+                waste = int(bar or name == "form" or bool(named & _NAMED))
+            if waste > 0:
                 flush()
-            stack.append((name, waste, in_main))
+            stack.append((name, waste, in_main, bar))
             furniture += waste
             main += in_main
+            barred += bar
     flush()
     return out
 

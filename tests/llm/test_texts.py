@@ -114,6 +114,23 @@ def test_differencing_decides_marked_text(spark):
     assert got["http://c.org/1"] == got["http://c.org/2"] and "Subscribe" in got["http://c.org/1"]
 
 
+def test_names_of_wrappers_do_not_drop_articles():
+    def text(page):
+        return pagetext.candidates(pagetext.lines_of(page))
+
+    body = "<article><p>Text</p></article><p>out</p>"
+    for around in ("div class='layout with-sidebar'", "div class=no-sidebar", "div id='header'", "div class='post has-comments'",
+                   "div class=ad-free", "form action=/x", "div class=header-wrap", "div class='page widget'"):
+        assert text(f"<{around}>{body}</{around.split()[0]}>") == ["Text"]
+    assert text("<div class='layout no-sidebar'><p>Text</p></div>") == ["Text"]
+    for more in ("<article class='comment'><p>me too</p></article>", "<div class='comments'><article><p>me</p></article></div>",
+                 "<aside><article><p>teaser</p></article></aside>"):
+        assert text(body + more) == text(more + body) == ["Text"]
+    assert text("<main><article><p>Text</p><article><p>me too</p></article><p>End</p></article><p>more</p></main>") == [
+        "Text", "End", "more"]
+    assert text("<div class=header><main><div class=ad>buy</div><p>Text</p></main><p>menu</p></div><p>x</p>") == ["Text"]
+
+
 # ---------------------------------------------------------------- licences
 def test_licences(spark):
     docs = [(1, "Released under the MIT License."), (1, "Released under the MIT License."),
