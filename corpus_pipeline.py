@@ -2,7 +2,8 @@
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``.  A reread keeps no order, so the last one returns the
+place in the mixture beside the tokens, and the result is ordered by it.
 """
 
 from __future__ import annotations
@@ -55,8 +56,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the digest of the text decoded from them."""
-    return bpe.encoded(docs, VOCABULARY)
+    """Token ids of each document, the digest of the text decoded from them, and
+    the document's source, slot and offset in the mixture."""
+    placed = mixing.schedule(docs, keep=["text"])
+    return bpe.encoded(placed, VOCABULARY, text_col="_text", keep=["source", "slot", "offset"])
 
 
 STAGES = [
@@ -69,13 +72,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read
+    again; rows in the order of the mixture."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{i}")
         docs = spark.read.parquet(f"{home}/{i}")
-    return docs
+    # A document without code points starts where the next one does.
+    return docs.orderBy("slot", "offset", "n_tokens", "doc_id")
 
 
 # Training, components, the Pfair period and the automaton are no SQL; the

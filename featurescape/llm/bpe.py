@@ -421,10 +421,11 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return src.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
-def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
+            keep: list[str] | None = None) -> DataFrame:
     """(id, n_tokens, ids, decoded_sha256) of every row: the ids, and the SHA-256
-    of the text decoded from them."""
-    return _digested(df, path, id_col, text_col, True)
+    of the text decoded from them.  Columns named in ``keep`` follow."""
+    return _digested(df, path, id_col, text_col, True, keep)
 
 
 def token_digests(df: DataFrame, path: str, id_col: str = "doc_id",
@@ -434,7 +435,9 @@ def token_digests(df: DataFrame, path: str, id_col: str = "doc_id",
     return _digested(df, path, id_col, text_col, False)
 
 
-def _digested(df: DataFrame, path: str, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
+def _digested(df: DataFrame, path: str, id_col: str, text_col: str, with_ids: bool,
+              keep: list[str] | None = None) -> DataFrame:
+    keep = keep or []
     shipped = _ship(df, path)
     kind_of_ids = pa.list_(pa.int32()) if with_ids else pa.string()
     ids_name = "ids" if with_ids else "ids_sha256"
@@ -451,12 +454,13 @@ def _digested(df: DataFrame, path: str, id_col: str, text_col: str, with_ids: bo
                 text_hash.append(hashlib.sha256(decoded).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(count, pa.int64()), pa.array(held, kind_of_ids),
-                 pa.array(text_hash, pa.string())],
-                names=["id", "n_tokens", ids_name, "decoded_sha256"])
+                 pa.array(text_hash, pa.string()), *b.columns[2:]],
+                names=["id", "n_tokens", ids_name, "decoded_sha256", *keep])
 
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
     kind = src.schema["id"].dataType.simpleString()
     ids_kind = "array<int>" if with_ids else "string"
+    more = "".join(f", {c} {src.schema[c].dataType.simpleString()}" for c in keep)
     return src.mapInArrow(
-        run, f"id {kind}, n_tokens long, {ids_name} {ids_kind}, decoded_sha256 string"
+        run, f"id {kind}, n_tokens long, {ids_name} {ids_kind}, decoded_sha256 string{more}"
     ).withColumnRenamed("id", id_col)

@@ -8,6 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -318,6 +319,24 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
 
 
+def test_pipeline_rows_come_in_the_mixture_order(spark, monkeypatch, tmp_path):
+    docs = spark.range(160).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("d"), F.repeat(F.lit(" ab"), 4000)).alias("text"), F.lit("en").alias("lang"),
+        F.when(F.col("id") % 8 == 0, "b").when(F.col("id") % 8 == 1, "c").otherwise("a").alias("source"),
+        F.lit(12001).cast("long").alias("n_chars"))
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(rows) == 160
+    assert [(r.slot, r.offset) for r in rows] == sorted((r.slot, r.offset) for r in rows)
+    weight = {r.source: r.weight for r in mixing.schedule(docs).select("source", "weight").distinct().collect()}
+    last = {s: max(r.slot for r in rows if r.source == s) for s in weight}
+    order = list(dict.fromkeys((r.slot, r.source) for r in rows if r.slot <= min(last.values())))
+    assert len(order) > 4
+    for n in range(1, len(order) + 1):
+        assert all(abs(sum(o == s for _, o in order[:n]) - n * w) < 1 for s, w in weight.items())
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"word{i}" for i in range(60))
     rows = [(3, text, "en", "s", 1), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, "other words in this one", "en", "s", 1),
