@@ -4,10 +4,14 @@ Seeds.  E-mail addresses, IPv4 addresses, card numbers (13 to 19 digits, Luhn)
 and phone numbers (9 to 15 digits) are found by regular expressions, leftmost
 and not overlapping within a kind; matches that fail their check are dropped.
 
-Bootstrapping.  White-space-separated tokens that hold a digit or an at sign are
-instances; the words before it (the last one, the last two), an assignment within
-the token (``key=``, ``key:``) and, if it has brackets or hyphens, its form (digits as
-9, letters as a) are its contexts, ASCII letters in lower case.  Instances and contexts make a bipartite graph.  Seed instances
+Bootstrapping.  Instances are seeds, whole (seeds that overlap are one, of the
+first one's kind), and beside them runs of white-space-separated tokens that hold a
+digit, joined by blanks (a token that ends in punctuation ends its run), and tokens
+with an at sign; punctuation at their end is no part of them.  The words before an instance
+(the last one, the last two), an assignment that it follows or begins with
+(``key=``, ``key:``) and, if it has brackets or hyphens, its form (digits as 9,
+letters as a) are its contexts, ASCII letters in lower case.  Instances and
+contexts make a bipartite graph.  Seed instances
 start with confidence 1 for their kind; a context's confidence for a kind is the
 mean confidence of its distinct instances, zero below ``SUPPORT`` distinct
 instances that hold the kind already; an instance's confidence is the largest of its
@@ -48,7 +52,14 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _MAY = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-_INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+# Instances are read from a text whose seeds are overwritten, by two marks in turn
+# (code points that are no characters).
+_MARKS, _NO_MARKS = "\ufdd0\ufdd1", "\ufdd2\ufdd2"
+_NUMBER = rf"[^\s0-9@{_MARKS}]*+[0-9][^\s@{_MARKS}]*+(?!\S)"
+_INSTANCE = (rf"{_MARKS[0]}++|{_MARKS[1]}++|(?<!\S){_NUMBER}(?:(?<![.,;:!?])[\x20\t]++{_NUMBER})*+"
+             rf"|(?<!\S)[^\s@{_MARKS}]*+@[^\s{_MARKS}]*+(?!\S)")
+_LAST_PART = r"(?<!\S)(\S++)$"
+_STOP = r"(?<![.,;:!?])[.,;:!?]++$"
 _ASSIGNED = r"^([A-Za-z_-]++[=:])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPAN = "array<struct<start:int,end:int,raw:string>>"
@@ -104,48 +115,106 @@ _CHECKS = {
 }
 
 
+def _disjoint(spans: Column) -> Column:
+    """Spans in order; of overlapping ones the first, the longest of equal
+    starts, which takes in what sticks out of it."""
+    spans = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(
+        F.when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(F.lit(0))))
+    zero = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+    def step(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))                # null at first
+        joined = F.struct(last["kind"].alias("kind"), last["start"].alias("start"),
+                          F.greatest(last["end"], s["end"]).alias("end"))
+        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        return F.when(s["start"] < last["end"], F.concat(before, F.array(joined))).otherwise(
+            F.concat(acc, F.array(s)))
+
+    return F.aggregate(spans, zero, step)
+
+
+def _replaced(text: Column, spans: str, by) -> Column:
+    """``text`` with the i-th of its disjoint spans replaced by ``by(i)``."""
+    n = F.size(spans)
+    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(
+        F.substr(text, F.when(i == 0, F.lit(1)).otherwise(F.get(spans, i - 1)["end"] + 1),
+                 F.when(i == n, F.char_length(text)).otherwise(F.get(spans, i)["start"])
+                 - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])),
+        F.when(i == n, F.lit("")).otherwise(by(i))))
+    return F.concat_ws("", pieces)
+
+
+def _found(rows: DataFrame, name: str, column: str, pattern: str, may: str) -> DataFrame:
+    """Matches of a pattern (f_name) and the gaps before them (g_name)."""
+    none = F.array().cast("array<string>")
+    ok = F.col("some") & F.col(column).rlike(may)
+    rows = rows.withColumn(f"f_{name}", F.when(ok, F.regexp_extract_all(
+        column, F.lit(f"({pattern})"), F.lit(1))).otherwise(none))
+    return rows.withColumn(f"g_{name}", F.when(F.size(f"f_{name}") > 0, F.split(column, pattern, -1)).otherwise(none))
+
+
 def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text_hash, one array of checked spans a kind, instances): one row for
     each row; the text itself goes no further."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("some", F.col("text").rlike("[0-9@]"))
-    for name, pattern, may in [*((k, _PATTERNS[k], _MAY[k]) for k in KINDS), ("token", _INSTANCE, "[0-9@]")]:
-        ok = F.col("some") & F.col("text").rlike(may)
-        none = F.array().cast("array<string>")
-        rows = rows.withColumn(f"f_{name}", F.when(ok, F.regexp_extract_all(
-            "text", F.lit(f"({pattern})"), F.lit(1))).otherwise(none))
-        rows = rows.withColumn(f"g_{name}", F.when(F.size(f"f_{name}") > 0, F.split("text", pattern, -1)).otherwise(none))
-    out = [F.col("id"), F.xxhash64("text").alias("text_hash")]
+    for k in KINDS:
+        rows = _found(rows, k, "text", _PATTERNS[k], _MAY[k])
+    checked = []
     for k in KINDS:
         check = _CHECKS[k]
         spans = _spans(F.col(f"f_{k}"), F.col(f"g_{k}"))
-        out.append(F.filter(spans, lambda s: check(s["raw"])).alias(k))  # noqa: B023 (used at once)
-    # What stands between two instances ends in the words before the second.
-    before = F.transform(F.slice("g_token", F.lit(1), F.greatest(F.size("f_token"), F.lit(0))), lambda g: F.slice(
-        F.filter(F.split(_lower(g), r"\s+"), lambda w: w != ""), -2, 2))
-    before = F.transform(before, lambda w: F.concat_ws(" ", w))
-    spans = _spans(F.col("f_token"), F.col("g_token"))
-    out.append(F.zip_with(spans, before, lambda s, w: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), s["raw"].alias("raw"), w.alias("words"))).alias("instances"))
-    return rows.select(*out)
+        checked.append(F.filter(spans, lambda s: check(s["raw"])).alias(k))  # noqa: B023 (used at once)
+    rows = rows.select("id", "text", "some", *checked)
+    rows = rows.withColumn("seeds", _disjoint(F.concat(*[_of_kind(k) for k in KINDS])))
+    marked = _replaced(F.translate("text", _MARKS, _NO_MARKS), "seeds", lambda i: F.repeat(
+        F.when(i % 2 == 0, F.lit(_MARKS[0])).otherwise(F.lit(_MARKS[1])),
+        F.get("seeds", i)["end"] - F.get("seeds", i)["start"]))
+    rows = rows.withColumn("marked", F.when(F.size("seeds") > 0, marked).otherwise(
+        F.translate("text", _MARKS, _NO_MARKS)))
+    rows = _found(rows, "token", "marked", _INSTANCE, f"[0-9@{_MARKS}]")
+
+    # What stands between two instances, less the rest of the first one's token,
+    # ends in the words before the second and what leads its token.
+    def before(gap, i):
+        gap = F.when(i > 0, F.regexp_replace(gap, r"^\S++", "")).otherwise(gap)
+        words = F.filter(F.split(_lower(F.regexp_replace(gap, _LAST_PART, "")), r"\s+"), lambda w: w != "")
+        return F.struct(F.concat_ws(" ", F.slice(words, -2, 2)).alias("words"),
+                        F.regexp_extract(gap, _LAST_PART, 1).alias("lead"))
+
+    contexts = F.transform(F.slice("g_token", F.lit(1), F.greatest(F.size("f_token"), F.lit(0))), before)
+    every = F.zip_with(_spans(F.col("f_token"), F.col("g_token")), contexts, lambda s, c: F.struct(
+        s["start"].alias("start"), s["raw"].alias("raw"), c["words"].alias("words"), c["lead"].alias("lead")))
+    rows = rows.withColumn("every", every)
+
+    def instance(x, raw, kind):
+        return F.struct(x["start"].alias("start"), (x["start"] + F.char_length(raw)).alias("end"), raw.alias("raw"),
+                        x["words"].alias("words"), x["lead"].alias("lead"), kind.alias("kind"))
+
+    def seed(x):
+        return F.substr(x["raw"], F.lit(1), F.lit(1)).isin(*_MARKS)
+
+    # Each seed is one run of a mark, in the seeds' order.
+    seeds = F.zip_with(F.filter("every", seed), F.col("seeds"), lambda x, s: instance(
+        x, F.substr(F.col("text"), s["start"] + 1, s["end"] - s["start"]), s["kind"]))
+    loose = F.transform(F.filter("every", lambda x: ~seed(x)), lambda x: instance(
+        x, F.regexp_replace(x["raw"], _STOP, ""), F.lit(None).cast("string")))
+    return rows.select("id", F.xxhash64("text").alias("text_hash"), *KINDS, F.concat(seeds, loose).alias("instances"))
 
 
 def _graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Instances without a seed by row, and the distinct edges
     (instance, context, kind of the seed or null)."""
-    def overlap(k):
-        return F.when(F.exists(k, lambda s: (s["start"] < F.col("i.end")) & (s["end"] > F.col("i.start"))), F.lit(k))
-
     one = (found.where(F.size("instances") > 0)
-           .select("id", "text_hash", *KINDS, F.explode("instances").alias("i"))
-           .select("id", "text_hash", F.col("i.start").alias("start"), F.col("i.end").alias("end"),
-                   F.col("i.raw").alias("instance"), F.col("i.words").alias("words"),
-                   F.coalesce(*[overlap(k) for k in KINDS]).alias("kind")))
-    assigned = _lower(F.regexp_extract("instance", _ASSIGNED, 1))
+           .select("id", "text_hash", F.explode("instances").alias("i"))
+           .select("id", "text_hash", "i.start", "i.end", F.col("i.raw").alias("instance"),
+                   "i.words", "i.lead", "i.kind"))
+    assigned = _lower(F.regexp_extract(F.concat("lead", "instance"), _ASSIGNED, 1))
     last = F.regexp_extract("words", r"(\S++)$", 1)
-    # The form of a token with a bracket or hyphen: digits as 9, letters as a.
-    form = F.when(F.col("instance").rlike(r"[()-]"), F.concat(F.lit("form "), F.regexp_replace(
-        F.regexp_replace("instance", r"\p{L}++", "a"), "[0-9]", "9"))).otherwise("")
+    # The form of an instance with a bracket or hyphen: digits as 9, letters as a.
+    bare = F.regexp_replace("instance", _ASSIGNED, "")
+    form = F.when(bare.rlike(r"[()-]"), F.concat(F.lit("form "), F.regexp_replace(
+        F.regexp_replace(bare, r"\p{L}++", "a"), "[0-9]", "9"))).otherwise("")
     contexts = F.array_distinct(F.filter(F.array(F.col("words"), last, assigned, form), lambda c: c != ""))
     edges = one.select("instance", "kind", F.explode(contexts).alias("context")).distinct()
     return one.where("kind is null").select("id", "text_hash", "start", "end", "instance"), edges
@@ -218,34 +287,14 @@ def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with each span replaced by its kind in angle brackets
-    (of overlapping spans the first, the longest of equal starts; what sticks out of it
-    goes with it).  Null texts stay null."""
-    spans = F.array_sort(
-        F.concat(*[_with_found(k) for k in KINDS]),
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(
-            F.when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(F.lit(0))))
-    zero = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-
-    def step(acc, s):
-        last = F.try_element_at(acc, F.lit(-1))                # null at first
-        joined = F.struct(last["kind"].alias("kind"), last["start"].alias("start"),
-                          F.greatest(last["end"], s["end"]).alias("end"))
-        before = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when(s["start"] < last["end"], F.concat(before, F.array(joined))).otherwise(
-            F.concat(acc, F.array(s)))
-
-    small = (found.withColumn("spans", F.aggregate(spans, zero, step)).where(F.size("spans") > 0)
+    (``_disjoint`` ones).  Null texts stay null."""
+    small = (found.withColumn("spans", _disjoint(F.concat(*[_with_found(k) for k in KINDS]))).where(F.size("spans") > 0)
              .select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_key"),
                      F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).dropDuplicates(["_key", "_hash"]))
     small = materialize(small)
     text = F.col(text_col)
     rows = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn(
         "_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
-    n = F.size("_spans")
-    pieces = F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(
-        F.substr(text, F.when(i == 0, F.lit(1)).otherwise(F.get("_spans", i - 1)["end"] + 1),
-                 F.when(i == n, F.char_length(text)).otherwise(F.get("_spans", i)["start"])
-                 - F.when(i == 0, F.lit(0)).otherwise(F.get("_spans", i - 1)["end"])),
-        F.when(i == n, F.lit("")).otherwise(F.concat(F.lit("<"), F.upper(F.get("_spans", i)["kind"]), F.lit(">")))))
-    new = F.when(F.col("_spans").isNull(), text).otherwise(F.concat_ws("", pieces))
+    marks = _replaced(text, "_spans", lambda i: F.concat(F.lit("<"), F.upper(F.get("_spans", i)["kind"]), F.lit(">")))
+    new = F.when(F.col("_spans").isNull(), text).otherwise(marks)
     return rows.join(small, ["_key", "_hash"], "left").withColumn(text_col, new).select(docs.columns)

@@ -270,6 +270,25 @@ def test_contexts_reveal_identifiers(spark):
     assert clean[100] == "blah mail me: <EMAIL> and card no 17x" and clean[101] == "word 77 is"
 
 
+def test_identifiers_with_blanks_are_one_instance(spark):
+    docs = [(i, f"word{i % 3} tel: call +1 (743) 555-38{i:02}, and on") for i in range(8)]
+    docs += [(20, "we call 0171 555 1234, 17 apples"), (21, "they call 0171 555 1299\n88 on"), (22, "x=+1 (743) 555-3899"),
+             (23, "then call 020 7946 0018 "), (24, "\ufdd0 then call 4111 1111 1111 1111 and 1.2.3.4 a@b.co,c@d.co")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = pii.find(df)
+    spans = {r.doc_id: r.spans for r in pii.digests(found).collect()}
+    assert spans[20] == "phone:8:21" and spans[21] == "phone:10:23" and spans[23] == "phone:10:23"
+    clean = {r.doc_id: r.text for r in pii.redact(df, found).collect()}
+    assert clean[20] == "we call <PHONE>, 17 apples" and clean[21] == "they call <PHONE>\n88 on"
+    assert clean[24] == "\ufdd0 then call <CARD> and <IP> <EMAIL>,<EMAIL>"
+    rows = pii._matches(df, "doc_id", "text")
+    seen = {r.id: [(i.raw, i.words, i.lead, i.kind) for i in r.instances] for r in rows.collect()}
+    assert seen[3] == [("+1 (743) 555-3803", "tel: call", "", "phone"), ("word0", "", "", None)]
+    assert seen[22] == [("+1 (743) 555-3899", "", "x=", "phone")]
+    assert [x[0] for x in seen[24]] == ["4111 1111 1111 1111", "1.2.3.4", "a@b.co", "c@d.co"]
+    assert seen[24][0][1] == "then call" and seen[24][3][1:3] == ("", "")
+
+
 # ---------------------------------------------------------------- fingerprints
 def test_edited_texts(spark):
     rng = random.Random(8)
