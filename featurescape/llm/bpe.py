@@ -190,90 +190,6 @@ class Automaton:
                     return False
         return True
 
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """Left (side 0) or right (1) parts of a token, down to its outer byte,
-        each with the step that merged it away (none for the token itself)."""
-        kept = self.spines[side]
-        if token not in kept:
-            out, until, x = [], self.never, token
-            while True:
-                out.append((x, until))
-                if x not in self.made:
-                    break
-                made = self.made[x]
-                x, until = made[side], min(until, made[2])
-            kept[token] = out
-        return kept[token]
-
-    def lost(self, before: int, token: int) -> bool:
-        """The state after ``before`` has no arc for ``token``: a gadget took it,
-        or took the arc it is built on."""
-        step_of, never, left = self.step_of, self.never, self._spine(token, 0)
-        for x, x_until in self._spine(before, 1):
-            x *= self.size
-            for y, y_until in left:
-                step = step_of.get(x + y, never)
-                if step < x_until and step <= y_until:
-                    return True
-        return False
-
-    def encode_word(self, word: bytes) -> list[int]:
-        """Path of the automaton that spells one pre-split word."""
-        arc, table, reach, n = self.arc, self.table, self.reach, len(word)
-        path: list[int] = []
-        at = 0
-        sizes: list[int] = []
-        dead = set()
-        size = min(reach.get(word[:4], 3), n)
-        while at < n:
-            state = path[-1] * self.size if path else None
-            while size:
-                t = arc.get(word[at:at + size])
-                if t is not None and at + size not in dead:
-                    if state is None:
-                        break
-                    gone = table.get(state + t)
-                    if gone is None:
-                        if len(table) >= ARCS_KEPT:
-                            table.clear()
-                        gone = table[state + t] = self.lost(path[-1], t)
-                    if not gone:
-                        break
-                size -= 1
-            if size:
-                path.append(t)
-                sizes.append(size)
-                at += size
-                size = min(reach.get(word[at:at + 4], 3), n - at)
-            else:                                              # no arc goes on from here
-                if not path:
-                    raise ValueError(f"no path for {word[:40]!r}")
-                dead.add(at)
-                path.pop()
-                size = sizes.pop()
-                at -= size
-                size -= 1
-        return path
-
-    def _arises(self, w: int) -> bool:
-        """The gadget of ``w`` found its two arcs in a row: no earlier gadget
-        had taken an arc on v's left spine from a state on u's right spine."""
-        u, v, now = self.made[w]
-        x, x_until = u, now
-        while True:
-            y, y_until = v, now
-            while True:
-                step = self.step_of.get((x, y), now)
-                if step < x_until and step <= y_until and step < now:
-                    return False
-                if y not in self.made:
-                    break
-                y, _, y_until = self.made[y]
-            if x not in self.made:
-                return True
-            _, x, made = self.made[x]
-            x_until = min(x_until, made)
-
     def decode(self, ids: np.ndarray) -> bytes:
         """Labels of the arcs, one after the other."""
         out = []

@@ -10,6 +10,7 @@ import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 import corpus_pipeline
 from featurescape.llm import bpe, langid, licences, mixing, pagetext, phrases, pii, registry
@@ -201,6 +202,15 @@ def test_bpe_equals_library(spark):
     assert {r.doc_id: r.text for r in back} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_merges_that_never_arise():
+    library = Tokenizer(BPE(vocab={"a": 0, "b": 1, "c": 2, "ab": 3, "bc": 4, "abc": 5},
+                            merges=[("a", "b"), ("b", "c"), ("a", "bc")]))
+    labels = {i: t.encode() for t, i in library.get_vocab().items()}
+    small = bpe.Automaton({"labels": labels, "special": {}, "merges": [(0, 1, 3), (1, 2, 4), (0, 4, 5)]})
+    for text in ("abc", "bc", "abcabc", "cbcabcb"):
+        assert small.encode_word(text.encode()) == library.encode(text).ids
+
+
 def test_caches_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "WORDS_KEPT", 7)
     monkeypatch.setattr(bpe, "ARCS_KEPT", 5)
