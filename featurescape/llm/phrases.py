@@ -9,9 +9,8 @@ its neighbours.  Both steps look at a few symbols only, so equal substrings
 are parsed alike except near their ends, wherever they stand.  A phrase is
 named by a 64-bit hash of the names of its parts.
 
-The fingerprint sketches the set of names from level ``LEVEL`` on (about 27
-bytes a phrase; texts under ``SHORT`` bytes also from the level below): the
-names fall into ``BINS`` bins by hash, each bin keeps eight bits of its
+The fingerprint sketches the set of names from level ``LEVEL`` on, whatever
+the text's length (texts of one phrase keep its name on any level): the names fall into ``BINS`` bins by hash, each bin keeps eight bits of its
 smallest name, written as hex, 00 if empty.  What a run of ``RUN`` symbols
 repeats counts as a phrase too, so repetitive texts resemble their parts.  The likeness of two fingerprints is
 the share of their filled bins that agree: an estimate of the Jaccard
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from featurescape.llm.common import byte_table, enter, in_order, mix64, slices, small_batches, text_bytes
 
 BINS = 128
-LEVEL, SHORT, RUN = 3, 400, 5
+LEVEL, RUN = 2, 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = byte_table(21)
 _VALUE = np.uint64((1 << 40) - 1)
@@ -165,15 +164,13 @@ def fingerprints(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """BINS bytes for each text; 0 stands for an empty bin."""
     n = len(off) - 1
     out = np.zeros((n, BINS), np.uint8)
-    size = np.diff(off)
     features = []
     for text, level, names in parse(data, off):
         if level < LEVEL:
             alone = np.ones(len(text), bool)
             alone[1:] &= text[1:] != text[:-1]
             alone[:-1] &= text[1:] != text[:-1]
-            keep = alone | (size[text] < SHORT) if level == LEVEL - 1 else alone
-            text, names = text[keep], names[keep]
+            text, names = text[alone], names[alone]
         f = mix64(names)
         features.append((text.astype(np.uint64) << np.uint64(47)) | (f >> np.uint64(17)))
     if features:

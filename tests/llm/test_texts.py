@@ -337,6 +337,14 @@ def test_interior_phrases_do_not_depend_on_the_offset():
     assert len(names[0] & names[1]) > 0.85 * len(names[0])
 
 
+def test_likeness_does_not_depend_on_the_length():
+    rng = random.Random(12)
+    for n in (300, 398, 399, 800):
+        text = "".join(rng.choice("abcdefghij ") for _ in range(n))
+        a, b = phrases._all_fingerprints(phrases.pa.array([text, text + "wxyz"]))
+        assert phrases.likeness(a[None], b[None])[0] > 0.75
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
