@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from featurescape.llm import (bpe, jaccard, langid, licences, mixing, pagetext, phrases, pii, suffixes,
-                              vptree)
+from featurescape.llm import (bpe, jaccard, langid, licences, mixing, pagetext, phrases, pii, resampling,
+                              suffixes, vptree)
 from featurescape.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +55,10 @@ def op10_phrases(spark, sf_dir):
     return phrases.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_page_text": op2_page_text,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_repeats": op9_repeats,
     "op10_phrases": op10_phrases,
+    "op11_resampling": op11_resampling,
 }
 
 # The other operators are tested against brute-force versions in tests/llm.

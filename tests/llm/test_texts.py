@@ -383,6 +383,6 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 4, None]
 
 
-def test_registered_queries_are_the_ten_operators():
-    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 11))
+def test_registered_queries_are_the_operators_in_order():
+    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, len(registry.QUERIES) + 1))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
