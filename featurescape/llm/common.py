@@ -175,3 +175,16 @@ def _unlike_neighbours(buckets: list[int], marks: DataFrame) -> list[tuple]:
                 other = near if near is not None and near[1] != first[1] else far
             near, far = first, other
     return copies
+
+
+def strings(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """An Arrow string column over UTF-8 bytes, starting at its buffers' starts
+    (string kernels misread columns that are cut out of larger ones)."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)),
+                                            pa.py_buffer(np.ascontiguousarray(raw)))
+
+
+def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The ranges first .. first + count - 1, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)

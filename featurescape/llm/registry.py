@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from featurescape.llm import (bpe, jaccard, langid, licences, mixing, pagetext, phrases, pii, resampling,
-                              suffixes, vptree)
+from featurescape.llm import (bpe, crosstok, jaccard, langid, licences, mixing, pagetext, phrases, pii,
+                              resampling, suffixes, vptree)
 from featurescape.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_language(spark, sf_dir):
@@ -59,6 +60,10 @@ def op11_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_crosstok(spark, sf_dir):
+    return crosstok.digests(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_page_text": op2_page_text,
@@ -71,6 +76,7 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_phrases": op10_phrases,
     "op11_resampling": op11_resampling,
+    "op12_crosstok": op12_crosstok,
 }
 
 # The other operators are tested against brute-force versions in tests/llm.

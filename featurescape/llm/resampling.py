@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from featurescape.llm.common import enter, slices, small_batches, text_bytes
+from featurescape.llm.common import enter, runs, slices, small_batches, strings, text_bytes
 from featurescape.operators.ids import with_global_index
 from featurescape.session import materialize
 
@@ -126,19 +126,12 @@ def _split_pieces(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]
     return count, np.cumsum(count) - count, words
 
 
-def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The ranges first .. first + count - 1, one after the other."""
-    ends = np.cumsum(count)
-    return np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def features(texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words of each text of a batch, and for runs of 1, 2, 3 words the buckets of
     all features with the row that each belongs to."""
     raw, offsets = text_bytes(texts)
     raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-    lowered = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(raw))
-    parts = pc.split_pattern(lowered, " ")
+    parts = pc.split_pattern(strings(raw, offsets), " ")
     flat = parts.flatten().dictionary_encode()
     per_piece, first, words = _split_pieces(flat.dictionary.to_pylist())
     codes = flat.indices.to_numpy(zero_copy_only=False)
@@ -147,7 +140,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nda
     # The word sequence of all rows, as numbers of distinct words.
     number: dict[str, int] = {}
     named = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-    sequence = named[_runs(first[codes], per_piece[codes])]
+    sequence = named[runs(first[codes], per_piece[codes])]
     before = np.concatenate([[0], np.cumsum(per_piece[codes])])
     row_ends = before[bounds]
     n_words = np.diff(row_ends)
@@ -211,10 +204,10 @@ def weigh(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col:
         enter("resampling")
         for batch in batches:
             for part in _pieces(batch):
-                n_words, runs = features(part.column(0))
+                n_words, found = features(part.column(0))
                 n = np.zeros(len(n_words), np.int64)
                 weight = np.zeros(len(n_words), np.int64)
-                for buckets, row in runs:
+                for buckets, row in found:
                     ends = np.searchsorted(row, np.arange(len(n_words) + 1))
                     n += np.diff(ends)
                     weight += np.diff(np.concatenate([[0], np.cumsum(gains[buckets])])[ends])
