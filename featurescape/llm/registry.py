@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from featurescape.llm import (bpe, crosstok, jaccard, langid, licences, mixing, pagetext, phrases, pii,
-                              resampling, suffixes, vptree)
+                              resampling, rotated, suffixes, vptree)
 from featurescape.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,6 +64,10 @@ def op12_crosstok(spark, sf_dir):
     return crosstok.digests(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
 
 
+def op13_near_vectors(spark, sf_dir):
+    return rotated.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_page_text": op2_page_text,
@@ -77,7 +81,11 @@ QUERIES = {
     "op10_phrases": op10_phrases,
     "op11_resampling": op11_resampling,
     "op12_crosstok": op12_crosstok,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 # The other operators are tested against brute-force versions in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op3_licences": licences.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_licences": licences.oracle_sql(),
+    "op13_near_vectors": rotated.oracle_sql(),
+}
