@@ -330,8 +330,8 @@ def oracle_sql(least: float = LEAST) -> str:
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
   WHERE label IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0
-    AND len(list_filter(embedding, e -> e <> 0)) > 0),
+    AND len([e for e in embedding if e IS NULL OR NOT isfinite(e)]) = 0
+    AND len([e for e in embedding if e <> 0]) > 0),
 link AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
