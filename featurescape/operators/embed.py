@@ -1,22 +1,6 @@
 """Neighbour graph and neighbour embeddings (POS-6, POS-4, POS-5).
 
-``knn_graph`` is exact and never forms a Cartesian product:
-
-1. pivots: a fixed-seed hash sample of the items (a sampling operator; at
-   most ``max_pivots`` vectors reach the driver);
-2. every item learns, in one vectorised pass (numpy over Arrow batches),
-   its nearest pivot (its *cell*) and an upper bound ``ub`` on its k-th
-   neighbour distance -- the k-th smallest distance to the other pivots,
-   which are items themselves;
-3. with the cell radii R (one row per pivot), the triangle inequality says
-   a cell can only hold a neighbour closer than ``ub`` if
-   ``d(q, pivot) - R <= ub``; items are exploded to those candidate cells
-   only and equi-joined on the cell id;
-4. exact distances per bounded block (``_block_topk``), filter ``<= ub``,
-   top-k per item (ties by id).
-
-Because pivots are sampled from the data, dense regions get
-proportionally more pivots (smaller cells).
+``knn_graph`` is exact; its partition is in :mod:`featurescape.operators.knn`.
 
 The embeddings re-aim single-machine UMAP / t-SNE solvers as DataFrame
 iterations (structural parity only: the reference's coordinates come from
@@ -37,9 +21,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurescape.operators.knn import knn_tables
 from featurescape.operators.positions import pca_positions
 from featurescape.session import materialize
 
@@ -55,121 +40,12 @@ def _vectors(df: DataFrame, id_col: str, vec_col: str | None, cols: list[str] |
 
 
 def knn_graph(df: DataFrame, k: int = DEFAULT_K, id_col: str = "ID", vec_col: str | None = None,
-              cols: list[str] | None = None, max_pivots: int = 256, seed: int = 42,
-              block: int = 512) -> DataFrame:
+              cols: list[str] | None = None, seed: int = 42, chunk_rows: int | None = None,
+              cells: int | None = None) -> DataFrame:
     """POS-6: exact k nearest neighbours ``(src, dst, rank, dist)``, rank
-    1..k, ties broken by ``dst`` id; an item is not its own neighbour."""
-    pts = materialize(_vectors(df, id_col, vec_col, cols))
-    n_pivots = max(min(max_pivots, 4 * k + 16), k + 1)
-    piv_rows = (pts.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), "id").limit(n_pivots)
-                   .select("id", "v").collect())          # sampling: <= max_pivots vectors
-    piv_ids = np.array([r["id"] for r in piv_rows], dtype=object)
-    piv = np.array([r["v"] for r in piv_rows], dtype=float)
-
-    piv_sq = (piv ** 2).sum(1)
-
-    def pivot_dist(x: np.ndarray) -> np.ndarray:
-        # |x|^2 + |p|^2 - 2 x.p: batch x pivots, never batch x pivots x dims
-        d2 = (x ** 2).sum(1)[:, None] + piv_sq[None, :] - 2.0 * (x @ piv.T)
-        return np.sqrt(np.maximum(d2, 0.0))
-
-    def assign(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = pivot_dist(np.stack(pdf["v"].to_numpy()))
-            cell = d.argmin(axis=1)
-            yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": cell.astype("int32"),
-                                "dcell": d[np.arange(len(pdf)), cell]})
-
-    assigned = materialize(pts.mapInPandas(assign, "id string, v array<double>, cell int, dcell double"))
-    radius = {r["cell"]: r["R"] for r in assigned.groupBy("cell").agg(F.max("dcell").alias("R")).collect()}
-    rad = np.array([radius.get(j, -math.inf) for j in range(len(piv))])
-
-    def candidates(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = pivot_dist(np.stack(pdf["v"].to_numpy()))
-            self_mask = pdf["id"].to_numpy()[:, None] == piv_ids[None, :]
-            dd = np.where(self_mask, np.inf, d)
-            if dd.shape[1] - 1 < k:
-                ub = np.full(len(pdf), np.inf)
-            else:
-                ub = np.partition(dd, k - 1, axis=1)[:, k - 1]
-            # the expansion above is approximate: widen every bound so that
-            # pruning never drops a true neighbour (exact distances decide)
-            tol = 1e-6 * (1.0 + np.abs(d).max(axis=1))
-            ub = ub + tol
-            ok = (d - rad[None, :] - tol[:, None]) <= ub[:, None]
-            cells = [np.nonzero(row)[0].astype("int32").tolist() for row in ok]
-            yield pd.DataFrame({"qid": pdf["id"], "qv": pdf["v"], "ub": ub, "cells": cells})
-
-    cand = assigned.select("id", "v").mapInPandas(
-        candidates, "qid string, qv array<double>, ub double, cells array<int>")
-    probe = materialize(cand.select("qid", "qv", "ub", F.explode("cells").alias("cell")))
-    return _block_topk(probe, assigned, k, block)
-
-
-def _pairs_frame(q, d, x) -> pd.DataFrame:
-    return pd.DataFrame({"qid": pd.Series([str(v) for v in q], dtype=object),
-                         "did": pd.Series([str(v) for v in d], dtype=object),
-                         "dist": pd.Series(x, dtype="float64")})
-
-
-def _block_topk(probe: DataFrame, members: DataFrame, k: int, block: int) -> DataFrame:
-    """Exact top-k of every probe over the members of its candidate cells as
-    a block nested loop: per cell, probes and members are hash-split into
-    chunks of about ``block`` rows (chunk counts from per-cell counts, one
-    row per pivot); members are replicated once per probe chunk of their
-    cell, probes once per member chunk; each (cell, member chunk, probe
-    chunk) group holds at most ~block x block vectors, whatever the skew,
-    and emits only its top-k per probe."""
-    sizes = {r["cell"]: r["n"] for r in members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    qsizes = {r["cell"]: r["n"] for r in probe.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    mch = {c: max(1, math.ceil(n / block)) for c, n in sizes.items()}
-    pch = {c: max(1, math.ceil(n / block)) for c, n in qsizes.items()}
-
-    def lookup(d):
-        return F.create_map(*[x for c, v in d.items() for x in (F.lit(int(c)), F.lit(int(v)))])
-    m_n = F.coalesce(F.element_at(lookup(mch), F.col("cell")), F.lit(1))
-    p_n = F.coalesce(F.element_at(lookup(pch), F.col("cell")), F.lit(1))
-    pr = (probe.withColumn("pchunk", F.pmod(F.xxhash64("qid"), p_n.cast("long")))
-               .withColumn("mchunk", F.explode(F.sequence(F.lit(0).cast("long"), (m_n - 1).cast("long")))))
-    mb = (members.select(F.col("id").alias("did"), F.col("v").alias("dv"), "cell")
-                 .withColumn("mchunk", F.pmod(F.xxhash64("did"), m_n.cast("long")))
-                 .withColumn("pchunk", F.explode(F.sequence(F.lit(0).cast("long"), (p_n - 1).cast("long")))))
-
-    def block_topk(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(m):
-            return _pairs_frame([], [], [])
-        m = m.sort_values("did", kind="stable")          # ties then resolve by id
-        qv = np.stack(q["qv"].to_numpy())
-        mv = np.stack(m["dv"].to_numpy())
-        qids, dids, ubs = q["qid"].to_numpy(), m["did"].to_numpy(), q["ub"].to_numpy()
-        kk = min(k, len(m))
-        out_q, out_d, out_x = [], [], []
-        step = max(1, (1 << 22) // max(1, mv.shape[0] * mv.shape[1]))
-        for s0 in range(0, len(qv), step):
-            diff = qv[s0:s0 + step, None, :] - mv[None, :, :]
-            dist = np.sqrt((diff * diff).sum(-1))
-            bad = (dist > ubs[s0:s0 + step, None]) | (qids[s0:s0 + step, None] == dids[None, :])
-            dist = np.where(bad, np.inf, dist)
-            order = np.argsort(dist, axis=1, kind="stable")[:, :kk]
-            best = np.take_along_axis(dist, order, axis=1)
-            rows, cols = np.nonzero(np.isfinite(best))
-            out_q.extend(qids[s0 + rows])
-            out_d.extend(dids[order[rows, cols]])
-            out_x.extend(best[rows, cols].tolist())
-        return _pairs_frame(out_q, out_d, out_x)
-
-    keys = ["cell", "mchunk", "pchunk"]
-    local = (pr.groupBy(*keys).cogroup(mb.groupBy(*keys))
-               .applyInPandas(block_topk, "qid string, did string, dist double"))
-    w = Window.partitionBy("qid").orderBy("dist", "did")
-    return (local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-                 .select(F.col("qid").alias("src"), F.col("did").alias("dst"),
-                         F.col("rank").cast("int").alias("rank"), "dist"))
+    1..k, ties broken by ``dst`` id; an item is not its own neighbour (see
+    :mod:`featurescape.operators.knn`)."""
+    return knn_tables(_vectors(df, id_col, vec_col, cols), k, seed, chunk_rows, cells)[0]
 
 
 def _bisect(score, target, iters: int = 32):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from featurescape.operators import embed
+from featurescape.operators import embed, knn
 
 
 def _brute(x, ids, k):
@@ -13,8 +13,9 @@ def _brute(x, ids, k):
     return out
 
 
-@pytest.mark.parametrize("seed,k", [(1, 3), (2, 7)])
-def test_knn_exact_against_brute_force(spark, seed, k):
+@pytest.mark.parametrize("seed,k,options", [(1, 3, {}), (2, 7, {"cells": 12, "chunk_rows": 8}),
+                                            (3, 2, {"cells": 30, "chunk_rows": 3}), (4, 160, {"cells": 4})])
+def test_knn_exact_against_brute_force(spark, seed, k, options):
     rng = np.random.default_rng(seed)
     centers = rng.normal(size=(4, 8)) * 10
     x = np.stack([centers[i % 4] + rng.normal(size=8) for i in range(150)])
@@ -22,7 +23,7 @@ def test_knn_exact_against_brute_force(spark, seed, k):
     ids = [f"i{j:03d}" for j in range(len(x))]
     df = spark.createDataFrame([(ids[j], x[j].tolist()) for j in range(len(x))], "ID string, v array<double>")
     got = {}
-    for r in embed.knn_graph(df, k=k, vec_col="v", max_pivots=24).collect():
+    for r in embed.knn_graph(df, k=k, vec_col="v", **options).collect():
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     want = _brute(x, ids, k)
     assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == want
@@ -55,7 +56,7 @@ def test_knn_with_a_third_identical_vectors(spark):
     ids = [f"v{j:03d}" for j in range(len(x))]
     df = spark.createDataFrame([(ids[j], x[j].tolist()) for j in range(len(x))], "ID string, v array<double>")
     got = {}
-    for r in embed.knn_graph(df, k=4, vec_col="v", max_pivots=16, block=16).collect():
+    for r in embed.knn_graph(df, k=4, vec_col="v", cells=6, chunk_rows=16).collect():
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     want = _brute(x, ids, 4)
     assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == want
@@ -71,3 +72,24 @@ def test_tsne_bandwidth_meets_perplexity(spark):
     p = np.array(sorted(r["w"] * 2 for r in w.where("src = 'q'").collect()))
     h = -(p * np.log(p)).sum()
     assert abs(h - np.log(8.0)) < 1e-6
+
+
+def test_knn_skips_chunks_of_far_clusters(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c * 50 + rng.normal(size=(60, 5)) for c in rng.normal(size=(20, 5))])
+    df = spark.createDataFrame([(f"v{j:04d}", x[j].tolist()) for j in range(len(x))], "id string, v array<double>")
+    graph, share = knn.knn_tables(df, 4, cells=40, chunk_rows=32)
+    got = {}
+    for r in graph.collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    want = _brute(x, [f"v{j:04d}" for j in range(len(x))], 4)
+    assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == want
+    assert share < 0.25
+
+
+def test_knn_of_few_items(spark):
+    schema = "id string, v array<double>"
+    assert knn.knn_tables(spark.createDataFrame([], schema), 3)[0].collect() == []
+    assert knn.knn_tables(spark.createDataFrame([("a", [1.0])], schema), 3)[0].collect() == []
+    two = knn.knn_tables(spark.createDataFrame([("a", [1.0]), ("b", [1.0])], schema), 3)[0].collect()
+    assert sorted(map(tuple, two)) == [("a", "b", 1, 0.0), ("b", "a", 1, 0.0)]
