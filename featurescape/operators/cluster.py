@@ -13,71 +13,130 @@ exactly, as rounds of DataFrame joins (Q14):
   the highest-ordered cluster that contains it (later clusters overwrite
   the flags of earlier ones).
 
-Each round works on a grid of side r/sqrt(2): per cell only the lowest
-undecided item can become a seed, so the work per round is linear in the
-undecided items (a dense cell meets at most 25 candidates, never itself
-pairwise).  A candidate becomes a seed when no lower-ordered undecided item
-lies within r; items within r of a new seed are then decided.  Every round
-writes the undecided set as a table, so lineage stays flat and lost executors
-replay one round at most.
+The grid has cells of side r/sqrt(2), so a seed decides its whole cell.  A
+round solves *tiles* of the grid in item order, each with a margin of the cells
+around it: an item whose lower-ordered neighbours are all decided is decided,
+so a chain of items costs a round only where it crosses into another tile.
+Tiles are nodes of a linear quadtree over the undecided items: only crowded
+nodes are split, and a tile holds ``TILE_ITEMS`` items at most, of every cell
+the ``CELL_ITEMS`` lowest-ordered ones (an item that the rest of a cell might
+still forestall waits; the packing of seeds bounds how often).  Items within r of a new seed
+leave; every round writes the undecided set as a table, so lineage stays flat
+and lost executors replay one round at most.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import logging
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurescape.operators.spatial import explode_neighbour_cells, valid_xy, with_cells
+from featurescape.operators.spatial import OFFSETS, explode_neighbour_cells, valid_xy, with_cells
 from featurescape.session import materialize
 
 DEFAULT_RADIUS = 10.0
+TILE_ITEMS = 16384          # items that a tile solves, besides those around it
+CELL_ITEMS = 32             # items of a cell that take part in a round
+TREE_LEVELS = 40            # halvings of the grid that a tile may span
+
+log = logging.getLogger(__name__)
 
 
 def _cell_join(a: DataFrame, b: DataFrame):
     return (F.col("ncx") == F.col("cx")) & (F.col("ncy") == F.col("cy"))
 
 
-def cluster_seeds(pts: DataFrame, r: float) -> DataFrame:
-    """Seeds ``(sid, sord, sx, sy, scx, scy)`` of the greedy pass.
-    ``pts``: ``(id, ord, x, y, cx, cy)``.
+def quadtree_tiles(cells: DataFrame, limit: int) -> DataFrame:
+    """Leaf of each cell in a linear quadtree whose nodes hold ``limit`` items at
+    most: ``cells`` (cx, cy, n) -> (cx, cy, level, tx, ty), the coarsest node
+    around the cell that is not too full (a fuller single cell is a leaf, too)."""
+    nodes = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TREE_LEVELS)))).select(
+        "cx", "cy", "n", "level", F.expr("shiftright(cx, level)").alias("tx"), F.expr("shiftright(cy, level)").alias("ty"))
+    fit = nodes.groupBy("level", "tx", "ty").agg(F.sum("n").alias("total")).where(
+        (F.col("total") <= limit) | (F.col("level") == 0)).drop("total")
+    # Counts only grow with the level, so the fitting nodes of a cell are its finest ones.
+    return (nodes.drop("n").join(fit, ["level", "tx", "ty"]).groupBy("cx", "cy")
+            .agg(F.max(F.struct("level", "tx", "ty")).alias("t")).select("cx", "cy", "t.level", "t.tx", "t.ty"))
+
+
+def solve_tile(items: pd.DataFrame, r: float) -> np.ndarray:
+    """Which items (in order of ``ord``) are certainly seeds, given this tile's own
+    undecided items (``own``) and those of the cells around it.  ``last`` is the
+    highest order that is present of a cell that has more items, else null."""
+    seeds: dict[tuple, tuple] = {}                    # cell -> (x, y)
+    open_items: dict[tuple, list] = {}                # cell -> undecidable items so far
+    cells = list(zip(items["cx"].tolist(), items["cy"].tolist()))
+    last = {c: v for c, v in zip(cells, items["last"].tolist()) if v == v and v is not None}
+    out = np.zeros(len(items), bool)
+    for i, (c, o, x, y, own) in enumerate(zip(cells, items["ord"].tolist(), items["x"].tolist(),
+                                              items["y"].tolist(), items["own"].tolist())):
+        if c in seeds:
+            continue
+        around = [(c[0] + dx, c[1] + dy) for dx, dy in OFFSETS]
+        if any(n in seeds and math.hypot(x - seeds[n][0], y - seeds[n][1]) <= r for n in around):
+            continue                                  # covered
+        free = own
+        for n in around if free else ():
+            if n in last and o > last[n] and n not in seeds:
+                free = False                          # items of that cell are missing
+            elif any(math.hypot(x - a, y - b) <= r for a, b in open_items.get(n, ())):
+                free = False
+            if not free:
+                break
+        if free:
+            seeds[c] = (x, y)
+            open_items.pop(c, None)                   # the whole cell is covered
+            out[i] = True
+        else:
+            open_items.setdefault(c, []).append((x, y))
+    return out
 
-    One materialised table per round: the undecided items of the round with their
-    new status (``seed``, ``covered`` or still undecided)."""
-    undecided = pts
-    seeds = []
+
+def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS) -> DataFrame:
+    """Seeds ``(sid, sord, sx, sy, scx, scy)`` of the greedy pass.
+    ``pts``: ``(id, ord, x, y, cx, cy)``."""
+    undecided, seeds, rounds = pts, None, 0
+    by_order = Window.partitionBy("cx", "cy").orderBy("ord", "id")
+    item = "id string, ord long, x double, y double, cx long, cy long"
     while True:     # every round decides the lowest undecided item at least
-        cand = (undecided.groupBy("cx", "cy")
-                         .agg(F.min(F.struct("ord", "id", "x", "y")).alias("c"))
-                         .select(F.col("c.id").alias("sid"), F.col("c.ord").alias("sord"),
-                                 F.col("c.x").alias("sx"), F.col("c.y").alias("sy"),
-                                 F.col("cx").alias("scx"), F.col("cy").alias("scy")))
-        cand_ex = explode_neighbour_cells(cand, "scx", "scy")
-        near = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r)
-        # a candidate always meets itself in its own cell, so every
-        # candidate survives the inner join and gets a flag
-        flags = (cand_ex.join(undecided, _cell_join(cand_ex, undecided))
-                        .groupBy("sid", "sord", "sx", "sy", "scx", "scy")
-                        .agg(F.max(F.when((F.col("ord") < F.col("sord")) & near, 1).otherwise(0)).alias("blk")))
-        new_seeds = flags.where(F.col("blk") == 0).drop("blk")
-        seeds_ex = explode_neighbour_cells(new_seeds, "scx", "scy")
-        step = (undecided.join(seeds_ex, _cell_join(seeds_ex, undecided), "left")
-                         .groupBy("id", "ord", "x", "y", "cx", "cy")
-                         .agg(F.max(F.when(F.col("sid") == F.col("id"), 1).otherwise(0)).alias("_seed"),
-                              F.max(F.when(near, 1).otherwise(0)).alias("_cov"))
-                         .withColumn("status", F.when(F.col("_seed") == 1, F.lit("seed"))
-                                                .when(F.col("_cov") == 1, F.lit("covered")))
-                         .drop("_seed", "_cov"))
-        step = materialize(step)
-        seeds.append(step.where(F.col("status") == "seed").select(
-            F.col("id").alias("sid"), F.col("ord").alias("sord"), F.col("x").alias("sx"),
-            F.col("y").alias("sy"), F.col("cx").alias("scx"), F.col("cy").alias("scy")))
-        undecided = step.where(F.col("status").isNull()).drop("status")
+        low = undecided.withColumn("place", F.row_number().over(by_order)).where(F.col("place") <= CELL_ITEMS + 1)
+        counts = low.groupBy("cx", "cy").agg(
+            F.least(F.max("place"), F.lit(CELL_ITEMS)).alias("n"),
+            F.max(F.when(F.col("place") == CELL_ITEMS, F.col("ord"))).alias("last"),
+            F.max("place").alias("most"))
+        counts = materialize(counts.select("cx", "cy", "n", F.when(F.col("most") > CELL_ITEMS, F.col("last")).alias("last")))
+        tiles = materialize(quadtree_tiles(counts.select("cx", "cy", "n"), tile_items))
+        low = (low.where(F.col("place") <= CELL_ITEMS).drop("place")
+               .join(counts.drop("n"), ["cx", "cy"]).join(tiles, ["cx", "cy"]))
+        around = explode_neighbour_cells(low, "cx", "cy").join(
+            tiles.toDF("ncx", "ncy", "nlevel", "ntx", "nty"), ["ncx", "ncy"])
+        own = (F.col("level") == F.col("nlevel")) & (F.col("tx") == F.col("ntx")) & (F.col("ty") == F.col("nty"))
+        dealt = around.select("id", "ord", "x", "y", "cx", "cy", "last", own.alias("own"), "nlevel", "ntx", "nty").distinct()
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["ord", "id"], ignore_index=True)
+            return pdf.loc[solve_tile(pdf, r), ["id", "ord", "x", "y", "cx", "cy"]]
+
+        new = dealt.groupBy("nlevel", "ntx", "nty").applyInPandas(solve, item)
+        new = materialize(new.select(F.col("id").alias("sid"), F.col("ord").alias("sord"), F.col("x").alias("sx"),
+                                     F.col("y").alias("sy"), F.col("cx").alias("scx"), F.col("cy").alias("scy")))
+        seeds = new if seeds is None else seeds.unionByName(new)
+        # A seed covers its own cell; other items leave if some seed around is near.
+        rest = undecided.join(new.select(F.col("scx").alias("cx"), F.col("scy").alias("cy")), ["cx", "cy"], "left_anti")
+        reach = explode_neighbour_cells(new, "scx", "scy").groupBy(F.col("ncx").alias("cx"), F.col("ncy").alias("cy")).agg(
+            F.collect_list(F.struct("sx", "sy")).alias("seeds_"))                # a seed per cell around: 25 at most
+        rest = (rest.join(reach, ["cx", "cy"], "left")
+                .where(~F.coalesce(F.exists("seeds_", lambda s: F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"])
+                                            <= F.lit(r)), F.lit(False))).drop("seeds_"))
+        undecided = materialize(rest.select("id", "ord", "x", "y", "cx", "cy"))
+        rounds += 1
         if undecided.isEmpty():
-            break
-    out = seeds[0]
-    for more in seeds[1:]:
-        out = out.unionByName(more)
-    return out
+            log.info("ball clustering: %d rounds", rounds)
+            return seeds
 
 
 def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",

@@ -1,7 +1,10 @@
+import logging
 import math
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from featurescape.operators import cluster, spatial
 
@@ -117,3 +120,21 @@ def test_ball_clusters_with_a_third_of_points_in_one_cell(spark):
     clustered, rep = greedy(pts, 10.0)
     assert [got[str(i)]["clustered"] for i in range(len(pts))] == clustered
     assert [got[str(i)]["representative"] for i in range(len(pts))] == rep
+
+
+def test_ordered_chain_takes_a_round_per_tile_crossing(spark, caplog):
+    n, r = 20000, 10.0
+    pts = spatial.with_cells(spark.range(n).select(F.col("id").cast("string").alias("id"), F.col("id").alias("ord"),
+                                                   (F.col("id") * 0.9 * r).alias("x"), F.lit(3.0).alias("y")), r)
+    with caplog.at_level(logging.INFO, logger="featurescape.operators.cluster"):
+        seeds = {row["sord"] for row in cluster.cluster_seeds(pts, r, tile_items=4096).collect()}
+    assert seeds == set(range(0, n, 2))
+    assert int(re.search(r"(\d+) rounds", caplog.text)[1]) < 20
+
+
+def test_tiles_split_crowded_nodes_only(spark):
+    cells = spark.createDataFrame([(0, 0, 9), (1, 0, 9), (-1, 5, 1), (700, 700, 1), (701, 700, 1)], "cx long, cy long, n int")
+    got = {(t.cx, t.cy): (t.level, t.tx, t.ty) for t in cluster.quadtree_tiles(cells, 10).collect()}
+    assert got[0, 0] == (0, 0, 0) and got[1, 0] == (0, 1, 0)
+    assert got[700, 700] == got[701, 700] and got[700, 700][0] == 9
+    assert got[-1, 5][0] == cluster.TREE_LEVELS
