@@ -35,7 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurescape.operators.spatial import OFFSETS, explode_neighbour_cells, valid_xy, with_cells
+from featurescape.operators.spatial import (CROWDED, OFFSETS, deal_crowded, explode_neighbour_cells, quadtree_leaves,
+                                            valid_xy, with_cells)
 from featurescape.session import materialize
 
 DEFAULT_RADIUS = 10.0
@@ -46,23 +47,6 @@ TREE_LEVELS = 40            # halvings of the grid that a tile may span
 log = logging.getLogger(__name__)
 
 
-def _cell_join(a: DataFrame, b: DataFrame):
-    return (F.col("ncx") == F.col("cx")) & (F.col("ncy") == F.col("cy"))
-
-
-def quadtree_tiles(cells: DataFrame, limit: int) -> DataFrame:
-    """Leaf of each cell in a linear quadtree whose nodes hold ``limit`` items at
-    most: ``cells`` (cx, cy, n) -> (cx, cy, level, tx, ty), the coarsest node
-    around the cell that is not too full (a fuller single cell is a leaf, too)."""
-    nodes = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(TREE_LEVELS)))).select(
-        "cx", "cy", "n", "level", F.expr("shiftright(cx, level)").alias("tx"), F.expr("shiftright(cy, level)").alias("ty"))
-    fit = nodes.groupBy("level", "tx", "ty").agg(F.sum("n").alias("total")).where(
-        (F.col("total") <= limit) | (F.col("level") == 0)).drop("total")
-    # Counts only grow with the level, so the fitting nodes of a cell are its finest ones.
-    return (nodes.drop("n").join(fit, ["level", "tx", "ty"]).groupBy("cx", "cy")
-            .agg(F.max(F.struct("level", "tx", "ty")).alias("t")).select("cx", "cy", "t.level", "t.tx", "t.ty"))
-
-
 def solve_tile(items: pd.DataFrame, r: float) -> np.ndarray:
     """Which items (in order of ``ord``) are certainly seeds, given this tile's own
     undecided items (``own``) and those of the cells around it.  ``last`` is the
@@ -109,7 +93,7 @@ def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS) -> Dat
             F.max(F.when(F.col("place") == CELL_ITEMS, F.col("ord"))).alias("last"),
             F.max("place").alias("most"))
         counts = materialize(counts.select("cx", "cy", "n", F.when(F.col("most") > CELL_ITEMS, F.col("last")).alias("last")))
-        tiles = materialize(quadtree_tiles(counts.select("cx", "cy", "n"), tile_items))
+        tiles = materialize(quadtree_leaves(counts.select("cx", "cy", "n"), tile_items, TREE_LEVELS))
         low = (low.where(F.col("place") <= CELL_ITEMS).drop("place")
                .join(counts.drop("n"), ["cx", "cy"]).join(tiles, ["cx", "cy"]))
         around = explode_neighbour_cells(low, "cx", "cy").join(
@@ -140,7 +124,7 @@ def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS) -> Dat
 
 
 def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",
-                        order_col: str = "_ord"):
+                        order_col: str = "_ord", limit: int = CROWDED):
     """CL-1...CL-4 as two tables: per positioned item ``(ID, x, y,
     clustered, representative, cluster, visible)`` and per cluster
     ``(cluster, size, centre_x, centre_y, representative)``.  ``cluster``
@@ -152,15 +136,18 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
     # every round reads the points several times, so write them once
     pts = materialize(with_cells(base, r))
     seeds = cluster_seeds(pts, r)   # union of filters over round tables
-    seeds_ex = explode_neighbour_cells(seeds, "scx", "scy")
-    member = (seeds_ex.join(pts, _cell_join(seeds_ex, pts))
+    seeds_ex = explode_neighbour_cells(seeds, "scx", "scy").withColumnsRenamed({"ncx": "cx", "ncy": "cy"})
+    # crowded cells and large clusters are dealt to parts of ``limit`` rows
+    dealt, seeds_ex = deal_crowded(pts, seeds_ex, ["cx", "cy"], "id", limit)
+    member = (dealt.join(seeds_ex, ["cx", "cy", "part"])
                       .where(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= F.lit(r))
                       .select("sid", "sord", "id", "ord", "x", "y"))
     member = materialize(member)
     centre = (member.groupBy("sid")
                     .agg(F.count(F.lit(1)).alias("size"), F.avg("x").alias("mx"), F.avg("y").alias("my")))
     clusters = centre.where(F.col("size") >= 2)
-    in_cluster = member.join(clusters, "sid")
+    dealt, centres = deal_crowded(member, clusters, ["sid"], "id", limit)
+    in_cluster = dealt.join(centres, ["sid", "part"]).drop("part")
     d = F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my"))
     reps = (in_cluster.groupBy("sid")
                       .agg(F.min(F.struct(d.alias("d"), F.col("ord"), F.col("id"))).alias("b"))
@@ -193,18 +180,20 @@ def aggregated_view(clustered: DataFrame) -> DataFrame:
     return clustered.where(~F.col("clustered") | F.col("representative"))
 
 
-def grid_clusters(pos: DataFrame, cell: float, id_col: str = "ID", order_col: str = "_ord") -> DataFrame:
+def grid_clusters(pos: DataFrame, cell: float, id_col: str = "ID", order_col: str = "_ord",
+                  limit: int = CROWDED) -> DataFrame:
     """CL-5: one cluster per grid cell of side ``cell`` in a single
     aggregation: ``(cell_x, cell_y, n, centre_x, centre_y, representative)``;
     the representative is the member nearest the centre (first item on
-    ties).  Both aggregates are algebraic, so dense cells are combined
-    map-side."""
+    ties).  Centres are combined map-side; members meet their cell's centre in
+    parts of ``limit`` rows, each of which sends its nearest one on."""
     p = (valid_xy(pos).select(F.col(id_col).cast("string").alias("id"), F.col(order_col).alias("ord"), "x", "y")
                       .withColumn("cell_x", F.floor(F.col("x") / F.lit(cell)))
                       .withColumn("cell_y", F.floor(F.col("y") / F.lit(cell))))
     centre = p.groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("centre_x"),
                                                F.avg("y").alias("centre_y"))
-    j = p.join(centre, ["cell_x", "cell_y"])
+    dealt, centres = deal_crowded(p, centre, ["cell_x", "cell_y"], "id", limit)
+    j = dealt.join(centres, ["cell_x", "cell_y", "part"])
     d = F.hypot(F.col("x") - F.col("centre_x"), F.col("y") - F.col("centre_y"))
     rep = j.groupBy("cell_x", "cell_y").agg(F.min(F.struct(d.alias("d"), F.col("ord"), F.col("id"))).alias("b"))
     return (centre.join(rep, ["cell_x", "cell_y"])

@@ -134,7 +134,7 @@ def test_ordered_chain_takes_a_round_per_tile_crossing(spark, caplog):
 
 def test_tiles_split_crowded_nodes_only(spark):
     cells = spark.createDataFrame([(0, 0, 9), (1, 0, 9), (-1, 5, 1), (700, 700, 1), (701, 700, 1)], "cx long, cy long, n int")
-    got = {(t.cx, t.cy): (t.level, t.tx, t.ty) for t in cluster.quadtree_tiles(cells, 10).collect()}
+    got = {(t.cx, t.cy): (t.level, t.tx, t.ty) for t in spatial.quadtree_leaves(cells, 10, cluster.TREE_LEVELS).collect()}
     assert got[0, 0] == (0, 0, 0) and got[1, 0] == (0, 1, 0)
     assert got[700, 700] == got[701, 700] and got[700, 700][0] == 9
     assert got[-1, 5][0] == cluster.TREE_LEVELS
