@@ -49,8 +49,8 @@ from featurescape.session import materialize
 
 LEAST = 0.93
 SIGMAS = 6.0                # width of the confidence bounds
-MISS = 1e-9                 # probability that a linked pair shares no bucket
-CHUNK = 4096                # vectors of a chunk, balls of a bucket's block
+MISS = 1e-8                 # probability that a linked pair shares no bucket
+CHUNK = 1024                # vectors of a chunk, balls of a bucket's block
 SEED = 13
 SLACK = 1e-6                # rounding of angles, in radians
 
@@ -68,7 +68,7 @@ def rotation(dim: int, number: int) -> np.ndarray:
 
 
 def code_bits(dim: int) -> int:
-    return 64 * max(2, math.ceil(2 * dim / 64))
+    return 64 * max(4, math.ceil(4 * dim / 64))
 
 
 def tables_for(bits: int, least: float) -> int:
@@ -145,9 +145,14 @@ def cover(u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
         degree -= near[:, taken].sum(axis=1)
 
 
-def _units(column: pd.Series) -> np.ndarray:
+def _scaled(column: pd.Series) -> np.ndarray:
+    """Vectors divided by their largest component, so that squares stay in range."""
     x = np.stack(column.to_list()).astype(np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.abs(x).max(axis=1, keepdims=True)
+
+
+def _units(column: pd.Series) -> np.ndarray:
+    x = _scaled(column)
     return x / np.sqrt((x ** 2).sum(axis=1, keepdims=True))
 
 
@@ -188,11 +193,13 @@ def _placed(rows: DataFrame, least: float, chunk: int) -> DataFrame:
     def balls(pdf: pd.DataFrame) -> pd.DataFrame:
         enter("rotated")
         pdf = pdf.sort_values("rid", ignore_index=True)
-        u, bits = _units(pdf["x"]), int(pdf["bits"].iloc[0])
+        x, bits = _scaled(pdf["x"]), int(pdf["bits"].iloc[0])
+        norm = np.sqrt((x ** 2).sum(axis=1))
+        u = x / norm[:, None]
         centre, angle = cover(u, half)
         keys = bucket_keys(u, bits, tables_for(bits, least))
         rid = pdf["rid"].to_numpy(np.int64)
-        out = pdf[["rid", "label", "dim", "x"]].assign(ball=rid[centre], angle=angle)
+        out = pdf[["rid", "label", "dim"]].assign(x=list(x), norm=norm, ball=rid[centre], angle=angle)
         codes, factors = encode(u)
         q, scale, error = to_bytes(u)
         n = np.bincount(centre, minlength=len(u))
@@ -208,7 +215,7 @@ def _placed(rows: DataFrame, least: float, chunk: int) -> DataFrame:
                           q=[v.tobytes() if h else None for v, h in zip(q, here)])
 
     return materialize(dealt.groupBy("label", "dim", "key", "part").applyInPandas(
-        balls, f"rid long, label {kind}, dim int, x array<double>, ball long, angle double, n long, wide double, "
+        balls, f"rid long, label {kind}, dim int, x array<double>, norm double, ball long, angle double, n long, wide double, "
                "factor double, scale double, error double, keys array<long>, code binary, q binary"))
 
 
@@ -250,18 +257,6 @@ def _candidates(centres: DataFrame, least: float, chunk: int) -> DataFrame:
     return entries.groupBy(*key, "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _cosine(x, y):
-    def dot(p, q):
-        return F.aggregate(F.zip_with(p, q, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
-
-    # Scaled by the largest component first, so that squares stay in range.
-    def scaled(p):
-        return F.transform(p, lambda v: v / F.array_max(F.transform(p, F.abs)))
-
-    x, y = scaled(x), scaled(y)
-    return dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
-
-
 def _member_links(mixed: DataFrame, placed: DataFrame, least: float) -> DataFrame:
     """(a, b, rid, n): links of each member of two balls with the other ball's."""
     members = placed.select("ball", "rid", "x")
@@ -289,11 +284,12 @@ def near_copies(vectors: DataFrame, least: float = LEAST, chunk: int = CHUNK, id
     usable = _usable(F.col("label"), F.col("x"))
     placed = _placed(rows.where(usable).withColumn("dim", F.size("x")), least, chunk)
     centres = placed.where("rid = ball")
-    centre = centres.select("ball", "n", "wide", "x")
+    centre = centres.select("ball", "n", "wide", "x", "norm")
     pairs = (_candidates(centres, least, chunk)
              .join(centre.select(*[F.col(c).alias(f"{c}_a") for c in centre.columns]), F.col("a") == F.col("ball_a"))
              .join(centre.select(*[F.col(c).alias(f"{c}_b") for c in centre.columns]), F.col("b") == F.col("ball_b")))
-    cosine = _cosine(F.col("x_a"), F.col("x_b"))
+    dot = F.aggregate(F.zip_with("x_a", "x_b", lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    cosine = dot / (F.col("norm_a") * F.col("norm_b"))
     wide, limit = F.col("wide_a") + F.col("wide_b"), math.acos(least)
     angle = F.acos(F.least(F.greatest("cosine", F.lit(-1.0)), F.lit(1.0)))
     single = (F.col("n_a") == 1) & (F.col("n_b") == 1)

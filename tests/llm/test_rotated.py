@@ -51,7 +51,7 @@ def _groups(rng, n, dim):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4096, 64, 20])
+@pytest.mark.parametrize("chunk", [1024, 64, 20])
 def test_links_and_components(spark, chunk):
     rows = _groups(np.random.default_rng(chunk), 300, 16)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, "
