@@ -80,7 +80,7 @@ def solve_tile(items: pd.DataFrame, r: float) -> np.ndarray:
     return out
 
 
-def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS) -> DataFrame:
+def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS, limit: int = CROWDED) -> DataFrame:
     """Seeds ``(sid, sord, sx, sy, scx, scy)`` of the greedy pass.
     ``pts``: ``(id, ord, x, y, cx, cy)``."""
     undecided, seeds, rounds = pts, None, 0
@@ -110,12 +110,12 @@ def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS) -> Dat
                                      F.col("y").alias("sy"), F.col("cx").alias("scx"), F.col("cy").alias("scy")))
         seeds = new if seeds is None else seeds.unionByName(new)
         # A seed covers its own cell; other items leave if some seed around is near.
-        rest = undecided.join(new.select(F.col("scx").alias("cx"), F.col("scy").alias("cy")), ["cx", "cy"], "left_anti")
         reach = explode_neighbour_cells(new, "scx", "scy").groupBy(F.col("ncx").alias("cx"), F.col("ncy").alias("cy")).agg(
-            F.collect_list(F.struct("sx", "sy")).alias("seeds_"))                # a seed per cell around: 25 at most
-        rest = (rest.join(reach, ["cx", "cy"], "left")
-                .where(~F.coalesce(F.exists("seeds_", lambda s: F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"])
-                                            <= F.lit(r)), F.lit(False))).drop("seeds_"))
+            F.collect_list(F.struct("sx", "sy", ((F.col("scx") == F.col("ncx")) & (F.col("scy") == F.col("ncy"))).alias("own")))
+            .alias("seeds"))                                                     # one a cell around: 25 at most
+        rest, reach = deal_crowded(undecided, reach, ["cx", "cy"], "id", limit)
+        covered = F.exists("seeds", lambda s: s["own"] | (F.hypot(F.col("x") - s["sx"], F.col("y") - s["sy"]) <= F.lit(r)))
+        rest = rest.join(reach, ["cx", "cy", "part"], "left").where(~F.coalesce(covered, F.lit(False)))
         undecided = materialize(rest.select("id", "ord", "x", "y", "cx", "cy"))
         rounds += 1
         if undecided.isEmpty():
@@ -124,7 +124,7 @@ def cluster_seeds(pts: DataFrame, r: float, tile_items: int = TILE_ITEMS) -> Dat
 
 
 def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",
-                        order_col: str = "_ord", limit: int = CROWDED):
+                        order_col: str = "_ord", limit: int = CROWDED, tile_items: int = TILE_ITEMS):
     """CL-1...CL-4 as two tables: per positioned item ``(ID, x, y,
     clustered, representative, cluster, visible)`` and per cluster
     ``(cluster, size, centre_x, centre_y, representative)``.  ``cluster``
@@ -135,7 +135,7 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
     # the input may be a deep lazy plan (encode, joins, filters, scaling):
     # every round reads the points several times, so write them once
     pts = materialize(with_cells(base, r))
-    seeds = cluster_seeds(pts, r)   # union of filters over round tables
+    seeds = cluster_seeds(pts, r, tile_items, limit)   # union of round tables
     seeds_ex = explode_neighbour_cells(seeds, "scx", "scy").withColumnsRenamed({"ncx": "cx", "ncy": "cy"})
     # crowded cells and large clusters are dealt to parts of ``limit`` rows
     dealt, seeds_ex = deal_crowded(pts, seeds_ex, ["cx", "cy"], "id", limit)
@@ -155,7 +155,8 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
     last = (in_cluster.groupBy("id")
                       .agg(F.max(F.struct("sord", "sid")).alias("m"))
                       .select("id", F.col("m.sid").alias("cluster")))
-    flags = (last.join(reps, last["cluster"] == reps["sid"])
+    dealt, named = deal_crowded(last, reps.withColumnRenamed("sid", "cluster"), ["cluster"], "id", limit)
+    flags = (dealt.join(named, ["cluster", "part"])
                  .select("id", "cluster", (F.col("rep") == F.col("id")).alias("representative")))
     out = (base.join(flags, "id", "left")
                .select(F.col("id").alias(id_col), "x", "y",
@@ -170,9 +171,9 @@ def ball_cluster_tables(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str =
 
 
 def ball_clusters(pos: DataFrame, r: float = DEFAULT_RADIUS, id_col: str = "ID",
-                  order_col: str = "_ord") -> DataFrame:
+                  order_col: str = "_ord", limit: int = CROWDED, tile_items: int = TILE_ITEMS) -> DataFrame:
     """CL-1...CL-4 per item (see :func:`ball_cluster_tables`)."""
-    return ball_cluster_tables(pos, r, id_col, order_col)[0]
+    return ball_cluster_tables(pos, r, id_col, order_col, limit, tile_items)[0]
 
 
 def aggregated_view(clustered: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import tempfile
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +16,10 @@ def spark():
     s = get_session("local[4]", shuffle_partitions=8,
                     extra={"spark.local.dir": scratch,
                            "spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
-                           "spark.default.parallelism": "4"})
+                           "spark.default.parallelism": "4",
+                           # what tasks really read, see tests/event_log.py
+                           "spark.eventLog.enabled": "true", "spark.eventLog.dir": f"file://{scratch}",
+                           "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"})
     s.sparkContext.setCheckpointDir(os.path.join(scratch, "ckpt"))
     yield s
     s.stop()

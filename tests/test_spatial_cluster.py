@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from event_log import most_uneven, tasks_of
 from featurescape.operators import cluster, spatial
+from featurescape.session import materialize
 
 
 def greedy(points, r):
@@ -138,3 +140,53 @@ def test_tiles_split_crowded_nodes_only(spark):
     assert got[0, 0] == (0, 0, 0) and got[1, 0] == (0, 1, 0)
     assert got[700, 700] == got[701, 700] and got[700, 700][0] == 9
     assert got[-1, 5][0] == cluster.TREE_LEVELS
+
+
+# Joins by shuffle, one task per partition: what a cluster does with large tables.
+PLAIN = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+         "spark.sql.adaptive.skewJoin.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+
+
+def _crowd(n):
+    """Two thirds of the points in one cell of the joins, at different positions."""
+    rng = np.random.default_rng(12)
+    crowd = rng.uniform(0.1, 0.9, size=(2 * n // 3, 2))
+    return np.concatenate([crowd, rng.uniform(-300, 300, size=(n - len(crowd), 2))]).tolist()
+
+
+def test_no_task_gets_a_crowded_cell(spark):
+    pts = _crowd(3000)
+    df = materialize(_frame(spark, pts))
+    probes = materialize(df.where("_ord % 3 = 0").select(F.col("ID").alias("pid"), "x", "y"))
+    run = {
+        "grid": lambda: cluster.grid_clusters(df, 2.0, limit=100),
+        "nearest": lambda: spatial.nearest_join(probes, df, 2.0, leaf_items=16),
+        "radius": lambda: spatial.radius_neighbors(df.where("_ord % 4 = 0"), 2.0, limit=50),
+        "balls": lambda: cluster.ball_clusters(df, 2.0, limit=100, tile_items=16),
+    }
+    for name, query in run.items():
+        with tasks_of(spark, **PLAIN) as stages:
+            query().write.format("noop").mode("overwrite").save()
+        assert most_uneven(stages, 1000) < 5, (name, str([sorted(s) for s in stages if most_uneven([s], 1000) >= 5]))
+
+
+def test_crowded_cells_give_the_same_results(spark):
+    pts = _crowd(300) + [(0.5, 0.5)] * 9
+    df = _frame(spark, pts)
+    far = [(float(a), float(b)) for a, b in np.random.default_rng(5).uniform(-2, 3, size=(80, 2))]
+    probes = spark.createDataFrame([(f"p{i}", *p) for i, p in enumerate(far)], "pid string, x double, y double")
+    for tol in (0.05, 2.0):
+        got = {r["pid"]: (r["ID"], r["dist"]) for r in spatial.nearest_join(probes, df, tol, leaf_items=4).collect()}
+        for i, p in enumerate(far):
+            d, first = min((math.hypot(p[0] - q[0], p[1] - q[1]), j) for j, q in enumerate(pts))
+            item, dist = got[f"p{i}"]
+            assert item == (str(first) if d < tol else None) and (d >= tol or abs(dist - d) < 1e-12)
+    plain = sorted(map(tuple, cluster.grid_clusters(df, 2.0).collect()))
+    split = sorted(map(tuple, cluster.grid_clusters(df, 2.0, limit=10).collect()))
+    assert [(r[:3], r[5]) for r in plain] == [(r[:3], r[5]) for r in split]
+    pairs = [sorted(map(tuple, spatial.radius_neighbors(df, 0.3, limit=n).collect())) for n in (7, 10_000)]
+    assert pairs[0] == pairs[1]
+    balls = [sorted(map(tuple, cluster.ball_clusters(df, 0.4, limit=n).collect())) for n in (10, 10_000)]
+    assert balls[0] == balls[1]
+    clustered, rep = greedy([tuple(p) for p in pts], 0.4)
+    assert {b[0]: (b[3], b[4]) for b in balls[0]} == {str(i): (clustered[i], rep[i]) for i in range(len(pts))}
