@@ -113,15 +113,25 @@ class Estimates:
         self.width = SIGMAS * np.sqrt(np.maximum(0, 1 / factors ** 2 - 1)) / math.sqrt(bits - 1)
         self.factors, self.error = factors, error
 
-    def value(self, i: slice, j: slice) -> np.ndarray:
-        """Unbiased estimates of <i, j> from the codes of i."""
+    def value(self, i, j) -> np.ndarray:
+        """Unbiased estimates of <i, j> from the codes of i (ranges of rows)."""
         return self.code[i] @ self.query[j].T
 
-    def upper(self, i: slice, j: slice) -> np.ndarray:
-        one = self.value(i, j) + self.width[i, None] + self.error[None, j] / self.factors[i, None]
-        two = self.value(j, i).T + self.width[None, j] + self.error[i, None] / self.factors[None, j]
+    def upper(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Upper bounds of <i, j> for pairs of rows, from both directions."""
+        one = np.einsum("ij,ij->i", self.code[i], self.query[j]) + self.width[i] + self.error[j] / self.factors[i]
+        two = np.einsum("ij,ij->i", self.code[j], self.query[i]) + self.width[j] + self.error[i] / self.factors[j]
         return np.minimum(one, two) + 1e-5
 
+    def above(self, rows: slice, cols: slice, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows whose upper bounds reach ``least``: a look at all of them in one
+        direction, and at what passes in both."""
+        need = least - 1e-5 - self.width[rows] - self.error[cols].max() / self.factors[rows]
+        x, y = np.nonzero(self.value(rows, cols) >= need.astype(np.float32)[:, None] - np.float32(1e-6))
+        x, y = x + rows.start, y + cols.start
+        keep = self.upper(x, y) >= least
+        return x[keep], y[keep]
+
 
 def cover(u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Each row's centre (a row) and angle to it: rows with the most neighbours within
@@ -246,8 +256,7 @@ def _candidates(centres: DataFrame, least: float, chunk: int) -> DataFrame:
             for j in range(i if low == high else split, len(pdf), 2048):
                 cols = slice(j, min(j + 2048, len(pdf)))
                 bound = limit + wide[rows].max() + wide[cols].max()
-                x, y = np.nonzero(found.upper(rows, cols) >= math.cos(min(math.pi, bound)))
-                x, y = x + rows.start, y + cols.start
+                x, y = found.above(rows, cols, math.cos(min(math.pi, bound)))
                 if low == high:
                     x, y = x[y > x], y[y > x]
                 out.append(np.sort(np.stack([ball[x], ball[y]], axis=1), axis=1))
