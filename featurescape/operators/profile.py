@@ -2,13 +2,12 @@
 
 * min / max / population variance / deviation: one global aggregate over
   all feature columns (partial aggregation per task, one tiny final merge).
-* exact median: *histogram refinement*.  Each round counts values per
-  (feature, 1024 sub-bins of the current candidate interval) with min/max
-  per bin -- a map-side aggregate, shuffle bounded by features x bins -- and
-  narrows the interval to the bin holding the target rank.  No round ever
-  sorts or buffers the values, unlike ``percentile`` whose exact buffer
-  would meet in one task.  Intervals shrink strictly (the min and max of
-  the interval always fall into different bins), so it terminates.
+* exact median: a mergeable quantile sketch (in the same aggregate) brackets the
+  middle rank, a second scan counts what lies below the bracket and its
+  sub-bins (map-side aggregate, shuffle bounded by features x bins), and a third
+  one groups the values of the one sub-bin that holds the rank, sorts these by range
+  and picks the value.  Three scans whatever the distribution; no step buffers
+  the values of a column, unlike ``percentile`` whose exact buffer would meet in one task.
 * histogram: the numpy equal-width rule with its edge corrections (Q6),
   grouped map-side, zero-filled against a features x bins grid.
 """
@@ -22,10 +21,12 @@ from pyspark.sql import functions as F
 
 from featurescape.functions.numbers import to_number_or_zero
 from featurescape.operators.encode import feature_columns, fill_number, is_numeric_type
+from featurescape.session import materialize
 
 # Histogram resolution of the meta document.
 HISTOGRAM_BINS = 50
 MEDIAN_SUB_BINS = 1024
+SKETCH_ACCURACY = 10_000    # relative rank error of the quantile sketch, inverted
 
 
 class NonFiniteValuesError(ValueError):
@@ -42,6 +43,7 @@ class ColumnStats:
     variance: float
     deviation: float
     median: float | None = None
+    bracket: tuple | None = None        # values around the middle ranks
 
 
 def numeric_view(df: DataFrame, cols: list[str], encoded: bool = False) -> DataFrame:
@@ -58,12 +60,15 @@ def numeric_view(df: DataFrame, cols: list[str], encoded: bool = False) -> DataF
 
 
 def basic_stats(num: DataFrame, cols: list[str]) -> list[ColumnStats]:
-    """AGG-1, AGG-3, AGG-4 in one aggregate."""
+    """AGG-1, AGG-3, AGG-4 and the median's bracket in one aggregate."""
+    # The sketch's ranks are off by n / accuracy at most; twice that on either side.
+    around = [0.5 - 2 / SKETCH_ACCURACY, 0.5 + 2 / SKETCH_ACCURACY]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i in range(1, len(cols) + 1):
         v = F.col(f"f{i}")
         aggs += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"),
-                 F.var_pop(v).alias(f"va{i}"), F.stddev_pop(v).alias(f"sd{i}")]
+                 F.var_pop(v).alias(f"va{i}"), F.stddev_pop(v).alias(f"sd{i}"),
+                 F.percentile_approx(v, around, SKETCH_ACCURACY).alias(f"br{i}")]
     row = num.agg(*aggs).collect()[0]
     out = []
     for i, c in enumerate(cols, start=1):
@@ -71,7 +76,7 @@ def basic_stats(num: DataFrame, cols: list[str]) -> list[ColumnStats]:
         if lo is not None and (abs(lo) == float("inf") or abs(hi) == float("inf")):
             raise NonFiniteValuesError(f"column {c!r} holds infinite values")
         out.append(ColumnStats(str(i), c, int(row["n"]), lo, hi,
-                               row[f"va{i}"], row[f"sd{i}"]))
+                               row[f"va{i}"], row[f"sd{i}"], bracket=tuple(row[f"br{i}"] or ()) or None))
     return out
 
 
@@ -82,57 +87,79 @@ def _bin_of(v: Column, lo: float, hi: float, bins: int) -> Column:
                    F.lit(bins - 1).cast("long"))
 
 
+def _counts(num: DataFrame, brackets: list[tuple[str, float, float]], bins: int) -> dict[int, list]:
+    """Per bracket (feature, lo, hi): (bin, rows, min, max) in order; bin -1 is all that lies below."""
+    parts = []
+    for j, (fid, lo, hi) in enumerate(brackets):
+        v = F.col(f"f{fid}")
+        inside = F.lit(0).cast("long") if lo == hi else _bin_of(v, lo, hi, bins)
+        b = F.when(v < F.lit(lo), F.lit(-1).cast("long")).when(v <= F.lit(hi), inside)
+        parts.append(F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v")))
+    rows = (num.select(F.explode(F.array(*parts)).alias("p")).where(F.col("p.b").isNotNull())
+            .groupBy("p.j", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("mn"), F.max("p.v").alias("mx"))
+            .collect())  # <= brackets x (bins + 1) rows
+    found: dict[int, list] = {j: [] for j in range(len(brackets))}
+    for r in sorted(rows, key=lambda r: (r["j"], r["b"])):
+        found[r["j"]].append((r["b"], r["n"], r["mn"], r["mx"]))
+    return found
+
+
+def _pick(num: DataFrame, wanted: list[tuple[str, float, float, int]]) -> list[float]:
+    """The value at a 0-based rank among a feature's values in [lo, hi], for each
+    (feature, lo, hi, rank): distinct values with their counts, sorted by range."""
+    parts = []
+    for j, (fid, lo, hi, _) in enumerate(wanted):
+        v = F.col(f"f{fid}")
+        parts.append(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.struct(F.lit(j).alias("j"), v.alias("v"))))
+    values = (num.select(F.explode(F.array(*parts)).alias("p")).where(F.col("p").isNotNull())
+              .groupBy("p.j", "p.v").agg(F.count(F.lit(1)).alias("n")))
+    values = materialize(values.repartitionByRange("j", "v").withColumn("part", F.spark_partition_id()))
+    sums: dict[int, list] = {}
+    for r in values.groupBy("j", "part").agg(F.sum("n").alias("n")).collect():    # features x partitions rows
+        sums.setdefault(r["j"], []).append((r["part"], r["n"]))
+    places = []
+    for j, (*_, rank) in enumerate(wanted):
+        for part, n in sorted(sums[j]):
+            if rank < n:
+                places.append((j, part, rank))
+                break
+            rank -= n
+    spot = num.sparkSession.createDataFrame(places, "j int, part int, rank long")
+    upto = F.sum("n").over(Window.partitionBy("j", "part").orderBy("v"))          # one sorted partition
+    rows = (values.join(F.broadcast(spot), ["j", "part"]).withColumn("upto", upto).where(F.col("upto") > F.col("rank"))
+            .groupBy("j").agg(F.min("v").alias("v")).collect())
+    return [r["v"] for r in sorted(rows, key=lambda r: r["j"])]
+
+
 def exact_medians(num: DataFrame, stats: list[ColumnStats],
                   sub_bins: int = MEDIAN_SUB_BINS) -> dict[str, float]:
-    """AGG-2: exact median (mean of the two middle values) per feature."""
-    # state per (feature, target rank): [lo, hi, below]
-    state: dict[tuple[str, int], list] = {}
+    """AGG-2: exact median (mean of the two middle values) per feature, in two scans
+    after the one of :func:`basic_stats`."""
+    full = [s for s in stats if s.n and s.lo is not None]
+    brackets = [(s.fid, *(s.bracket or (s.lo, s.hi))) for s in full]
+    found = _counts(num, brackets, sub_bins) if full else {}
     done: dict[tuple[str, int], float] = {}
-    for s in stats:
-        if s.n == 0 or s.lo is None:
-            continue
-        for k in {(s.n - 1) // 2, s.n // 2}:
-            if s.lo == s.hi:
-                done[(s.fid, k)] = s.lo
-            else:
-                state[(s.fid, k)] = [s.lo, s.hi, 0]
-    while state:
-        intervals = sorted({(fid, lo, hi) for (fid, _), (lo, hi, _) in state.items()})
-        parts = []
-        for j, (fid, lo, hi) in enumerate(intervals):
-            v = F.col(f"f{fid}")
-            b = F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), _bin_of(v, lo, hi, sub_bins))
-            parts.append(F.struct(F.lit(j).alias("j"), b.alias("b"), v.alias("v")))
-        rows = (num.select(F.explode(F.array(*parts)).alias("p"))
-                   .where(F.col("p.b").isNotNull())
-                   .groupBy("p.j", "p.b")
-                   .agg(F.count(F.lit(1)).alias("n"), F.min("p.v").alias("mn"), F.max("p.v").alias("mx"))
-                   .collect())  # <= intervals x sub_bins rows
-        hist: dict[int, list] = {}
-        for r in rows:
-            hist.setdefault(r["j"], []).append((r["b"], r["n"], r["mn"], r["mx"]))
-        for key in list(state):
-            lo, hi, below = state[key]
-            j = intervals.index((key[0], lo, hi))
-            acc = below
-            for b, n, mn, mx in sorted(hist.get(j, [])):
-                if acc + n > key[1]:
-                    if mn == mx:
-                        done[key] = mn
-                        del state[key]
-                    else:
-                        state[key] = [mn, mx, acc]
+    wanted = []
+    for j, s in enumerate(full):
+        for rank in {(s.n - 1) // 2, s.n // 2}:
+            before = 0
+            for b, n, mn, mx in found[j]:
+                if rank < before + n:
+                    if b >= 0 and mn == mx:
+                        done[s.fid, rank] = mn
+                    else:              # b < 0: the sketch was off, which costs time only
+                        wanted.append((s.fid, mn, mx, rank - before, rank))
                     break
-                acc += n
+                before += n
             else:
-                raise RuntimeError("rank outside candidate interval")
-    out = {}
-    for s in stats:
-        if s.n == 0 or s.lo is None:
-            out[s.fid] = None
-            continue
-        a, b = done[(s.fid, (s.n - 1) // 2)], done[(s.fid, s.n // 2)]
-        out[s.fid] = a if (s.n % 2 == 1) else (a + b) / 2
+                wanted.append((s.fid, s.lo, s.hi, rank, rank))
+    if wanted:
+        for w, v in zip(wanted, _pick(num, [w[:4] for w in wanted])):
+            done[w[0], w[4]] = v
+    out: dict[str, float] = {s.fid: None for s in stats}
+    for s in full:
+        a, b = done[s.fid, (s.n - 1) // 2], done[s.fid, s.n // 2]
+        out[s.fid] = a if s.n % 2 else (a + b) / 2
     return out
 
 

@@ -180,9 +180,15 @@ def nearest_join(points: DataFrame, pos: DataFrame, tol: float, point_id: str =
     # Fine cells of the whole plane are numbered so that a node never spans two cells of the join.
     width = F.lit(1 << LEAF_LEVELS)
     spots = spots.withColumn("gx", F.col("cx") * width + F.col("fx")).withColumn("gy", F.col("cy") * width + F.col("fy"))
-    cells = spots.groupBy(F.col("gx").alias("cx"), F.col("gy").alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+    # A cell with few positions is one leaf: the node that covers it whole.
+    full = spots.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > leaf_items).select("cx", "cy")
+    full = broadcast_if_small(materialize(full))
+    cells = (spots.join(full, ["cx", "cy"], "left_semi")
+             .groupBy(F.col("gx").alias("cx"), F.col("gy").alias("cy")).agg(F.count(F.lit(1)).alias("n")))
     tree = quadtree_leaves(cells, leaf_items, LEAF_LEVELS).toDF("gx", "gy", "level", "tx", "ty")
-    spots = materialize(spots.join(tree, ["gx", "gy"]).select("ix", "iy", "first", "cx", "cy", "level", "tx", "ty"))
+    spots = materialize(spots.join(tree, ["gx", "gy"], "left").select(
+        "ix", "iy", "first", "cx", "cy", F.coalesce("level", F.lit(LEAF_LEVELS)).alias("level"),
+        F.coalesce("tx", "cx").alias("tx"), F.coalesce("ty", "cy").alias("ty")))
     leaf = ["level", "tx", "ty"]
     boxes = spots.groupBy("cx", "cy", *leaf).agg(F.min("ix").alias("x0"), F.min("iy").alias("y0"),
                                                  F.max("ix").alias("x1"), F.max("iy").alias("y1"))

@@ -19,6 +19,7 @@ from featurescape.functions import colors, glyph, view
 from featurescape.operators import catalog as cat
 from featurescape.operators import cluster, encode, filters, items, positions, profile, spatial
 from featurescape.operators.ids import ensure_id
+from featurescape.session import materialize
 
 R = 6  # decimals compared
 VIEW_W, VIEW_H = 1600.0, 900.0
@@ -171,15 +172,17 @@ FROM part
 
 
 # ---------------------------------------------------------------- AGG
-PROFILE_COLS = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+PROFILE_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount",
+                "l_tax"]
 HIST_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def q_profile_lineitem(spark, sf_dir):
     li = _t(spark, sf_dir, "lineitem")
     pr = profile.profile(li, PROFILE_COLS)
-    return pr.select("feature_id", "name", *[_r(F.col(c)).alias(c)
-                                             for c in ("min", "max", "median", "variance", "deviation")])
+    # sums of squares in another order differ in their last digits: seven are compared
+    return pr.select("feature_id", "name", *[_r(F.col(c)).alias(c) for c in ("min", "max", "median")],
+                     *[F.col(c).cast("float").cast("double").alias(c) for c in ("variance", "deviation")])
 
 
 def _long_sql(cols: list[str], table: str) -> str:
@@ -191,7 +194,7 @@ def _long_sql(cols: list[str], table: str) -> str:
 SQL_PROFILE_LINEITEM = f"""
 WITH l AS ({_long_sql(PROFILE_COLS, "lineitem")})
 SELECT feature_id, name, round(min(v), 6) AS min, round(max(v), 6) AS max, round(median(v), 6) AS median,
-       round(var_pop(v), 6) AS variance, round(stddev_pop(v), 6) AS deviation
+       CAST(CAST(var_pop(v) AS FLOAT) AS DOUBLE) AS variance, CAST(CAST(stddev_pop(v) AS FLOAT) AS DOUBLE) AS deviation
 FROM l GROUP BY feature_id, name
 """
 
@@ -607,6 +610,42 @@ def q_pca_embeddings(spark, sf_dir):
 KNN_K = 5
 
 
+def _pca_sql() -> str:
+    """Both axes by repeated squaring of the covariance (the second one after the first is
+    taken out), then the projections of the centred rows."""
+    def axis(cov: str, name: str) -> str:
+        steps = [f"{name}0 AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {cov}) AS v FROM {cov})"]
+        for t in range(18):
+            steps.append(f"{name}{t}p AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v "
+                         f"FROM {name}{t} a JOIN {name}{t} b ON a.j = b.i GROUP BY a.i, b.j)")
+            steps.append(f"{name}{t + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT max(abs(v)) FROM {name}{t}p) AS v "
+                         f"FROM {name}{t}p)")
+        last = f"{name}18"
+        steps.append(f"{name}c AS MATERIALIZED (SELECT i, v FROM {last} WHERE j = "
+                     f"(SELECT i FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1))")
+        steps.append(f"{name} AS MATERIALIZED (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM {name}c) * "
+                     f"(SELECT CASE WHEN v < 0 THEN -1 ELSE 1 END FROM {name}c ORDER BY abs(v) DESC LIMIT 1) AS v FROM {name}c)")
+        return ",\n".join(steps)
+
+    return f"""
+WITH e AS MATERIALIZED (SELECT CAST(vec_id AS VARCHAR) AS id, generate_subscripts(embedding, 1) AS i,
+                               CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+m AS (SELECT i, avg(x) AS m FROM e GROUP BY i),
+c AS MATERIALIZED (SELECT e.id, e.i, e.x - m.m AS x FROM e JOIN m USING (i)),
+cov AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM c a JOIN c b USING (id) GROUP BY a.i, b.i),
+{axis("cov", "p")},
+lam AS (SELECT sum(a.v * cov.v * b.v) AS l FROM cov JOIN p a ON cov.i = a.i JOIN p b ON cov.j = b.i),
+rest AS MATERIALIZED (SELECT cov.i, cov.j, cov.v - lam.l * a.v * b.v AS v
+                      FROM cov JOIN p a ON cov.i = a.i JOIN p b ON cov.j = b.i, lam),
+{axis("rest", "q")}
+SELECT c.id AS ID, round(sum(c.x * p.v), 6) AS x, round(sum(c.x * q.v), 6) AS y
+FROM c JOIN p USING (i) JOIN q USING (i) GROUP BY c.id
+"""
+
+
+SQL_PCA_EMBEDDINGS = _pca_sql()
+
+
 def q_knn_embeddings(spark, sf_dir):
     from featurescape.operators.embed import knn_graph
     emb = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ID"), "embedding")
@@ -769,14 +808,14 @@ SELECT event_type AS dataset, strftime(ts, '%d%m%Y') AS time, count(*) AS n FROM
 
 
 def q_merge_catalog(spark, sf_dir):
-    cur = _event_catalog(spark, sf_dir, "local", F.col("value") < 50)
+    cur = _event_catalog(spark, sf_dir, "local", F.month("ts") % 2 == 0)
     new = _event_catalog(spark, sf_dir, "wasm")
     return cat.merge_catalog(cur, new)
 
 
 SQL_MERGE_CATALOG = """
 WITH cur AS (SELECT DISTINCT event_type AS dataset, 'local' AS source, strftime(ts, '%d%m%Y') AS time
-             FROM events WHERE value < 50),
+             FROM events WHERE month(ts) % 2 = 0),
 new AS (SELECT DISTINCT event_type AS dataset, 'wasm' AS source, strftime(ts, '%d%m%Y') AS time FROM events),
 srcs AS (SELECT DISTINCT dataset, source FROM cur),
 m AS (SELECT dataset, source, time FROM cur
@@ -788,6 +827,34 @@ SELECT dataset, source, time, 'feature' AS kind, CAST(NULL AS VARCHAR) AS subtyp
 """
 
 
+def q_catalog_listing(spark, sf_dir):
+    """CAT-2, CAT-3, CAT-4 over a catalogue of daily snapshots: the catalogue's
+    lists (one row per dataset and time) are what reaches the driver."""
+    ev = _t(spark, sf_dir, "events")
+    placed = (ev.select(F.col("event_type").alias("dataset"), F.date_format("ts", "ddMMyyyy").alias("time"),
+                        F.concat(F.lit("layout"), F.col("user_id") % 3).alias("subtype")).distinct()
+              .select("dataset", F.lit("wasm").alias("source"), "time", F.lit("position").alias("kind"), "subtype",
+                      F.concat_ws(".", "dataset", "time", F.lit("position"), "subtype", F.lit("json")).alias("path")))
+    catalogue = materialize(_event_catalog(spark, sf_dir, "wasm").unionByName(placed))
+    rows = []
+    for name in sorted(r["dataset"] for r in cat.datasets(catalogue).collect()):
+        times = cat.timestamps(catalogue, name)
+        algorithms = ",".join(cat.algorithms(catalogue, name))
+        rows += [(name, i, t, algorithms) for i, t in enumerate(times)]
+    return spark.createDataFrame(rows, "dataset string, place long, time string, algorithms string")
+
+
+SQL_CATALOG_LISTING = """
+WITH s AS (SELECT DISTINCT event_type AS dataset, strftime(ts, '%d%m%Y') AS time FROM events),
+t AS (SELECT dataset, time, row_number() OVER (PARTITION BY dataset ORDER BY time) - 1 AS place FROM s),
+a AS (SELECT DISTINCT event_type AS dataset, strftime(ts, '%d%m%Y') AS time, 'layout' || (user_id % 3) AS subtype
+      FROM events),
+f AS (SELECT t.dataset, string_agg(a.subtype, ',' ORDER BY a.subtype) AS algorithms
+      FROM t JOIN a USING (dataset, time) WHERE t.place = 0 GROUP BY t.dataset)
+SELECT t.dataset, CAST(t.place AS BIGINT) AS place, t.time, f.algorithms FROM t JOIN f USING (dataset)
+"""
+
+
 # ---------------------------------------------------------------- registry
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encode_part": q_encode_part,
@@ -828,6 +895,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "screen_coords": q_screen_coords,
     "snapshots_by_day": q_snapshots_by_day,
     "merge_catalog": q_merge_catalog,
+    "catalog_listing": q_catalog_listing,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -859,6 +927,7 @@ ORACLE_SQL: dict[str, str] = {
     "radius_neighbors": SQL_RADIUS_NEIGHBORS,
     "ball_clusters": SQL_BALL_CLUSTERS,
     "grid_clusters": SQL_GRID_CLUSTERS,
+    "pca_embeddings": SQL_PCA_EMBEDDINGS,
     "knn_embeddings": SQL_KNN_EMBEDDINGS,
     "glyph_axes": SQL_GLYPH_AXES,
     "flat_items": SQL_FLAT_ITEMS,
@@ -866,4 +935,5 @@ ORACLE_SQL: dict[str, str] = {
     "screen_coords": SQL_SCREEN_COORDS,
     "snapshots_by_day": SQL_SNAPSHOTS_BY_DAY,
     "merge_catalog": SQL_MERGE_CATALOG,
+    "catalog_listing": SQL_CATALOG_LISTING,
 }

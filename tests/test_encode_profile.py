@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from event_log import tasks_of
 from featurescape.operators import encode, profile
 from featurescape.operators.ids import ensure_id
+from featurescape.session import materialize
 
 
 def test_label_codes_follow_code_point_order_and_nulls_as_zero(spark):
@@ -168,3 +170,24 @@ def test_median_of_a_range_wider_than_a_double(spark):
     num = spark.createDataFrame([(v,) for v in values], "f1 double")
     stats = [profile.ColumnStats("1", "v", len(values), min(values), max(values), 0.0, 0.0)]
     assert profile.exact_medians(num, stats) == {"1": 3.0}
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "ties", "two", "tiny", "spike"])
+def test_median_takes_three_scans(spark, kind):
+    rng = np.random.default_rng(4)
+    x = {"lognormal": rng.lognormal(0, 3, 40001), "ties": rng.integers(0, 3, 40000) * 1.0, "two": np.array([1.0, 2.0]),
+         "tiny": rng.normal(size=7), "spike": np.concatenate([rng.uniform(0.5, 0.5 + 1e-9, 30000), [1e12, -1e12]])}[kind]
+    df = materialize(spark.createDataFrame([(float(v), float(-v)) for v in x], "a double, b double"))
+    with tasks_of(spark) as stages:
+        got = [s.median for s in profile.profile_stats(df, ["a", "b"])]
+    assert got == [float(np.median(x)), float(-np.median(x))]
+    assert len(x) < 1000 or 2 * len(x) <= sum(stages.scanned) < 3.4 * len(x)   # distinct values are read again
+
+
+def test_median_when_the_sketch_is_off(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(1001)], "a double")
+    num = profile.numeric_view(df, ["a"])
+    for bracket in ((900.0, 950.0), (3.0, 4.0), (500.0, 500.0), (-5.0, -4.0), None):
+        stats = profile.basic_stats(num, ["a"])
+        stats[0].bracket = bracket
+        assert profile.exact_medians(num, stats) == {"1": 500.0}
