@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -209,16 +210,40 @@ def test_merges_that_never_arise():
     small = bpe.Automaton({"labels": labels, "special": {}, "merges": [(0, 1, 3), (1, 2, 4), (0, 4, 5)]})
     for text in ("abc", "bc", "abcabc", "cbcabcb"):
         assert small.encode_word(text.encode()) == library.encode(text).ids
+        assert small.encode_words([text.encode()])[0].tolist() == library.encode(text).ids
 
 
-def test_caches_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "WORDS_KEPT", 7)
+@pytest.mark.parametrize("long_word", [0, 4, 48])
+def test_words_together_equal_single_words(monkeypatch, long_word):
+    monkeypatch.setattr(bpe, "LONG_WORD", long_word)
+    rng = random.Random(2)
+    automaton = bpe.Automaton(bpe.load_vocabulary(VOCABULARY))
+    words = [bytes(rng.choice(b" aeinorst\xc3\xa9-0") for _ in range(rng.randint(1, 60))) for _ in range(900)]
+    words += [b"", b" the", b"-" * 64, bytes(range(256)), *(bytes([b]) for b in range(256))]
+    ids, count = automaton.encode_words(words)
+    assert [p.tolist() for p in np.split(ids, np.cumsum(count)[:-1])] == [automaton.encode_word(w) for w in words]
+    assert [a.tolist() for a in automaton.encode_words([])] == [[], []]
+
+
+def test_arcs_kept_are_bounded(monkeypatch):
     monkeypatch.setattr(bpe, "ARCS_KEPT", 5)
+    monkeypatch.setattr(bpe, "LONG_WORD", 0)
     small, library = bpe.Encoder(bpe.load_vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
     text = "The other theses, and those others; the athlete's thesis " * 3
     for _ in range(3):
-        assert small.encode(text)[1].tolist() == library.encode(text).ids
-    assert len(small.after_space) <= 7 and len(small.automaton.table) <= 5
+        assert small.encode(text) == library.encode(text).ids
+    assert len(small.automaton.table) <= 5
+
+
+def test_batches_of_texts_equal_single_texts():
+    enc, library = bpe.Encoder(bpe.load_vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
+    texts = ["cut off", None, "", " ", "  ", " a", "a ", "a  b", "a \n b\n", "\n x", "x \n", "<|endoftext|> a <|endoftext|>",
+             "a\xa0 b", "a \xa0b", "a\x1c b", "a \x1cb", "a\u3000 b", "it's  we'll 12 3", "same words same words", "é 的 😀"]
+    ids, ends = enc.encode_batch(pa.array(texts, pa.string()).slice(1))
+    want = [library.encode(t or "").ids for t in texts[1:]]
+    assert [part.tolist() for part in np.split(ids, ends[:-1])] == want
+    assert enc.digests(ids, ends) == [hashlib.sha256(",".join(map(str, w)).encode()).hexdigest() for w in want]
+    assert [a.tolist() for a in enc.encode_batch(pa.array([], pa.string()))] == [[], []]
 
 
 # ---------------------------------------------------------------- personal data
