@@ -2,8 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir) whose result is written as
 Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.  A reread keeps no order, so the last one returns the
-place in the mixture beside the tokens, and the result is ordered by it.
+columns of ``documents``.  The mixing stage writes its rows in the order of the mixture;
+a reread does not keep that order, but a row's file and its place there tell it, so
+the last stage returns the place in the mixture beside the tokens, and the result is
+ordered by it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurescape.llm import bpe, jaccard, langid, mixing, pii
+from featurescape.operators.ids import with_row_number
 from featurescape.session import checkpoint_dir, materialize
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,10 +59,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, the digest of the text decoded from them, and
-    the document's source, slot and offset in the mixture."""
-    placed = mixing.schedule(docs, keep=["text"])
-    return bpe.encoded(placed, VOCABULARY, text_col="_text", keep=["source", "slot", "offset"])
+    """Token ids of each document, the digest of the text decoded from them, its
+    source, and its place (from 1) in the mixture that ``docs`` was written in."""
+    placed = with_row_number(docs, "place").select("doc_id", "text", "source", "place")
+    return bpe.encoded(placed, VOCABULARY, keep=["source", "place"])
 
 
 STAGES = [
@@ -79,8 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{i}")
         docs = spark.read.parquet(f"{home}/{i}")
-    # A document without code points starts where the next one does.
-    return docs.orderBy("slot", "offset", "n_tokens", "doc_id")
+    return docs.orderBy("place")
 
 
 # Training, components, the Pfair period and the automaton are no SQL; the
