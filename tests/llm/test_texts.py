@@ -389,14 +389,19 @@ def test_pipeline_rows_come_in_the_mixture_order(spark, monkeypatch, tmp_path):
     docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert len(rows) == 160
-    assert [(r.slot, r.offset) for r in rows] == sorted((r.slot, r.offset) for r in rows)
-    weight = {r.source: r.weight for r in mixing.schedule(docs).select("source", "weight").distinct().collect()}
-    last = {s: max(r.slot for r in rows if r.source == s) for s in weight}
-    order = list(dict.fromkeys((r.slot, r.source) for r in rows if r.slot <= min(last.values())))
-    assert len(order) > 4
-    for n in range(1, len(order) + 1):
-        assert all(abs(sum(o == s for _, o in order[:n]) - n * w) < 1 for s, w in weight.items())
+    assert [r.place for r in rows] == list(range(1, 161))
+    at = {r.doc_id: r for r in mixing.schedule(docs).collect()}
+    order = [(at[r.doc_id].slot, at[r.doc_id].offset) for r in rows]
+    assert order == sorted(order)
+    # Without the stage the rows come as they were written.
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    assert [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()] != [r.doc_id for r in rows]
+    weight = {r.source: r.weight for r in at.values()}
+    last = {s: max(r.slot for r in at.values() if r.source == s) for s in weight}
+    slots = list(dict.fromkeys((at[r.doc_id].slot, r.source) for r in rows if at[r.doc_id].slot <= min(last.values())))
+    assert len(slots) > 4
+    for n in range(1, len(slots) + 1):
+        assert all(abs(sum(o == s for _, o in slots[:n]) - n * w) < 1 for s, w in weight.items())
 
 
 def test_one_of_each_group_stays(spark):
