@@ -4,7 +4,8 @@
 typed table with its ``ID`` is first written once as Parquet under the
 output folder (the CSV is parsed a single time; every later pass is a
 column-pruned Parquet scan), then each artefact is written partitioned by
-``dataset``/``time``.  Returns the catalogue rows of the new snapshot.
+``dataset``/``time``/``run``, and the run is committed as the snapshot when all are
+there.  Returns the catalogue rows of the new snapshot.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from featurescape.operators import encode, items, positions, profile
-from featurescape.sources import interchange
+from featurescape.sources import interchange, snapshots
 from featurescape.sources.tables import read_table, with_id_path, write_table
 
 
@@ -24,17 +25,17 @@ def prepare_dataset(spark: SparkSession, path: str, out_dir: str, date: _dt.date
                     fmt: str = "parquet", write_with_id_csv: bool = False, pca: bool = True,
                     dataset: str | None = None) -> DataFrame:
     stem = dataset or re.sub(r"\.[^.]*$", "", os.path.basename(path.rstrip("/")))
-    time = interchange.snapshot_time(date)
+    time, run = interchange.snapshot_time(date), snapshots.new_run()
     raw = read_table(spark, path)
     staged = f"{out_dir}/_staged/{stem}.{time}"
     raw.write.mode("overwrite").parquet(staged)          # one parse, then columnar passes
     raw = spark.read.parquet(staged)
     if write_with_id_csv:
         write_table(raw, with_id_path(path))             # SNK-1
-    interchange.write_schema(items.derive_schema(raw), out_dir, stem, time)
+    interchange.write_schema(items.derive_schema(raw), out_dir, stem, time, run=run)
     enc, model = encode.encode_features(raw)
-    interchange.write_features(items.to_items(raw, model), out_dir, stem, time, fmt)
-    interchange.write_meta(profile.build_meta(raw), out_dir, stem, time)
+    interchange.write_features(items.to_items(raw, model), out_dir, stem, time, fmt, run=run)
+    interchange.write_meta(profile.build_meta(raw), out_dir, stem, time, run=run)
     sets = []
     proj = positions.projection_features(enc)
     if pca and len(proj.columns) >= 3:
@@ -46,6 +47,5 @@ def prepare_dataset(spark: SparkSession, path: str, out_dir: str, date: _dt.date
     if pairs is not None:
         sets.append(pairs)
     for s in sets:
-        interchange.write_positions(s.select("algorithm", "ID", "x", "y"), out_dir, stem, time, fmt)
-    cat = interchange.catalog_from_layout(spark, out_dir)
-    return cat.where((cat.dataset == stem) & (cat.time == time))
+        interchange.write_positions(s.select("algorithm", "ID", "x", "y"), out_dir, stem, time, fmt, run=run)
+    return snapshots.commit(spark, out_dir, stem, time, run)

@@ -79,37 +79,46 @@ def _writer(df: DataFrame, fmt: str, mode: str):
     return w.format("json" if fmt == "json" else "parquet")
 
 
+def _save(df: DataFrame, out_dir: str, kind: str, fmt: str, mode: str, run: str | None, inner=()) -> None:
+    """Under ``dataset=/time=``, and under ``run=`` if the snapshot is committed as a unit
+    (see :mod:`featurescape.sources.snapshots`)."""
+    by = ["dataset", "time"]
+    if run is not None:
+        df, by = df.withColumn("run", F.lit(run)), [*by, "run"]
+    _writer(df, fmt, mode).partitionBy(*by, *inner).save(f"{out_dir}/{kind}")
+
+
 def write_features(items: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "parquet",
-                   mode: str = "overwrite") -> None:
+                   mode: str = "overwrite", run: str | None = None) -> None:
     """SNK-2: item records under ``dataset=/time=`` partitions."""
     df = items.select("defaultcontext", "features", "id", "values").withColumn(
         "dataset", F.lit(dataset)).withColumn("time", F.lit(time))
-    _writer(df, fmt, mode).partitionBy("dataset", "time").save(f"{out_dir}/feature")
+    _save(df, out_dir, "feature", fmt, mode, run)
 
 
 def write_meta(meta: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "json",
-               mode: str = "overwrite") -> None:
+               mode: str = "overwrite", run: str | None = None) -> None:
     """SNK-3: the one-row meta document."""
     df = meta.withColumn("dataset", F.lit(dataset)).withColumn("time", F.lit(time))
-    _writer(df, fmt, mode).partitionBy("dataset", "time").save(f"{out_dir}/meta")
+    _save(df, out_dir, "meta", fmt, mode, run)
 
 
 def write_schema(schema_doc: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "json",
-                 mode: str = "overwrite") -> None:
+                 mode: str = "overwrite", run: str | None = None) -> None:
     """SNK-4: the one-row schema document."""
     df = schema_doc.withColumn("dataset", F.lit(dataset)).withColumn("time", F.lit(time))
-    _writer(df, fmt, mode).partitionBy("dataset", "time").save(f"{out_dir}/schema")
+    _save(df, out_dir, "schema", fmt, mode, run)
 
 
 def write_positions(pos: DataFrame, out_dir: str, dataset: str, time: str, fmt: str = "parquet",
-                    mode: str = "overwrite") -> None:
+                    mode: str = "overwrite", run: str | None = None) -> None:
     """SNK-5: tidy positions partitioned by algorithm (names sanitised,
     Q17).  A set without valid rows writes nothing (empty partitions are
     not created)."""
     df = pos.select(safe_algorithm_name(F.col("algorithm")).alias("algorithm"), F.col("ID").alias("id"),
                     F.struct("x", "y").alias("position")).withColumn("dataset", F.lit(dataset)).withColumn(
         "time", F.lit(time))
-    _writer(df, fmt, mode).partitionBy("dataset", "time", "algorithm").save(f"{out_dir}/position")
+    _save(df, out_dir, "position", fmt, mode, run, ["algorithm"])
 
 
 def read_snapshot_positions(spark: SparkSession, out_dir: str, dataset: str, time: str | None = None,
