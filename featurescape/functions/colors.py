@@ -62,14 +62,13 @@ def category_color(v: Column) -> Column:
 
 
 def hex_to_rgb_literal(h: str | int) -> str:
-    """SC-4 for a driver-side literal."""
-    s = format(h, "06x") if isinstance(h, int) else h.lstrip("#")
-    if len(s) == 3:
-        s = "".join(ch * 2 for ch in s)
-    if len(s) != 6:
-        raise ValueError(f"Invalid hex color: {h}")
-    r, g, b = _hex_triplet(s)
-    return f"rgb({r}, {g}, {b})"
+    """SC-4 for a driver-side literal: a number, or 3 or 6 hex digits with or without ``#``."""
+    digits = f"{h:06x}" if isinstance(h, int) else h.lstrip("#")
+    if len(digits) not in (3, 6):
+        raise ValueError(f"not a colour of 3 or 6 hex digits: {h!r}")
+    size = len(digits) // 3
+    channels = [digits[i:i + size] * (2 // size) for i in range(0, len(digits), size)]
+    return "rgb({}, {}, {})".format(*[int(c, 16) for c in channels])
 
 
 def hex_to_rgb(c: Column) -> Column:
@@ -92,10 +91,12 @@ def _js_number(alpha: float) -> str:
 def with_alpha(color: Column, alpha: float) -> Column:
     """SC-5: ``rgb(..)``/``rgba(..)`` -> ``rgba(r,g,b,alpha)``; other strings
     unchanged."""
-    pat = r"rgba?\(\s*(\d+),\s*(\d+),\s*(\d+)(?:,\s*([\d.]+))?\s*\)"
-    parts = [F.regexp_extract(color, pat, i) for i in (1, 2, 3)]
-    out = F.concat(F.lit("rgba("), F.concat_ws(",", *parts), F.lit("," + _js_number(alpha) + ")"))
-    return F.when(color.rlike(pat), out).otherwise(color)
+    inner = F.substring_index(F.substring_index(F.trim(color), "(", -1), ")", 1)
+    numbers = F.transform(F.split(inner, ","), lambda n: F.trim(n))
+    is_color = (F.trim(color).startswith("rgb") & F.trim(color).endswith(")") & F.size(numbers).isin(3, 4)
+                & F.forall(numbers, lambda n: n.rlike("^[0-9]+[.]?[0-9]*$")))
+    return F.when(is_color, F.concat(F.lit("rgba("), F.array_join(F.slice(numbers, 1, 3), ","),
+                                     F.lit(f",{_js_number(alpha)})"))).otherwise(color)
 
 
 def item_color(value: Column, passive: Column | None = None,

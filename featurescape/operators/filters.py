@@ -23,12 +23,11 @@ class FilterMode(Enum):
     OR = "or"
 
 
-def _check_bound(v):
-    if v is None:
-        raise ValueError("value undefined in feature filter")
-    if v < 0.0 or v > 1.0:
-        raise ValueError("supplied parameter must be in interval [0,1]")
-    return float(v)
+def _check_bound(bound) -> float:
+    """FLT-2: bounds are normalised values."""
+    if bound is None or not 0 <= bound <= 1:
+        raise ValueError(f"bounds of a feature filter are numbers from 0 to 1, got {bound!r}")
+    return float(bound)
 
 
 @dataclass

@@ -64,13 +64,11 @@ def part_positions(spark, sf_dir) -> DataFrame:
 
 _PART_POS_SQL = """
   WITH p AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y FROM part),
-  b AS (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM p),
-  s AS (SELECT p_partkey, (max_x - min_x) AS dw, (max_y - min_y) AS dh, x, y, min_x, min_y FROM p, b)
+  b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p)
   SELECT CAST(p_partkey AS VARCHAR) AS ID, p_partkey AS ord,
-    CASE WHEN dw = 0 OR dh = 0 THEN 0.0 ELSE ((x - min_x) / dw * 50.0 - 25.0) * 32.0 END AS x,
-    CASE WHEN dw = 0 OR dh = 0 THEN 0.0 ELSE
-      ((y - min_y) * (50.0 / dw) - (dh * (50.0 / dw)) / 2) * (900.0 / (dh * (50.0 / dw))) END AS y
-  FROM s
+    CASE WHEN x0 = x1 OR y0 = y1 THEN 0.0 ELSE ((x - x0) / (x1 - x0) - 0.5) * 1600.0 END AS x,
+    CASE WHEN x0 = x1 OR y0 = y1 THEN 0.0 ELSE ((y - y0) / (y1 - y0) - 0.5) * 900.0 END AS y
+  FROM p, b
 """
 
 

@@ -202,28 +202,21 @@ def test_raw_prefilter_is_conservative_and_pushed(spark, tmpdir_fresh):
 
 
 def _python_passive(rows, flt):
-    """Reference semantics of the refresh loop, item by item."""
-    all_empty = len(flt) == 0 or all(f.empty for f in flt)
-    or_init = all(f.empty for f in flt if f.mode == FilterMode.OR)
-    out = {}
-    for r in rows:
-        and_ok, or_ok = True, or_init
-        for f in flt:
-            if f.empty:
-                continue
-            if isinstance(f, FeatureFilter):
-                v = r[f.feature]
-                hit = v is not None and not math.isnan(v) and f.lo <= v <= f.hi
-            elif isinstance(f, TextFilter):
-                hit = any(str(v).lower() in f.terms for v in r["values"].values())
-            else:
-                hit = r["ID"] in f.ids
-            if f.mode == FilterMode.OR:
-                or_ok = or_ok or hit
-            else:
-                and_ok = and_ok and hit
-        out[r["ID"]] = False if all_empty else not (and_ok and or_ok)
-    return out
+    """Set algebra: what survives is in every AND filter's set and, if there are OR
+    filters, in one of theirs; empty filters take no part."""
+    def hits(f, r):
+        if isinstance(f, FeatureFilter):
+            return r[f.feature] is not None and f.lo <= r[f.feature] <= f.hi
+        if isinstance(f, TextFilter):
+            return bool({str(v).lower() for v in r["values"].values()} & set(f.terms))
+        return r["ID"] in f.ids
+
+    active = [(f.mode, {r["ID"] for r in rows if hits(f, r)}) for f in flt if not f.empty]
+    survive = {r["ID"] for r in rows}.intersection(*[s for mode, s in active if mode == FilterMode.AND])
+    either = [s for mode, s in active if mode == FilterMode.OR]
+    if either:
+        survive &= set().union(*either)
+    return {r["ID"]: r["ID"] not in survive for r in rows}
 
 
 @pytest.mark.parametrize("seed", range(6))

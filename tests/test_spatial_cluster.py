@@ -12,31 +12,21 @@ from featurescape.session import materialize
 
 
 def greedy(points, r):
-    """Plain-Python version of the order-dependent ball clustering (all
-    coincident points are neighbours; ties of the representative go to the
-    first item in order)."""
-    n = len(points)
-    visited = set()
-    clustered = [False] * n
-    rep = [False] * n
-    for i in range(n):
-        if i in visited:
-            continue
-        nb = [j for j in range(n) if math.hypot(points[j][0] - points[i][0], points[j][1] - points[i][1]) <= r]
-        if len(nb) > 1:
-            for j in nb:
-                clustered[j] = True
-                rep[j] = False
-                visited.add(j)
-            cx = sum(points[j][0] for j in nb) / len(nb)
-            cy = sum(points[j][1] for j in nb) / len(nb)
-            best, bd = None, math.inf
-            for j in nb:
-                d = math.hypot(points[j][0] - cx, points[j][1] - cy)
-                if d < bd:
-                    best, bd = j, d
-            rep[best] = True
-    return clustered, rep
+    """(clustered, representative) from the definition: an item is a seed if no seed
+    before it is near; all items near a seed, if there are two, are its cluster, which
+    is shown by the item closest to its mean; the last seed's cluster counts."""
+    x = np.array(points, float).reshape(-1, 2)
+    near = np.hypot(*(x[:, None] - x[None, :]).transpose(2, 0, 1)) <= r
+    seeds = []
+    for i in range(len(x)):
+        if not near[i, seeds].any():
+            seeds.append(i)
+    shown = np.full(len(x), -1)
+    for members in (np.flatnonzero(near[s]) for s in seeds):
+        if len(members) > 1:
+            away = np.hypot(*(x[members] - x[members].mean(axis=0)).T)
+            shown[members] = members[np.argmin(away)]
+    return (shown >= 0).tolist(), (shown == np.arange(len(x))).tolist()
 
 
 def _frame(spark, pts):
