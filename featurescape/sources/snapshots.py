@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from featurescape.operators.catalog import CATALOG_SCHEMA, snapshot_files
 from featurescape.sources import interchange
+from featurescape.sources.paths import children, file_system
 
 MANIFESTS = "_manifest"
 _MANIFEST_SCHEMA = f"dataset string, time string, run string, source string, files array<struct<{CATALOG_SCHEMA}>>"
@@ -40,25 +41,15 @@ def new_run() -> str:
     return uuid.uuid4().hex
 
 
-def _hadoop(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _children(spark: SparkSession, path: str) -> list[str]:
-    at, fs = _hadoop(spark, path)
-    return [s.getPath().toString() for s in fs.listStatus(at)] if fs.exists(at) else []
-
-
 def _run_folders(spark: SparkSession, out_dir: str, dataset: str, time: str) -> list[tuple[str, str | None, str, str]]:
     """(kind, algorithm, run, path) of all that runs of a snapshot have written: a few listings."""
     found = []
     for kind in ("feature", "meta", "schema", "position"):
-        for path in _children(spark, f"{out_dir}/{kind}/dataset={dataset}/time={time}"):
+        for path in children(spark, f"{out_dir}/{kind}/dataset={dataset}/time={time}"):
             name = path.rsplit("/", 1)[-1]
             if name.startswith("run="):
                 inner = [(None, path)] if kind != "position" else [
-                    (p.rsplit("=", 1)[-1], p) for p in _children(spark, path) if "/algorithm=" in p]
+                    (p.rsplit("=", 1)[-1], p) for p in children(spark, path) if "/algorithm=" in p]
                 found += [(kind, algorithm, name[4:], p) for algorithm, p in inner]
     return found
 
@@ -72,7 +63,7 @@ def commit(spark: SparkSession, out_dir: str, dataset: str, time: str, run: str,
         raise ValueError(f"run {run} has written no features of {dataset} at {time}")
     text = json.dumps({"dataset": dataset, "time": time, "run": run, "source": source, "files": files})
     place = f"{out_dir}/{MANIFESTS}/{dataset}.{time}.json"
-    beside, fs = _hadoop(spark, f"{out_dir}/{MANIFESTS}/.{run}")
+    beside, fs = file_system(spark, f"{out_dir}/{MANIFESTS}/.{run}")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -81,14 +72,14 @@ def commit(spark: SparkSession, out_dir: str, dataset: str, time: str, run: str,
     options[0] = jvm.Options.Rename.OVERWRITE
     jvm.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, jvm.Path(place), options)
     for path in {p[:p.index(f"run={r}") + len(f"run={r}")] for _, _, r, p in everything if r != run}:
-        at, fs = _hadoop(spark, path)
+        at, fs = file_system(spark, path)
         fs.delete(at, True)
     return spark.createDataFrame([tuple(f.values()) for f in files], CATALOG_SCHEMA)
 
 
 def catalogue(spark: SparkSession, out_dir: str) -> DataFrame:
     """Catalogue rows of all committed snapshots of a folder, from the manifests alone."""
-    if not any(p.endswith(".json") for p in _children(spark, f"{out_dir}/{MANIFESTS}")):
+    if not any(p.endswith(".json") for p in children(spark, f"{out_dir}/{MANIFESTS}")):
         return spark.createDataFrame([], CATALOG_SCHEMA)
     rows = spark.read.schema(_MANIFEST_SCHEMA).json(f"{out_dir}/{MANIFESTS}/*.json")
     return rows.select(F.explode("files").alias("f")).select("f.*")
@@ -130,5 +121,5 @@ def load(spark: SparkSession, files: DataFrame, dataset: str, time: str | None =
 
 
 def _format(spark: SparkSession, folder: str, lines: bool) -> str:
-    names = [p for p in _children(spark, folder) if "/part-" in p]
+    names = [p for p in children(spark, folder) if "/part-" in p]
     return "json" if (any(p.endswith(".json") for p in names) if names else lines) else "parquet"

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from featurescape.functions.numbers import (FALSE_TOKENS, NA_TOKENS, TRUE_TOKENS, is_number_text,
                                             to_number)
 from featurescape.operators.ids import ensure_id
+from featurescape.sources.paths import children, exists
 
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 
@@ -47,12 +48,16 @@ def _dedupe_headers(names: list[str]) -> list[str]:
     return out
 
 
+def _check_input(spark: SparkSession, path: str) -> None:
+    """SRC-2, on whatever file system the path names."""
+    if not exists(spark, path):
+        raise MissingInputError(f"no input file at {path}")
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """All columns as strings, pandas NA tokens -> null, repeated headers
     renamed like pandas."""
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" not in path and not os.path.exists(local):
-        raise MissingInputError(f"Error: File {path} does not exist.")
+    _check_input(spark, path)
     raw = (spark.read.option("header", True).option("inferSchema", False)
                 .option("mode", "PERMISSIVE").option("multiLine", False).option("escape", '"')
                 .option("nullValue", "\u0000__none__").option("emptyValue", "")
@@ -127,10 +132,8 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def read_table(spark: SparkSession, path: str, add_id: bool = True) -> DataFrame:
     """SRC-1/SRC-2 (+ PRJ-1): read CSV or Parquet, type CSV columns like
     pandas, make ``ID`` the first column (string)."""
-    if path.endswith(".parquet") or os.path.isdir(path) and any(
-            f.endswith(".parquet") for f in os.listdir(path)):
-        if "://" not in path and not os.path.exists(path):
-            raise MissingInputError(f"Error: File {path} does not exist.")
+    _check_input(spark, path)
+    if path.endswith(".parquet") or any(f.endswith(".parquet") for f in children(spark, path)):
         df = spark.read.parquet(path)
     else:
         text = read_csv_text(spark, path)
