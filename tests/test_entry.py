@@ -13,7 +13,7 @@ def test_entry_flagship_runs(spark):
 
 def test_every_query_has_sql_or_is_rows_only():
     rows_only = set(registry.QUERIES) - set(registry.ORACLE_SQL)
-    assert rows_only == {"pca_embeddings", "neighbor_embedding", "tsne_embedding"}
+    assert rows_only == {"neighbor_embedding", "tsne_embedding"}
     assert set(registry.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
