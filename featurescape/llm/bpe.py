@@ -53,7 +53,7 @@ SHORT = (3, 2, 1)           # lengths that every start is tried with, longest fi
 DECODE_STEP = 1 << 18       # ids decoded at a time
 LONG_WORD = 48              # bytes; longer pre-split words are walked one by one
 SPECIAL = "\ud800"          # marks a special token among pre-split pieces: in no text
-STEP_BYTES = 4 << 20        # text whose distinct words are encoded together
+STEP_BYTES = 2 << 20        # text whose distinct words are encoded together
 _SPACE_BEFORE_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
@@ -70,8 +70,13 @@ def load_vocabulary(path: str) -> dict:
 
     The file must describe what this operator implements (byte-level pieces,
     no normalizer, no added prefix space); anything else is refused."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    with open(path, "rb") as f:
+        return parse_vocabulary(f.read())
+
+
+def parse_vocabulary(data: bytes) -> dict:
+    """:func:`load_vocabulary` of a file's bytes."""
+    spec = json.loads(data)
     pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
     if (model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or spec.get("normalizer")
             or pre.get("add_prefix_space") or not pre.get("use_regex", True)
@@ -197,8 +202,8 @@ class Automaton:
         wide = int(n[0]) if len(n) else 0
         raw = np.zeros((len(short), wide), np.uint8)
         raw[np.arange(wide) < n[:, None]] = np.frombuffer(b"".join([words[i] for i in short.tolist()]), np.uint8)
-        state = np.full((len(short), wide + 1), -1, np.int64)
-        back = np.zeros((len(short), wide + 1), np.int64)
+        state = np.full((len(short), wide + 1), -1, np.int32)
+        back = np.zeros((len(short), wide + 1), np.int32 if wide > 255 else np.uint8)
         for i in range(1, wide + 1):
             row = np.arange(int(np.searchsorted(-n, -i, side="right")))      # words of i bytes or more
             key = np.zeros(len(row), np.uint64)
@@ -217,7 +222,7 @@ class Automaton:
             if not rows:
                 raise ValueError("a byte has no token")
             rows, tokens, starts = np.concatenate(rows), np.concatenate(tokens), np.concatenate(starts)
-            before = state[rows, starts]
+            before = state[rows, starts].astype(np.int64)
             pair, which = np.unique(np.where(starts > 0, before, 0) * self.size + tokens, return_inverse=True)
             free = ~self.lost_many(pair // self.size, pair % self.size)[which]
             good = (starts == 0) | ((before >= 0) & free)
@@ -230,7 +235,7 @@ class Automaton:
             found.append(state[row, at])
             owner.append(row)
             place.append(np.full(len(row), step))
-            at = back[row, at]
+            at = back[row, at].astype(np.int64)
             row, at, step = row[at > 0], at[at > 0], step + 1
         long = {i: self.encode_word(words[i]) for i in np.flatnonzero(size > LONG_WORD).tolist()}
         for i, ids in long.items():
@@ -464,13 +469,16 @@ def _encoder(path: str, shipped) -> Encoder:
     enter("bpe")
     if path not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(shipped.value)
+        _ENCODERS[path] = Encoder(parse_vocabulary(shipped.value))
+        enter("bpe")                               # what building it took goes back
     return _ENCODERS[path]
 
 
 def _ship(df: DataFrame, path: str):
     # Bounded by the vocabulary (about 2 MB for 50k tokens), read by the driver alone.
-    return small_batches(df).sparkSession.sparkContext.broadcast(load_vocabulary(path))
+    load_vocabulary(path)                          # refused here rather than in a task
+    with open(path, "rb") as f:
+        return small_batches(df).sparkSession.sparkContext.broadcast(f.read())
 
 
 def _parts(batches):
