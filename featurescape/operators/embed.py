@@ -9,22 +9,20 @@ seeded third-party solvers and cannot be reproduced):
 * affinities per source from its k distances (bounded lists), bandwidth by
   bisection inside ``aggregate`` (JVM higher-order functions);
 * symmetrisation by a full outer join of (src, dst) with (dst, src);
-* layout: start from PCA, then fixed rounds of attraction along the
-  weighted edges (join + groupBy) and repulsion from the occupied cells of
-  a bounded grid (cell centroids and counts, at most ``grid * grid`` rows,
-  applied per Arrow batch with numpy), one materialised table per round.
+* layout: start from PCA, then rounds of each method's own forces
+  (:mod:`featurescape.operators.layout`).
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurescape.operators.ids import with_global_index
 from featurescape.operators.knn import knn_tables
+from featurescape.operators.layout import levels_for, tsne_layout, umap_layout
 from featurescape.operators.positions import pca_positions
 from featurescape.session import materialize
 
@@ -113,27 +111,12 @@ def _symmetrise(edges: DataFrame, combine) -> DataFrame:
                                           F.coalesce(F.col("b"), F.lit(0.0))).alias("w"))
 
 
-def _repulsion(cent: np.ndarray, counts: np.ndarray, strength: float):
-    """Per batch: sum over occupied grid cells of count * (p - c) / |p - c|^2
-    (numpy over an Arrow batch; the cell table is bounded by grid^2)."""
-    def apply(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            p = pdf[["x", "y"]].to_numpy()
-            d = p[:, None, :] - cent[None, :, :]
-            r2 = (d ** 2).sum(-1) + 1e-3
-            rep = ((counts[None, :] / r2)[:, :, None] * d).sum(1) * strength
-            yield pd.DataFrame({"id": pdf["id"], "x": pdf["x"], "y": pdf["y"], "rx": rep[:, 0], "ry": rep[:, 1]})
-    return apply
-
-
 def neighbor_embedding(df: DataFrame, method: str = "umap", k: int = DEFAULT_K, perplexity: float = 30.0,
                        id_col: str = "ID", vec_col: str | None = None, cols: list[str] | None = None,
-                       rounds: int = 30, grid: int = 32, seed: int = 42,
-                       learning_rate: float = 0.2, checkpoint_every: int = 1) -> DataFrame:
+                       rounds: int = 30, seed: int = 42) -> DataFrame:
     """POS-4 (``umap``) / POS-5 (``tsne``): 2-D layout ``(algorithm, ID, x,
-    y)`` of every row."""
+    y)`` of every row, from a PCA start by the forces of
+    :mod:`featurescape.operators.layout`.  Ids are taken as unique."""
     base = _vectors(df, id_col, vec_col, cols)
     n = base.count()
     if method == "umap":
@@ -156,44 +139,13 @@ def neighbor_embedding(df: DataFrame, method: str = "umap", k: int = DEFAULT_K,
     w = materialize(w.where(F.col("w") > 0))
     init = pca_positions(base, vector_col="v", id_col="id")
     bnd = init.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
-    pos = materialize(init.select(F.col("ID").alias("id"), (F.col("x") / bnd * 10).alias("x"),
-                                  (F.col("y") / bnd * 10).alias("y")))
-    b = pos.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"),
-                F.max("y").alias("y1")).first()
-    x0, x1, y0, y1 = b["x0"], b["x1"], b["y0"], b["y1"]
-    strength = 1.0 / max(n, 1)
-    for it in range(rounds):
-        lr = learning_rate * (1.0 - it / rounds)
-        # attraction: weighted mean of the neighbours' positions minus own
-        pull = (w.join(pos.select(F.col("id").alias("dst"), "x", "y"), "dst")
-                 .groupBy("src").agg(F.sum(F.col("w") * F.col("x")).alias("wx"),
-                                     F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("ws"))
-                 .select(F.col("src").alias("id"), (F.col("wx") / F.col("ws")).alias("mx"),
-                         (F.col("wy") / F.col("ws")).alias("my")))
-        # repulsion: occupied cells of a bounded grid (<= grid * grid rows)
-        sx = max((x1 - x0) / grid, 1e-9)
-        sy = max((y1 - y0) / grid, 1e-9)
-        gx = F.least(F.greatest(F.floor((F.col("x") - F.lit(x0)) / F.lit(sx)), F.lit(0)), F.lit(grid - 1))
-        gy = F.least(F.greatest(F.floor((F.col("y") - F.lit(y0)) / F.lit(sy)), F.lit(0)), F.lit(grid - 1))
-        cells = (pos.groupBy(gx.alias("gx"), gy.alias("gy"))
-                    .agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.count(F.lit(1)).alias("c"),
-                         F.min("x").alias("ax"), F.max("x").alias("bx"), F.min("y").alias("ay"),
-                         F.max("y").alias("by"))
-                    .collect())
-        cent = np.array([[r["cx"], r["cy"]] for r in cells], dtype=float)
-        cnt = np.array([r["c"] for r in cells], dtype=float)
-        rep = pos.mapInPandas(_repulsion(cent, cnt, strength), "id string, x double, y double, rx double, ry double")
-        nxt = (rep.join(pull, "id", "left")
-                  .select("id",
-                          (F.col("x") + F.lit(lr) * (F.coalesce(F.col("mx") - F.col("x"), F.lit(0.0)) + F.col("rx"))).alias("x"),
-                          (F.col("y") + F.lit(lr) * (F.coalesce(F.col("my") - F.col("y"), F.lit(0.0)) + F.col("ry"))).alias("y")))
-        # lineage is cut every ``checkpoint_every`` rounds (and after the last)
-        pos = materialize(nxt) if ((it + 1) % checkpoint_every == 0 or it == rounds - 1) else nxt
-        # the grid of the next round covers this round's extent, widened
-        pad = 0.5 * max(max(r["bx"] for r in cells) - min(r["ax"] for r in cells),
-                        max(r["by"] for r in cells) - min(r["ay"] for r in cells), 1e-9) / grid
-        x0 = min(r["ax"] for r in cells) - pad * grid
-        x1 = max(r["bx"] for r in cells) + pad * grid
-        y0 = min(r["ay"] for r in cells) - pad * grid
-        y1 = max(r["by"] for r in cells) + pad * grid
+    start = init.select(F.col("ID").alias("id"), F.round(F.col("x") / bnd * 10, 6).alias("x"),
+                        F.round(F.col("y") / bnd * 10, 6).alias("y"))
+    pos = materialize(with_global_index(start, ["id"], "no"))
+    number = pos.select("id", "no")
+    edges = materialize(
+        w.join(number.toDF("src", "s"), "src").join(number.toDF("dst", "d"), "dst")
+         .select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"))
+    pos = umap_layout(pos, edges, n, rounds, seed=seed) if method == "umap" else \
+        tsne_layout(pos, edges, rounds, levels=levels_for(n))
     return pos.select(F.lit(method).alias("algorithm"), F.col("id").alias("ID"), "x", "y")
