@@ -4,14 +4,17 @@ Pages are ordered by host, URL path and id.  A page is compared with its
 nearest neighbours in that order, the page before and the page after it on the
 same host: their text lines (one per block element) are aligned by longest
 common subsequence, and lines of the alignment are deleted as the site's
-furniture.  Copies (pages with the same candidate lines) say nothing of each
+furniture.  Between two neighbours that differ from each other a line goes only
+if both share it, so a near copy on one side deletes nothing; the first and
+last page of a host have one neighbour, whose lines decide alone.  The page's own
+heading (``h1`` in its article) and lines equal to it stay.  Copies (pages with the same candidate lines) say nothing of each
 other, and neither do pages without lines: the neighbour is the nearest page on
 that side beyond them, however many there are.
 
 What the tags say outright is used as well: lines in navigation, footers,
 asides, forms, scripts, and blocks whose class or id names them as advert,
-sidebar, comments, notice and the like are no candidates (names are whole
-class, id or role tokens).  Where a page marks its text as ``article`` or ``main``,
+sidebar, comments, notice and the like are no candidates (names are class, id or
+role tokens and their parts at hyphens, but for tokens like ``no-sidebar`` that hold a modifier).  Where a page marks its text as ``article`` or ``main``,
 lines outside are none, and names of wrappers around it, forms too, do not hold inside; an
 article within an article, or in or named as comments or related pages, is none of the page's own.  Differencing
 decides all lines that are left, marked or not.
@@ -38,7 +41,7 @@ from featurescape.llm.common import in_order
 from featurescape.session import materialize
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
-                    r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+                    r"((?:=\s*\"[^\"]*\"|=\s*'[^']*'|=|[^>=]+)*+)(?:>|\Z)", re.S)    # a quote opens after = only
 _RAW = re.compile(r"</(script|style|title|textarea|noscript|template|iframe|svg|math)\s*>", re.I)
 _RAW_NAMES = frozenset("script style title textarea noscript template iframe svg math".split())
 _BLOCKS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl
@@ -48,33 +51,42 @@ _CONTAINERS = frozenset("""article aside button details dialog div dl fieldset f
     main menu nav ol section select span table tbody thead tfoot tr td ul""".split())
 _FURNITURE = frozenset("aside button dialog footer form head menu nav select".split())
 _MAIN = frozenset(("article", "main"))
+_BODY = frozenset("article blockquote h2 h3 h4 h5 h6 main ol p pre section table ul".split())   # end an open h1
 _NAMED = frozenset("""ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments
     consent cookie cookies copyright disclaimer disqus footer gdpr header masthead menu modal nav navbar
     navigation newsletter notice notification pagination pager popup promo promoted promotion related share
     sharing sidebar signup social sponsor sponsored subscribe toolbar widget""".split())
 _OTHERS = frozenset("comment comments disqus related".split())   # hold articles that are not the page's
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_MODIFIERS = frozenset("free has hide is layout no not with without wrap wrapper".split())
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def _tokens(attributes: str) -> set[str]:
-    """Whole class, id and role tokens."""
-    return {w for m in _ATTRIBUTE.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+    """Whole class, id and role tokens, and the parts of those that hold no modifier."""
+    found = set()
+    for m in _ATTRIBUTE.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [w for w in re.split("[-_]+", token) if w]
+            found.update((token,) if _MODIFIERS.intersection(parts) else (token, *parts))
+    return found
 
 
-def lines_of(page: str | None) -> list[tuple[str, bool]]:
-    """(text, in a main element) of each candidate line of a page."""
+def lines_of(page: str | None) -> list[tuple[str, bool, bool]]:
+    """(text, in a main element, heading of one) of each candidate line of a page."""
     page = page or ""
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, bool, bool]] = []
     held: list[str] = []
     stack: list[tuple[str, int, int, int]] = []                # name; what it added to these three:
+    opened: dict[str, int] = {}                                # how many of a name are on the stack
     furniture = main = barred = 0                              # barred: no article in it is the page's
+    heading = False
 
     def flush():
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
             held.clear()
             if text and not furniture:
-                out.append((text, main > 0))
+                out.append((text, main > 0, heading and main > 0))
 
     at = 0
     while at < len(page):
@@ -98,13 +110,16 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
             continue
         if name in _BLOCKS:
             flush()
+            if name == "h1" or name in _BODY:
+                heading = name == "h1" and not m[1]
         if name not in _CONTAINERS or m[3].endswith("/"):
             continue
         if m[1]:
-            if any(s[0] == name for s in stack):
+            if opened.get(name):
                 flush()
                 while True:
                     top = stack.pop()
+                    opened[top[0]] -= 1
                     furniture -= top[1]
                     main -= top[2]
                     barred -= top[3]
@@ -115,7 +130,7 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
             in_main = bar = 0
             if name in _MAIN:
                 # An article in an article, or named as a comment, is not the page's own.
-                bar = int(bool(named & _OTHERS) or name == "article" and any(s[0] == name for s in stack))
+                bar = int(bool(named & _OTHERS) or name == "article" and bool(opened.get(name)))
                 in_main = int(not bar and not barred)
                 waste = -furniture if in_main else bar         # a wrapper's name does not hold for the text in it
             else:
@@ -125,6 +140,7 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
             if waste > 0:
                 flush()
             stack.append((name, waste, in_main, bar))
+            opened[name] = opened.get(name, 0) + 1
             furniture += waste
             main += in_main
             barred += bar
@@ -133,8 +149,19 @@ def lines_of(page: str | None) -> list[tuple[str, bool]]:
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence of the lines of both
-    (Hunt and Szymanski: longest increasing run of the matches)."""
+    """Positions in ``a`` of a longest common subsequence of the lines of both: equal
+    ends, and between them Hunt and Szymanski's longest increasing run of the matches."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    found = set(range(head)) | set(range(len(a) - tail, len(a)))
+    return found | {head + i for i in _matched(a[head:len(a) - tail], b[head:len(b) - tail])}
+
+
+def _matched(a: list[str], b: list[str]) -> set[int]:
     places: dict[str, list[int]] = {}
     for j, line in enumerate(b):
         places.setdefault(line, []).append(j)
@@ -156,18 +183,26 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def candidates(page: list[tuple[str, bool]]) -> list[str]:
+def candidates(page: list[tuple[str, bool, bool]]) -> list[str]:
     """The lines differencing decides: those in main elements if there are any."""
-    inside = [t for t, main in page if main]
-    return inside or [t for t, _ in page]
+    inside = [t for t, main, _ in page if main]
+    return inside or [t for t, _, _ in page]
+
+
+def headings(page: list[tuple[str, bool, bool]]) -> frozenset[str]:
+    """The page's own headings."""
+    return frozenset(t for t, _, heading in page if heading)
 
 
-def main_text(texts: list[str], neighbours: list[list[str]]) -> str:
-    """Text of a page's candidate lines, given the lines of its neighbours."""
-    gone: set[int] = set()
-    for other in neighbours:
-        gone |= common_lines(texts, other)
-    return "\n".join(t for i, t in enumerate(texts) if i not in gone)
+def main_text(texts: list[str], neighbours: list[list[str]], own: frozenset[str] = frozenset()) -> str:
+    """Text of a page's candidate lines, given the lines of its neighbours and its own
+    headings.  Beside two neighbours unlike each other, only what both share goes."""
+    shared = [common_lines(texts, other) for other in neighbours]
+    if len(shared) == 2 and neighbours[0] != neighbours[1]:
+        gone = shared[0] & shared[1]
+    else:
+        gone = set().union(*shared)
+    return "\n".join(t for i, t in enumerate(texts) if i not in gone or t in own)
 
 
 def _signatures(batches):
@@ -181,13 +216,13 @@ def _signatures(batches):
 
 def _extract(batches):
     names = ["id", "url", "text", "n_chars"]
-    place = left = texts = last = None          # of the run of copies that is open
+    place = left = texts = last = own = None    # of the run of copies that is open
     run: list[tuple] = []                       # (id, url) of its rows
     out: list[tuple] = []
 
     def close(right):
         if run:
-            text = main_text(texts, [p for p in (left, right) if p is not None])
+            text = main_text(texts, [p for p in (left, right) if p is not None], own)
             out.extend((key, url, text, len(text)) for key, url in run)
             run.clear()
 
@@ -204,17 +239,17 @@ def _extract(batches):
         for i in range(b.num_rows):
             bucket, host, side, key, url, page = (c[i].as_py() for c in cols)
             lines = lines_of(page)
-            mine, whole = candidates(lines), [t for t, _ in lines]
+            mine, whole = candidates(lines), [t for t, _, _ in lines]
             if not mine:
                 if side == 0:
                     out.append((key, url, "", 0))
             else:
                 if place != (bucket, host):
                     close(None)
-                    place, left, texts = (bucket, host), None, mine
+                    place, left, texts, own = (bucket, host), None, mine, headings(lines)
                 elif texts != mine:
                     close(whole)
-                    left, texts = last, mine
+                    left, texts, own = last, mine, headings(lines)
                 last = whole
                 if side == 0:
                     run.append((key, url))

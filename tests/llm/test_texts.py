@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -117,6 +118,64 @@ def test_differencing_decides_marked_text(spark):
     assert got["http://c.org/1"] == got["http://c.org/2"] and "Subscribe" in got["http://c.org/1"]
 
 
+def test_headings_and_near_copies_stay(spark):
+    def page(*lines, h1="Same title"):
+        return f"<article><h1>{h1}</h1>" + "".join(f"<p>{t}</p>" for t in lines) + "</article>"
+    pages = [(1, "http://a.org/1", page("one", "Subscribe")), (2, "http://a.org/2", page("Same title", "two", "Subscribe")),
+             (3, "http://a.org/3", page("three", "Subscribe")),
+             # b/2 and b/3 differ in one line of four
+             (4, "http://b.org/1", page("zero", "Subscribe", h1="A")), (5, "http://b.org/2", page("p", "q", "r", "Subscribe", h1="B")),
+             (6, "http://b.org/3", page("p", "Q", "r", "Subscribe", h1="B")), (7, "http://b.org/4", page("end", "Subscribe", h1="C"))]
+    got = {r.page_id: r.text for r in pagetext.main_texts(
+        spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Same title\none", 2: "Same title\nSame title\ntwo", 3: "Same title\nthree", 4: "A\nzero",
+                   5: "B\np\nq\nr", 6: "B\np\nQ\nr", 7: "C\nend"}
+
+
+def test_article_of_every_page_of_many(spark):
+    """On 2,500 pages no heading goes, nothing is added, and lines of an article go only where
+    both neighbours happen to hold them too (16 pages)."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    html = {r.page_id: r.html for r in pages.collect()}
+    wrong = []
+    for r in registry.op2_page_text(spark, "/root/testdata/sf0.1").collect():
+        article = re.search(r"<article>(.*?)(</article>|$)", html[r.page_id], re.S)[1]
+        blocks = re.split(r"</?(?:p|h1)>", article)
+        words = [" ".join(pagetext.html_lib.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in blocks]
+        words = [w for w in words if w]
+        lines = iter(words)
+        assert r.text.split("\n")[:1] == words[:1] and all(line in lines for line in r.text.split("\n"))
+        if r.text != "\n".join(words):
+            wrong.append(r.page_id)
+    assert len(wrong) <= 16
+
+
+def test_quotes_outside_values_are_no_quotes():
+    def text(page):
+        return pagetext.candidates(pagetext.lines_of(page))
+
+    assert text("Hello <a href=\"x\"\">link</a> world") == ["Hello link world"]
+    assert text("Hello <a title='it's'>link</a> world") == ["Hello link world"]
+    assert text("Hello <a title=\"it's > that\">link</a> world") == ["Hello link world"]
+    assert text("a <i data-x= '>' '>b</i>") == ["a b"]
+    assert text("<p>a</p><p title=\"open>b</p><p>c</p>") == ["a", "b", "c"]
+    assert text("<p data-class='footer'>a</p>") == ["a"]
+
+
+def test_parts_of_names_are_furniture():
+    for name in ("cookie-notice", "site-footer", "comment-list", "advert-box", "Ad-Banner", "social_links"):
+        page = f"<div class='x {name}'><p>waste</p></div><p>Text</p>"
+        assert pagetext.candidates(pagetext.lines_of(page)) == ["Text"]
+
+
+def test_long_pages_take_no_quadratic_time():
+    start = time.monotonic()
+    pagetext.lines_of("<div>" * 20_000 + "</p></section>" * 100_000 + "<a x=\"" + "'" * 2_000_000)
+    rows = ["cell"] * 20_000
+    assert len(pagetext.common_lines(["a", *rows, "b"], ["c", *rows, "cell", "b"])) <= 20_001
+    assert time.monotonic() - start < 60
+
+
 def test_names_of_wrappers_do_not_drop_articles():
     def text(page):
         return pagetext.candidates(pagetext.lines_of(page))
