@@ -18,11 +18,20 @@ from pyspark.sql import functions as F
 from featurescape.functions.numbers import (FALSE_TOKENS, NA_TOKENS, TRUE_TOKENS, is_number_text,
                                             to_number)
 from featurescape.operators.ids import ensure_id
+from featurescape.session import materialize
 from featurescape.sources.paths import children, exists
+from featurescape.sources.records import csv_records, spans_lines
 
 INT_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 
+UNSIGNED = str(2 ** 64 - 1)
+
+
+class RaggedRowError(ValueError):
+    """A row has more fields than the header."""
+
+
 class MissingInputError(FileNotFoundError):
     """SRC-2: the input path does not exist."""
 
@@ -54,35 +63,65 @@ def _check_input(spark: SparkSession, path: str) -> None:
         raise MissingInputError(f"no input file at {path}")
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, pandas NA tokens -> null, repeated headers
-    renamed like pandas."""
+CSV_OPTIONS = {"escape": '"', "nullValue": "\u0000__none__", "emptyValue": ""}
+
+
+def _csv_rows(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """Header, and the rows as ``_c0 .. _cn`` (one column more than the header, null unless
+    a row is too long) with their source file and block."""
+    if not spans_lines(spark, path):
+        first = spark.read.options(header=False, escape='"').csv(path).limit(1).collect()
+        if not first:
+            raise ValueError(f"no columns in {path}")
+        schema = ", ".join(f"_c{i} string" for i in range(len(first[0]) + 1))
+        raw = spark.read.schema(schema).options(**CSV_OPTIONS, header=True, mode="PERMISSIVE").csv(path)
+        return list(first[0]), raw.select("*", F.col("_metadata.file_path").alias("_src_file"),
+                                          F.col("_metadata.file_block_start").alias("_src_block"))
+    records = materialize(csv_records(spark, path).repartitionByRange("file", "rec").sortWithinPartitions("file", "rec"))
+    heads = records.groupBy("file").agg(F.min("rec").alias("rec"))
+    head = records.join(heads, ["file", "rec"]).orderBy("file").limit(1).select("record").first()["record"]
+    width = spark.range(1).select(F.size(F.split(F.lit(head), ",")).alias("n")).first()["n"]        # at least
+    names = list(_parsed(spark.range(1).select(F.lit(head).alias("record")), width).first())
+    while names and names[-1] is None:
+        names.pop()
+    rows = records.join(heads, ["file", "rec"], "left_anti")
+    rows = rows.repartitionByRange("file", "rec").sortWithinPartitions("file", "rec")
+    return names, _parsed(rows, len(names) + 1, F.col("file").alias("_src_file"),
+                          F.lit(0).cast("long").alias("_src_block"))
+
+
+def _parsed(records: DataFrame, width: int, *more) -> DataFrame:
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    return records.select(F.from_csv("record", schema, CSV_OPTIONS).alias("_r"), *more).select(
+        *[F.col(f"_r._c{i}").alias(f"_c{i}") for i in range(width)], *(["_src_file", "_src_block"] if more else []))
+
+
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
     _check_input(spark, path)
-    raw = (spark.read.option("header", True).option("inferSchema", False)
-                .option("mode", "PERMISSIVE").option("multiLine", False).option("escape", '"')
-                .option("nullValue", "\u0000__none__").option("emptyValue", "")
-                .csv(path))
-    header = spark.read.option("header", False).option("escape", '"').csv(path).limit(1).collect()
-    names = [h if h is not None else "" for h in header[0]] if header else raw.columns
-    names = _dedupe_headers([n if n != "" else f"Unnamed: {i}" for i, n in enumerate(names)])
-    width = len(raw.columns)
-    # source order for ID assignment: file and split of every row
-    tagged = raw.select("*", F.col("_metadata.file_path").alias("_src_file"),
-                        F.col("_metadata.file_block_start").alias("_src_block"))
-    renamed = tagged.toDF(*[f"_c{i}" for i in range(width)], "_src_file", "_src_block")
+    header, rows = _csv_rows(spark, path)
+    names = _dedupe_headers([n if n else f"Unnamed: {i}" for i, n in enumerate(header)])
     na = [F.lit(t) for t in NA_TOKENS]
     cols = [F.when(F.col(f"_c{i}").isin(*na) | F.col(f"_c{i}").isNull(), F.lit(None).cast("string"))
               .otherwise(F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)]
-    return renamed.select(*cols, "_src_file", "_src_block")
+    # source order for ID assignment: file and split of every row
+    return rows.select(*cols, "_src_file", "_src_block", F.col(f"_c{len(names)}").isNotNull().alias("_src_long"))
+
+
+def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as strings, pandas NA tokens -> null, repeated headers renamed like
+    pandas, quoted fields over line ends kept whole.  Short rows are filled with nulls;
+    what a row has beyond the header is left to :func:`read_table` to refuse."""
+    return _csv_text(spark, path).drop("_src_long")
 
 
 def _data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in ("_src_file", "_src_block")]
+    return [c for c in df.columns if c not in ("_src_file", "_src_block", "_src_long")]
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
     """One aggregate over all columns: a column is ``bigint`` if every value
-    is an integer and none is missing, ``double`` if every value is a number
+    is an integer and none is missing (beyond 64 bits ``decimal(20,0)`` while
+    an unsigned one would hold them, else text, missing values or not), ``double`` if every value is a number
     (ints with blanks widen), ``boolean`` if all are True/False spellings
     without blanks, else ``string`` (dates included)."""
     aggs = []
@@ -90,15 +129,23 @@ def infer_types(df: DataFrame) -> dict[str, str]:
         v = F.col(f"`{c}`")
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count_if(v.rlike(INT_PATTERN)).alias(f"i{i}"),
+                 F.count_if(v.rlike(INT_PATTERN) & F.trim(v).try_cast("bigint").isNull()).alias(f"w{i}"),
+                 F.count_if(F.trim(v).try_cast("decimal(38,0)").between(F.lit(0), F.lit(UNSIGNED).cast("decimal(38,0)"))
+                            ).alias(f"u{i}"),
                  F.count_if(is_number_text(v)).alias(f"d{i}"),
                  F.count_if(v.isin(*TRUE_TOKENS, *FALSE_TOKENS)).alias(f"b{i}")]
     aggs.append(F.count(F.lit(1)).alias("rows"))
-    row = df.agg(*aggs).collect()[0]
+    long = F.count_if(F.col("_src_long")) if "_src_long" in df.columns else F.lit(0)
+    row = df.agg(*aggs, long.alias("long")).collect()[0]
+    if row["long"]:
+        raise RaggedRowError(f"{row['long']} rows have more fields than the header")
     out = {}
     for i, c in enumerate(_data_columns(df)):
         n, ni, nd, nb, rows = row[f"n{i}"], row[f"i{i}"], row[f"d{i}"], row[f"b{i}"], row["rows"]
         if n == 0:
             out[c] = "double"  # all missing: pandas gives float64 NaN
+        elif ni == n and row[f"w{i}"]:
+            out[c] = "decimal(20,0)" if row[f"u{i}"] == n == rows else "string"
         elif ni == n and n == rows:
             out[c] = "bigint"
         elif nd == n:
@@ -122,6 +169,8 @@ def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
             cols.append(F.trim(v).try_cast("bigint").alias(c))
         elif t == "double":
             cols.append(to_number(v).alias(c))
+        elif t.startswith("decimal"):
+            cols.append(F.trim(v).try_cast(t).alias(c))
         elif t == "boolean":
             cols.append(v.isin(*TRUE_TOKENS).alias(c))
         else:
@@ -136,8 +185,8 @@ def read_table(spark: SparkSession, path: str, add_id: bool = True) -> DataFrame
     if path.endswith(".parquet") or any(f.endswith(".parquet") for f in children(spark, path)):
         df = spark.read.parquet(path)
     else:
-        text = read_csv_text(spark, path)
-        df = apply_types(text, infer_types(text))
+        text = _csv_text(spark, path)
+        df = apply_types(text, infer_types(text)).drop("_src_long")
     return ensure_id(df, keep_order_column=True) if add_id else df
 
 
