@@ -14,9 +14,14 @@ Scale notes
   count) rank with a per-feature window; large ones use the range
   partitioned global index of :mod:`featurescape.operators.ids` -- no single
   task ever sees a whole unbounded dictionary.
-* The dictionary is broadcast to the data only when its checked size is
-  below ``broadcast_rows``; otherwise it is a shuffle join that AQE can split
-  on skew.
+* Dictionaries are broadcast, smallest first, while each has at most
+  ``broadcast_rows`` rows and together they stay below ``broadcast_bytes``.  One
+  column beyond that is a shuffle join that AQE can split on skew.  Several are
+  coded in one keyed exchange: their cells (row, feature, value) meet the
+  dictionary together and the codes come back as one narrow row per item, so the
+  wide rows are shuffled once however many columns there are.  The rows are then
+  written first, so that their numbers hold; a stream, which cannot be, is joined
+  column by column.
 """
 
 from __future__ import annotations
@@ -36,6 +41,8 @@ TEXT_FILL = "0"
 
 NUMERIC_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double", "boolean")
 SMALL_DICTIONARY_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 48                  # what a dictionary row takes beside its value
 
 
 def is_numeric_type(dtype: str) -> bool:
@@ -56,6 +63,14 @@ def feature_columns(df: DataFrame, id_col: str = "ID") -> list[str]:
     return [c for c in df.columns if c != id_col and not is_internal(c)]
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, underlined until no column is called so (Spark ignores case)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def fill_number(c: Column) -> Column:
     """FE-1 for numbers: null and NaN -> 0, as double (booleans -> 0/1)."""
     return F.coalesce(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -86,6 +101,7 @@ class FeatureSpec:
     lo: float = 0.0
     hi: float = 0.0
     distinct: int = 0
+    size: int = 0               # bytes of its dictionary
 
 
 @dataclass
@@ -97,24 +113,53 @@ class EncodeModel:
     threshold: float = SMALL_VALUE_THRESHOLD
     broadcast_rows: int = BROADCAST_ROW_LIMIT
     passthrough: list[str] = field(default_factory=list)
+    broadcast_bytes: int = BROADCAST_BYTES
+
+    def _broadcast(self) -> set[str]:
+        """Ids of the features whose dictionaries are broadcast."""
+        found, total = set(), 0
+        for spec in sorted((s for s in self.features if s.kind == "text"), key=lambda s: s.size):
+            total += spec.size
+            if spec.distinct <= self.broadcast_rows and total <= self.broadcast_bytes:
+                found.add(spec.fid)
+        return found
+
+    def _coded_together(self, df: DataFrame, specs: list[FeatureSpec], code: dict[str, str]) -> DataFrame:
+        """``df`` with the code columns of ``specs``."""
+        row = free_name("_row", df.columns)
+        rows = materialize(df.withColumn(row, F.monotonically_increasing_id()))
+        cells = rows.select(row, F.explode(F.array(*[
+            F.struct(F.lit(s.fid).alias("feature_id"), fill_text(F.col(f"`{s.name}`")).alias("value"))
+            for s in specs])).alias("_cell")).select(row, "_cell.feature_id", "_cell.value")
+        coded = cells.join(self.dictionary.select("feature_id", "value", "code"), ["feature_id", "value"])
+        codes = coded.groupBy(row).agg(*[
+            F.max(F.when(F.col("feature_id") == s.fid, F.col("code"))).alias(code[s.fid]) for s in specs])
+        return rows.join(codes, row, "left").drop(row)
 
     def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         """ID + one normalised double column per feature (same names), plus
         the fitted passthrough columns and ``keep``."""
         out = df
         coded: dict[str, Column] = {}
+        small = self._broadcast()
+        code = {s.fid: free_name(f"_c{s.fid}", df.columns) for s in self.features}
+        large = [s for s in self.features if s.kind == "text" and s.fid not in small]
+        together = len(large) > 1 and not df.isStreaming
+        if together:
+            out = self._coded_together(out, large, code)
         for spec in self.features:
             c = F.col(f"`{spec.name}`")
             if spec.kind == "number":
                 v = minmax_expr(fill_number(c), spec.lo, spec.hi)
             else:
-                key, code = f"_v{spec.fid}", f"_c{spec.fid}"
-                d = (self.dictionary.where(F.col("feature_id") == spec.fid)
-                         .select(F.col("value").alias(key), F.col("code").alias(code)))
-                if spec.distinct <= self.broadcast_rows:
-                    d = F.broadcast(d)
-                out = out.join(d, fill_text(c) == F.col(key), "left")
-                v = minmax_expr(F.col(code).cast("double"), 0.0, float(max(spec.distinct - 1, 0)))
+                if spec.fid in small or not together:
+                    key = free_name(f"_v{spec.fid}", df.columns)
+                    d = (self.dictionary.where(F.col("feature_id") == spec.fid)
+                             .select(F.col("value").alias(key), F.col("code").alias(code[spec.fid])))
+                    if spec.fid in small:
+                        d = F.broadcast(d)
+                    out = out.join(d, fill_text(c) == F.col(f"`{key}`"), "left")
+                v = minmax_expr(F.col(f"`{code[spec.fid]}`").cast("double"), 0.0, float(max(spec.distinct - 1, 0)))
             coded[spec.name] = threshold_small(v, self.threshold)
         extra = [p for p in list(self.passthrough) + list(keep) if p in df.columns]
         extra = [F.col(f"`{p}`").alias(f"_keep_{p}") if p in {s.name for s in self.features} else F.col(f"`{p}`")
@@ -137,7 +182,10 @@ def build_dictionary(df: DataFrame, text: list[FeatureSpec],
         return empty, {}
     wide = df.select(*[fill_text(F.col(f"`{s.name}`")).alias(s.fid) for s in text])
     long = wide.unpivot([], [s.fid for s in text], "feature_id", "value").distinct()
-    sizes_rows = long.groupBy("feature_id").count().collect()  # one row per feature
+    sizes_rows = long.groupBy("feature_id").agg(F.count(F.lit(1)).alias("count"), F.sum(
+        F.octet_length("value") + ROW_BYTES).alias("size")).collect()  # one row per feature
+    for s in text:
+        s.size = next((int(r["size"]) for r in sizes_rows if r["feature_id"] == s.fid), 0)
     sizes = {r["feature_id"]: int(r["count"]) for r in sizes_rows}
     total = sum(sizes.values())
     if total <= small_rows:
@@ -157,7 +205,7 @@ def build_dictionary(df: DataFrame, text: list[FeatureSpec],
 
 def fit_encoder(df: DataFrame, id_col: str = "ID", threshold: float = SMALL_VALUE_THRESHOLD,
                 passthrough: tuple[str, ...] = ("_ord",),
-                broadcast_rows: int = BROADCAST_ROW_LIMIT) -> EncodeModel:
+                broadcast_rows: int = BROADCAST_ROW_LIMIT, broadcast_bytes: int = BROADCAST_BYTES) -> EncodeModel:
     """FE-6 fit: text (non-numeric) columns are label encoded, numbers
     (booleans included) filled with 0 and min-max normalised."""
     dtypes = dict(df.dtypes)
@@ -184,7 +232,7 @@ def fit_encoder(df: DataFrame, id_col: str = "ID", threshold: float = SMALL_VALU
     for s in text:
         s.distinct = sizes.get(s.fid, 0)
     return EncodeModel(id_col, specs, dictionary, threshold, broadcast_rows,
-                       [p for p in passthrough if p in df.columns])
+                       [p for p in passthrough if p in df.columns], broadcast_bytes)
 
 
 def encode_features(df: DataFrame, id_col: str = "ID", **kw) -> tuple[DataFrame, EncodeModel]:

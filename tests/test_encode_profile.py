@@ -191,3 +191,27 @@ def test_median_when_the_sketch_is_off(spark):
         stats = profile.basic_stats(num, ["a"])
         stats[0].bracket = bracket
         assert profile.exact_medians(num, stats) == {"1": 500.0}
+
+
+@pytest.mark.parametrize("options", [{"broadcast_rows": 0}, {"broadcast_bytes": 0}, {"broadcast_bytes": 260}])
+def test_large_text_columns_are_coded_in_one_exchange(spark, options):
+    rows = [(str(i % 7), f"v{i % 40:02d}" if i % 5 else None, "hot" if i % 3 else f"w{i}", float(i), f"{i % 2}", i)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "ID string, a string, b string, n double, _c1 string, _row long")
+    df = df.repartition(5)
+    want = sorted(map(tuple, encode.fit_encoder(df).transform(df).collect()))
+    model = encode.fit_encoder(df, **options)
+    coded = model.transform(df)
+    assert coded.columns == ["ID", "a", "b", "n", "_c1", "_row"]
+    assert sorted(map(tuple, coded.collect())) == want
+    assert model.transform(df.where("false")).collect() == []
+
+
+def test_wide_rows_move_once_however_many_text_columns(spark):
+    """Joins of the wide rows: one, beside the one of their cells with the dictionary."""
+    for columns in (3, 8):
+        df = spark.range(200).select(F.col("id").cast("string").alias("ID"), *[
+            F.concat(F.lit("v"), (F.col("id") * (i + 3) % 150).cast("string")).alias(f"t{i}") for i in range(columns)])
+        model = encode.fit_encoder(df, broadcast_bytes=0)
+        plan = model.transform(df)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 2
