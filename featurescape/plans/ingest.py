@@ -15,15 +15,22 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from featurescape.operators import encode, items, positions, profile
+from featurescape.operators.embed import neighbor_embedding
+from featurescape.session import materialize
 from featurescape.sources import interchange, snapshots
 from featurescape.sources.tables import read_table, with_id_path, write_table
 
 
 def prepare_dataset(spark: SparkSession, path: str, out_dir: str, date: _dt.date | None = None,
                     fmt: str = "parquet", write_with_id_csv: bool = False, pca: bool = True,
-                    dataset: str | None = None) -> DataFrame:
+                    dataset: str | None = None, neighbours: tuple[str, ...] = (), rounds: int = 30) -> DataFrame:
+    """Writes and commits the snapshot.  ``neighbours`` names the neighbour embeddings to
+    lay out as well, ``("umap", "tsne")`` for the complete set; they take ``rounds``
+    passes over the items each and are left to the caller for that.  Items that share
+    an id have one place there, that of the smallest features."""
     stem = dataset or re.sub(r"\.[^.]*$", "", os.path.basename(path.rstrip("/")))
     time, run = interchange.snapshot_time(date), snapshots.new_run()
     raw = read_table(spark, path)
@@ -46,6 +53,14 @@ def prepare_dataset(spark: SparkSession, path: str, out_dir: str, date: _dt.date
     pairs = positions.pair_positions(raw)
     if pairs is not None:
         sets.append(pairs)
+    if pairs is not None and neighbours:                 # positions the table brings are kept
+        given = {r[0] for r in pairs.select("algorithm").distinct().collect()}
+        neighbours = tuple(m for m in neighbours if m not in given)
+    if neighbours and len(proj.columns) >= 3:
+        names = [c for c in proj.columns if c != "ID"]
+        one = materialize(proj.groupBy("ID").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in names])).alias("_one"))
+                              .select("ID", "_one.*"))
+        sets += [neighbor_embedding(one, method=m, cols=names, rounds=rounds) for m in neighbours]
     for s in sets:
         interchange.write_positions(s.select("algorithm", "ID", "x", "y"), out_dir, stem, time, fmt, run=run)
     return snapshots.commit(spark, out_dir, stem, time, run)

@@ -43,6 +43,21 @@ def test_load_returns_all_parts(spark, tmpdir_fresh, fmt):
     assert snapshots.load(spark, files, "cars", "01011999") is None
 
 
+def test_neighbour_embeddings_in_a_snapshot(spark, tmpdir_fresh):
+    out, day = f"{tmpdir_fresh}/out", dt.date(2025, 7, 9)
+    path = os.path.join(tmpdir_fresh, "cars.csv")
+    with open(path, "w") as f:
+        f.write("id,hp,weight,tsne-x,tsne-y\n")
+        f.writelines(f"car{i % 25},{100 + i * 3},{1000 + (i * 37) % 400},{i},{-i}\n" for i in range(30))
+    files = prepare_dataset(spark, path, out, day, neighbours=("umap", "tsne"), rounds=2)
+    loaded = snapshots.load(spark, files, "cars")
+    rows = loaded.positions.collect()
+    assert loaded.algorithms == ("pca", "tsne", "umap")
+    assert sorted(r.ID for r in rows if r.algorithm == "umap") == sorted(f"car{i}" for i in range(25))
+    assert all(r.x == r.x and r.y == r.y for r in rows)
+    assert sorted(r.x for r in rows if r.algorithm == "tsne") == [float(i) for i in range(30)]     # as given
+
+
 def test_a_run_that_ends_half_way_stays_invisible(spark, tmpdir_fresh, monkeypatch):
     out, day = f"{tmpdir_fresh}/out", dt.date(2025, 7, 9)
     assert snapshots.catalogue(spark, out).collect() == []
