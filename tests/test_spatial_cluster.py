@@ -75,6 +75,14 @@ def test_radius_neighbors_equals_brute_force(spark):
     assert got == want
 
 
+def test_radius_neighbors_broadcasts_no_items(spark):
+    df = materialize(_frame(spark, [(float(i), 0.0) for i in range(50)]))
+    found = spatial.radius_neighbors(df, 1.0)
+    assert len(found.collect()) == 50 + 2 * 49
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
+
+
 def test_nearest_ties_first_and_strict_tolerance(spark):
     pts = [(0.0, 5.0), (0.0, -5.0), (5.0, 0.0)]
     df = _frame(spark, pts)
