@@ -11,12 +11,13 @@
 4. *Pruning.*  By the triangle inequality, a chunk whose band does not meet
    ``d(q, pivot) +- bound`` of any item of a query chunk holds none of its neighbours.
    That is decided on chunk numbers and bands alone; only the surviving pairs of
-   chunks are joined with vectors, about ``GROUP`` member chunks to a task's group.
+   chunks are met with vectors, in tiles of two blocks of bounded size.
 5. *Distances.*  A matrix product screens a pair of chunks; what may belong to the k
    nearest is recomputed exactly.  Ties go to the smaller id.
 
 The share of all pairs that was compared is logged.  On data without metric structure
-every chunk meets every other one: the work is quadratic then, groups stay bounded.
+every chunk meets every other one: the work is quadratic then, tiles stay bounded and
+a vector is sent once for each block.
 """
 
 from __future__ import annotations
@@ -30,10 +31,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from featurescape.operators.ids import with_global_index
 from featurescape.session import materialize
 
 CHUNK_BYTES = 1 << 20       # vectors of a chunk
-GROUP = 16                  # member chunks that a group compares with one query chunk
+GROUP = 16                  # member chunks that are compared with a query chunk at once
+BLOCKS = 8                  # blocks of chunks on either side of the tiles, at least
+BLOCK_BYTES = 32 << 20      # vectors of a block at most; a tile holds two blocks
 
 log = logging.getLogger(__name__)
 
@@ -180,27 +184,59 @@ def _pairs(chunks: DataFrame, pivots: Pivots, radii: dict, own_cell: bool) -> Da
     return materialize(reached.join(bands, "cell").where("hi >= a and lo <= z").select("q", "m"))
 
 
-def _compare(chunks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(q, at, src, dst, dist): at most k rows per item and group of member chunks."""
-    groups = pairs.groupBy("q").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("long").alias("groups"))
-    grouped = pairs.join(groups, "q").withColumn("part", F.pmod(F.xxhash64("m"), F.col("groups")))
-    members = grouped.join(chunks.select(F.col("chunk").alias("m"), F.col("n").alias("m_n"), F.col("ids").alias("m_ids"),
-                                         F.col("v").alias("m_v")), "m").select("q", "part", "m_n", "m_ids", "m_v")
-    asked = (chunks.select(F.col("chunk").alias("q"), "n", "ids", "v", "bound").join(groups, "q")
-             .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups"))
+def _blocks(chunks: DataFrame, side: int) -> DataFrame:
+    """(chunk, block): ``side`` chunks that follow each other are one block."""
+    at = with_global_index(chunks.select("chunk"), ["chunk"], "at")
+    return materialize(at.select("chunk", F.expr(f"at div {int(side)}").alias("block")))
+
+
+def _tile_best(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, members: list, k: int):
+    """(row of q, id, distance) of the k nearest among ``members``, pairs (vectors, ids)
+    taken ``GROUP`` at a time; what is found bounds the next ones."""
+    rows, names, dist = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+    bound = bound.copy()
+    for i in range(0, len(members), GROUP):
+        x = np.concatenate([v for v, _ in members[i:i + GROUP]])
+        ids = np.concatenate([n for _, n in members[i:i + GROUP]])
+        r, c, d = nearest_in(q, q_ids, bound, x, ids, k)
+        if len(rows):
+            r, found, d = np.concatenate([rows, r]), np.concatenate([names, ids[c]]), np.concatenate([dist, d])
+            name = np.empty(len(found), np.int64)
+            name[np.argsort(found, kind="stable")] = np.arange(len(found))
+            by = np.lexsort((name, d, r))
+            r, found, d = r[by], found[by], d[by]
+            best = np.arange(len(r)) - np.searchsorted(r, r) < k
+            rows, names, dist = r[best], found[best], d[best]
+        else:
+            rows, names, dist = r, ids[c], d
+        last = np.flatnonzero(np.arange(len(rows)) - np.searchsorted(rows, rows) == k - 1)
+        bound[rows[last]] = np.minimum(bound[rows[last]], dist[last])
+    return rows, names, dist
+
+
+def _compare(chunks: DataFrame, pairs: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """(q, at, src, dst, dist): at most k rows per item and block of member chunks.  Pairs
+    are met in tiles of a block of query chunks by one of member chunks, so a chunk's
+    vectors are sent once for each block it meets, not for each chunk."""
+    tiles = (pairs.join(blocks.toDF("q", "qb"), "q").join(blocks.toDF("m", "mb"), "m"))
+    wanted = tiles.groupBy("qb", "mb", "q").agg(F.collect_list("m").alias("wanted"))       # a block's chunks at most
+    asked = wanted.join(chunks.select(F.col("chunk").alias("q"), "n", "ids", "v", "bound"), "q")
+    members = tiles.select(F.col("qb").alias("tq"), F.col("mb").alias("tm"), "m").distinct().join(
+        chunks.select(F.col("chunk").alias("m"), F.col("n").alias("m_n"), F.col("ids").alias("m_ids"),
+                      F.col("v").alias("m_v")), "m")
 
     def nearest(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": [], "at": [], "src": [], "dst": [], "dist": []})
-        if not len(q) or not len(m):
-            return empty
-        row = q.iloc[0]
-        ids = np.array(row["ids"], dtype=object)
-        x = np.concatenate([_unpack(v, n) for v, n in zip(m["m_v"], m["m_n"])])
-        names = np.concatenate([np.array(i, dtype=object) for i in m["m_ids"]])
-        r, c, d = nearest_in(_unpack(row["v"], row["n"]), ids, np.frombuffer(row["bound"], np.float64), x, names, k)
-        return pd.DataFrame({"q": row["q"], "at": r, "src": ids[r], "dst": names[c], "dist": d})
-
-    return (asked.groupBy("q", "part").cogroup(members.groupBy("q", "part"))
+        held = {c: (_unpack(v, n), np.array(i, dtype=object))
+                for c, v, n, i in zip(m["m"], m["m_v"], m["m_n"], m["m_ids"])}
+        out = [pd.DataFrame({"q": [], "at": [], "src": [], "dst": [], "dist": []})] if not len(q) else []
+        for row in q.itertuples(index=False):
+            ids = np.array(row.ids, dtype=object)
+            r, names, d = _tile_best(_unpack(row.v, row.n), ids, np.frombuffer(row.bound, np.float64),
+                                     [held[c] for c in sorted(row.wanted)], k)
+            out.append(pd.DataFrame({"q": row.q, "at": r, "src": ids[r], "dst": names, "dist": d}))
+        return pd.concat(out)
+
+    return (asked.groupBy("qb", "mb").cogroup(members.groupBy("tq", "tm"))
             .applyInPandas(nearest, "q long, at int, src string, dst string, dist double"))
 
 
@@ -243,10 +279,12 @@ def knn_tables(pts: DataFrame, k: int, seed: int = 42, chunk_rows: int | None =
     dim = max(1, pivots.vectors.shape[1])
     chunk_rows = chunk_rows or max(128, min(2048, CHUNK_BYTES // (8 * dim)))
     chunks = _chunk_table(pts, pivots, k, chunk_rows)
+    few = -(-(n // chunk_rows + wanted) // BLOCKS)             # chunks in a block while the rows are few
+    blocks = _blocks(chunks, max(1, min(few, BLOCK_BYTES // (8 * dim * chunk_rows))))
     bands = chunks.groupBy("cell").agg(F.min("lo"), F.max("hi"), F.count(F.lit(1))).collect()    # a row per pivot
     radii = {r[0]: (r[1], r[2]) for r in bands}
     if any(r[3] > 1 for r in bands):               # first pass: the rest of the own cell
-        first = _compare(chunks, _pairs(chunks, pivots, radii, True), k)
+        first = _compare(chunks, _pairs(chunks, pivots, radii, True), blocks, k)
         chunks = _tightened(chunks, _best(first, k), k)
     pairs = _pairs(chunks, pivots, radii, False)
     sizes = chunks.select("chunk", F.col("n").cast("double").alias("n"))
@@ -254,5 +292,5 @@ def knn_tables(pts: DataFrame, k: int, seed: int = 42, chunk_rows: int | None =
                 .agg(F.sum(F.col("nq") * F.col("nm"))).first()[0] or 0.0)
     share = compared / (float(n) * float(n))
     log.info("kNN of %d items: %.1f %% of all pairs compared", n, 100 * share)
-    graph = _best(_compare(chunks, pairs, k), k)
+    graph = _best(_compare(chunks, pairs, blocks, k), k)
     return graph.select("src", "dst", F.col("rank").cast("int").alias("rank"), "dist"), share

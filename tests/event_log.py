@@ -10,12 +10,14 @@ class Stages(list):
     def __init__(self):
         super().__init__()
         self.scanned = []
+        self.written = 0
 
 
 @contextlib.contextmanager
 def tasks_of(spark, **conf):
     """Run a block under ``conf``; the list it yields is filled with, per stage, the
-    records that each task read from shuffles; its ``scanned`` has what tasks read from files."""
+    records that each task read from shuffles; its ``scanned`` has what tasks read from files,
+    its ``written`` the bytes written to shuffles."""
     group, before, found = uuid.uuid4().hex, {k: spark.conf.get(k, None) for k in conf}, Stages()
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -39,6 +41,7 @@ def tasks_of(spark, **conf):
             elif e["Event"] == "SparkListenerTaskEnd" and e["Stage ID"] in stages and e.get("Task Metrics"):
                 n = e["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"]
                 read.setdefault(e["Stage ID"], []).append(n)
+                found.written += e["Task Metrics"]["Shuffle Write Metrics"]["Shuffle Bytes Written"]
                 found.scanned.append(e["Task Metrics"]["Input Metrics"]["Records Read"])
     found += [r for r in read.values() if sum(r)]
 

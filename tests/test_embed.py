@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from event_log import tasks_of
 
 from featurescape.operators import embed, knn
+from featurescape.session import materialize
 
 
 def _brute(x, ids, k):
@@ -87,6 +89,16 @@ def test_knn_skips_chunks_of_far_clusters(spark):
     assert share < 0.25
 
 
+def test_knn_sends_a_vector_once_for_each_block(spark):
+    x = np.random.default_rng(3).normal(size=(1280, 64))
+    df = materialize(spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(x)], "id string, v array<double>"))
+    with tasks_of(spark) as stages:
+        graph, share = knn.knn_tables(df, 4, cells=2, chunk_rows=8)
+        assert graph.count() == 4 * 1280
+    assert share > 0.5
+    assert stages.written < 100 * x.nbytes, stages.written / x.nbytes
+
+
 def test_knn_of_few_items(spark):
     schema = "id string, v array<double>"
     assert knn.knn_tables(spark.createDataFrame([], schema), 3)[0].collect() == []
