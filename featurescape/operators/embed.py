@@ -7,7 +7,8 @@ iterations (structural parity only: the reference's coordinates come from
 seeded third-party solvers and cannot be reproduced):
 
 * affinities per source from its k distances (bounded lists), bandwidth by
-  bisection inside ``aggregate`` (JVM higher-order functions);
+  bisection: in ``aggregate`` for UMAP, for t-SNE's longer lists in NumPy, all
+  sources of a batch at once;
 * symmetrisation by a full outer join of (src, dst) with (dst, src);
 * layout: start from PCA, then rounds of each method's own forces
   (:mod:`featurescape.operators.layout`).
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,27 +82,45 @@ def umap_weights(knn: DataFrame, k: int) -> DataFrame:
     return _symmetrise(edges, lambda a, b: a + b - a * b)
 
 
+def _conditional(perplexity: float, iters: int = 32):
+    """(src, dst, w) of rows (src, e): conditional affinities of every source's list, the
+    bandwidths of a batch bisected together (as in :func:`_bisect`)."""
+    target = math.log(perplexity)
+
+    def run(batches):
+        for batch in batches:
+            lists, src = batch.column(1), batch.column(0)
+            if not len(src):
+                continue
+            entry = lists.flatten()
+            size = np.diff(lists.offsets.to_numpy())
+            first = np.cumsum(size) - size                     # no list is empty
+            d2 = entry.field("dist").to_numpy(zero_copy_only=False).astype(float) ** 2
+            lo, hi = np.full(len(src), 1e-6), np.full(len(src), 1e6)
+            with np.errstate(all="ignore"):
+                for _ in range(iters):
+                    s = np.sqrt(lo * hi)
+                    two_s2 = 2.0 * s * s
+                    p = np.exp(-d2 / np.repeat(two_s2, size))
+                    z = np.maximum(np.add.reduceat(p, first), 1e-300)
+                    score = np.log(z) + np.add.reduceat(d2 * p, first) / (two_s2 * z)
+                    high = (score > target) | np.isnan(score)  # NaN is the largest number in Spark
+                    lo, hi = np.where(high, lo, s), np.where(high, s, hi)
+                sigma = np.sqrt(lo * hi)
+                p = np.exp(-d2 / np.repeat(2 * sigma ** 2, size))
+                w = p / np.repeat(np.maximum(np.add.reduceat(p, first), 1e-300), size)
+            yield pa.RecordBatch.from_arrays(
+                [src.take(pa.array(np.repeat(np.arange(len(src)), size))), entry.field("dst"), pa.array(w)],
+                names=["src", "dst", "w"])
+    return run
+
+
 def tsne_weights(knn: DataFrame, perplexity: float, n: int) -> DataFrame:
     """Gaussian conditional affinities over squared distances with the
     bandwidth calibrated to the perplexity (entropy H = ln Z + beta * sum
     d^2 p equal to ln(perplexity), in nats), then (p + p^T) / 2n."""
     g = knn.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("e"))   # bounded by k
-    e = F.col("e")
-
-    def entropy(s):
-        two_s2 = F.lit(2.0) * s * s
-        z = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + F.exp(-(x["dist"] * x["dist"]) / two_s2))
-        sd = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x["dist"] * x["dist"]
-                         * F.exp(-(x["dist"] * x["dist"]) / two_s2))
-        zz = F.greatest(z, F.lit(1e-300))
-        return F.log(zz) + sd / (two_s2 * zz)
-    target = F.lit(math.log(perplexity))
-    g = g.withColumn("sigma", _bisect(entropy, target))
-    ex = g.select("src", "sigma", F.explode("e").alias("e"))
-    raw = ex.select("src", F.col("e.dst").alias("dst"),
-                    F.exp(-(F.col("e.dist") ** 2) / (2 * F.col("sigma") ** 2)).alias("p"))
-    tot = raw.groupBy("src").agg(F.sum("p").alias("z"))
-    cond = raw.join(tot, "src").select("src", "dst", (F.col("p") / F.greatest(F.col("z"), F.lit(1e-300))).alias("w"))
+    cond = g.mapInArrow(_conditional(perplexity), "src string, dst string, w double")
     return _symmetrise(cond, lambda a, b: (a + b) / (2.0 * n))
 
 

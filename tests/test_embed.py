@@ -76,6 +76,30 @@ def test_tsne_bandwidth_meets_perplexity(spark):
     assert abs(h - np.log(8.0)) < 1e-6
 
 
+def test_tsne_bandwidths_are_found_a_batch_at_once(spark):
+    rng = np.random.default_rng(4)
+    d = {f"s{i}": rng.uniform(0.0, 2.0, size=3 + i) for i in range(5)} | {"zero": np.zeros(6), "far": np.full(4, 1e9)}
+    knn = spark.createDataFrame([(s, f"{s}-{j}", j + 1, float(x)) for s, v in d.items() for j, x in enumerate(v)],
+                                "src string, dst string, rank int, dist double")
+    w = embed.tsne_weights(knn, perplexity=2.5, n=1)
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(sequence" not in plan.lower() and "lambda" not in plan.lower()
+    got = {(r["src"], r["dst"]): r["w"] for r in w.collect()}
+    for s, v in d.items():
+        lo, hi = 1e-6, 1e6
+        for _ in range(32):
+            sigma = np.sqrt(lo * hi)
+            p = np.exp(-v ** 2 / (2 * sigma ** 2))
+            z = max(p.sum(), 1e-300)
+            if np.log(z) + (v ** 2 * p).sum() / (2 * sigma ** 2 * z) > np.log(2.5):
+                hi = sigma
+            else:
+                lo = sigma
+        p = np.exp(-v ** 2 / (2 * lo * hi))
+        for j, x in enumerate(p / max(p.sum(), 1e-300)):
+            assert abs(got[s, f"{s}-{j}"] - x / 2) < 1e-12 and got[f"{s}-{j}", s] == got[s, f"{s}-{j}"]
+
+
 def test_knn_skips_chunks_of_far_clusters(spark):
     rng = np.random.default_rng(6)
     x = np.concatenate([c * 50 + rng.normal(size=(60, 5)) for c in rng.normal(size=(20, 5))])
