@@ -185,9 +185,11 @@ def _pairs(chunks: DataFrame, pivots: Pivots, radii: dict, own_cell: bool) -> Da
 
 
 def _blocks(chunks: DataFrame, side: int) -> DataFrame:
-    """(chunk, block): ``side`` chunks that follow each other are one block."""
+    """(chunk, qb, mb): ``side`` chunks that follow each other are one block of query
+    chunks, as many but at least ``GROUP`` one block of member chunks."""
     at = with_global_index(chunks.select("chunk"), ["chunk"], "at")
-    return materialize(at.select("chunk", F.expr(f"at div {int(side)}").alias("block")))
+    return materialize(at.select("chunk", F.expr(f"at div {int(side)}").alias("qb"),
+                                 F.expr(f"at div {max(int(side), GROUP)}").alias("mb")))
 
 
 def _tile_best(q: np.ndarray, q_ids: np.ndarray, bound: np.ndarray, members: list, k: int):
@@ -218,7 +220,8 @@ def _compare(chunks: DataFrame, pairs: DataFrame, blocks: DataFrame, k: int) ->
     """(q, at, src, dst, dist): at most k rows per item and block of member chunks.  Pairs
     are met in tiles of a block of query chunks by one of member chunks, so a chunk's
     vectors are sent once for each block it meets, not for each chunk."""
-    tiles = (pairs.join(blocks.toDF("q", "qb"), "q").join(blocks.toDF("m", "mb"), "m"))
+    tiles = (pairs.join(blocks.select(F.col("chunk").alias("q"), "qb"), "q")
+             .join(blocks.select(F.col("chunk").alias("m"), "mb"), "m"))
     wanted = tiles.groupBy("qb", "mb", "q").agg(F.collect_list("m").alias("wanted"))       # a block's chunks at most
     asked = wanted.join(chunks.select(F.col("chunk").alias("q"), "n", "ids", "v", "bound"), "q")
     members = tiles.select(F.col("qb").alias("tq"), F.col("mb").alias("tm"), "m").distinct().join(
