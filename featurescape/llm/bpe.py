@@ -18,7 +18,8 @@ A state's row (the arcs it lost) is what the gadgets leave of the arc set:
 All rows together hold about 70 million lost arcs for a 50k vocabulary, so
 the table is not written out: the gadgets are compiled into arrays, the spines of all
 tokens with the steps that merged their parts away, from which an arc is
-decided in a few look-ups.  The distinct pre-split words of a few MB of text are
+decided in a few look-ups.  The arrays are compiled once, in the driver, and workers
+get nothing else.  The distinct pre-split words of a few MB of text are
 encoded together: byte by byte, of the labels that end there the one is taken that has
 an arc from the state where it starts, which there is one of.  Very long words
 walk arcs one by one, longest label first, leaving positions known to lead
@@ -34,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -43,7 +45,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurescape.llm.common import HELD, enter, mix64, runs, slices, small_batches, strings, text_bytes
+from featurescape.llm.common import enter, mix64, runs, slices, small_batches, strings, text_bytes
 
 # The byte-level pre-split pattern of the public vocabulary.
 PRE_SPLIT = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
@@ -53,7 +55,8 @@ SHORT = (3, 2, 1)           # lengths that every start is tried with, longest fi
 DECODE_STEP = 1 << 18       # ids decoded at a time
 LONG_WORD = 48              # bytes; longer pre-split words are walked one by one
 SPECIAL = "\ud800"          # marks a special token among pre-split pieces: in no text
-STEP_BYTES = 2 << 20        # text whose distinct words are encoded together
+STEP_BYTES = 1 << 20        # text whose distinct words are encoded together
+LOOK_UPS = 1 << 16          # look-ups of lost arcs done at a time, one pair's at least
 _SPACE_BEFORE_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
@@ -124,17 +127,30 @@ class Automaton:
             alive = self.arc.get(self.label[u]) == u and self.arc.get(self.label[v]) == v
             if not (alive and self._arises(w)):
                 self.arc.pop(self.label[w], None)              # an arc that is never made
-        by_start: dict[bytes, set] = {}                        # lengths of labels by their first four bytes
-        for label in self.arc:
-            if len(label) > 3:
-                by_start.setdefault(label[:4], set()).add(len(label))
-        self.lengths = {start: (*sorted(found, reverse=True), *SHORT) for start, found in by_start.items()}
         self.table: dict[int, bool] = {}                       # state * size + token -> lost
         self._compile()
         emitted = dict(self.label) | {i: t.encode() for t, i in self.special.items()}
         self.emit_len = np.array([len(emitted.get(i, b"")) for i in range(self.size)], np.int64)
         self.emit_at = np.cumsum(self.emit_len) - self.emit_len
         self.emit = np.frombuffer(b"".join(emitted.get(i, b"") for i in range(self.size)), np.uint8)
+        self.arcs = np.array(sorted(self.arc.values()), np.int32)
+        # From here on the arrays say it all; objects would weigh on every worker.
+        del self.label, self.arc, self.made, self.step_of, self.spines
+
+    @cached_property
+    def arc(self) -> dict[bytes, int]:
+        """Tokens by their labels; only very long words ask for it."""
+        at, size, emit = self.emit_at[self.arcs].tolist(), self.emit_len[self.arcs].tolist(), self.emit.tobytes()
+        return {emit[i:i + n]: t for t, i, n in zip(self.arcs.tolist(), at, size)}
+
+    @cached_property
+    def lengths(self) -> dict[bytes, tuple]:
+        """Lengths of labels by their first four bytes, longest first."""
+        by_start: dict[bytes, set] = {}
+        for label in self.arc:
+            if len(label) > 3:
+                by_start.setdefault(label[:4], set()).add(len(label))
+        return {start: (*sorted(found, reverse=True), *SHORT) for start, found in by_start.items()}
 
     def _compile(self) -> None:
         """The tables that drive encoding: both spines of every token, the steps of all
@@ -147,7 +163,6 @@ class Automaton:
             self.spine_at.append(np.cumsum(n) - n)
             self.spine_token.append(np.array([x for e in every for x, _ in e], np.int64))
             self.spine_until.append(np.array([until for e in every for _, until in e], np.int64))
-        self.spines = ({}, {})
         keys = np.array(sorted(self.step_of), np.int64)
         self.merge_keys = np.append(keys, np.iinfo(np.int64).max)
         self.merge_steps = np.array([*[self.step_of[k] for k in keys.tolist()], self.never], np.int64)
@@ -175,8 +190,9 @@ class Automaton:
     def lost_many(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """:meth:`lost` of many pairs."""
         out = np.zeros(len(before), bool)
-        for i in range(0, len(before), 1 << 16):
-            u, t = before[i:i + (1 << 16)], token[i:i + (1 << 16)]
+        work = np.concatenate([[0], np.cumsum(self.spine_n[0][before] * self.spine_n[1][token])])
+        for i, j in slices(work, LOOK_UPS):
+            u, t = before[i:j], token[i:j]
             right, left = self.spine_n[0][u], self.spine_n[1][t]
             pair = np.repeat(np.arange(len(u)), right * left)
             k = runs(np.zeros(len(u), np.int64), right * left)
@@ -271,14 +287,7 @@ class Automaton:
     def lost(self, before: int, token: int) -> bool:
         """The state after ``before`` has no arc for ``token``: a gadget took it,
         or took the arc it is built on."""
-        step_of, never, left = self.step_of, self.never, self._spine(token, 0)
-        for x, x_until in self._spine(before, 1):
-            x *= self.size
-            for y, y_until in left:
-                step = step_of.get(x + y, never)
-                if step < x_until and step <= y_until:
-                    return True
-        return False
+        return bool(self.lost_many(np.array([before]), np.array([token]))[0])
 
     def encode_word(self, word: bytes) -> list[int]:
         """Path of the automaton that spells one pre-split word."""
@@ -316,7 +325,7 @@ class Automaton:
                 if not path:
                     raise ValueError(f"no path for {word[:40]!r}")
                 dead.add(at)
-                at -= len(self.label[path.pop()])
+                at -= int(self.emit_len[path.pop()])
                 k = tried.pop()
                 state = path[-1] * self.size if path else 0
         return path
@@ -461,24 +470,19 @@ class Encoder:
         return [hashlib.sha256(view[i:max(i, j - 1)]).hexdigest() for i, j in zip(at, at[1:])]
 
 
-_ENCODERS: dict[str, Encoder] = HELD.setdefault("bpe", {})
-
-
-def _encoder(path: str, shipped) -> Encoder:
-    """The worker's automaton for a vocabulary (built once per worker)."""
+def _encoder(shipped) -> Encoder:
+    """The encoder that came with a task; a worker keeps it as long as its broadcast."""
     enter("bpe")
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(parse_vocabulary(shipped.value))
-        enter("bpe")                               # what building it took goes back
-    return _ENCODERS[path]
+    return shipped.value
 
 
 def _ship(df: DataFrame, path: str):
-    # Bounded by the vocabulary (about 2 MB for 50k tokens), read by the driver alone.
-    load_vocabulary(path)                          # refused here rather than in a task
-    with open(path, "rb") as f:
-        return small_batches(df).sparkSession.sparkContext.broadcast(f.read())
+    # Bounded by the vocabulary (12 MB for 50k tokens), compiled by the driver alone.
+    encoder = Encoder(load_vocabulary(path))       # refused here rather than in a task
+    shipped = small_batches(df).sparkSession.sparkContext.broadcast(encoder)
+    del encoder
+    enter("bpe")                                   # what building it took goes back
+    return shipped
 
 
 def _parts(batches):
@@ -498,7 +502,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     shipped = _ship(df, path)
 
     def run(batches):
-        enc = _encoder(path, shipped)
+        enc = _encoder(shipped)
         for b in _parts(batches):
             ids, ends = enc.encode_batch(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids, ends)], names=["id", "ids"])
@@ -514,7 +518,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     shipped = _ship(df, path)
 
     def run(batches):
-        automaton = _encoder(path, shipped).automaton
+        automaton = _encoder(shipped).automaton
         for b in batches:
             texts = [automaton.decode(np.array(i or [], np.int64)).decode("utf-8", "replace")
                      for i in b.column(1).to_pylist()]
@@ -547,7 +551,7 @@ def _digested(df: DataFrame, path: str, id_col: str, text_col: str, with_ids: bo
     ids_name = "ids" if with_ids else "ids_sha256"
 
     def run(batches):
-        enc = _encoder(path, shipped)
+        enc = _encoder(shipped)
         for b in _parts(batches):
             ids, ends = enc.encode_batch(b.column(1))
             text_hash = []

@@ -1,8 +1,11 @@
 """Operators 1, 2, 3, 4, 7, 8, 10 and the pipeline against brute force."""
+import gc
 import hashlib
+import pickle
 import random
 import re
 import time
+import tracemalloc
 from collections import defaultdict
 
 import duckdb
@@ -305,6 +308,28 @@ def test_batches_of_texts_equal_single_texts():
     assert [a.tolist() for a in enc.encode_batch(pa.array([], pa.string()))] == [[], []]
 
 
+def test_workers_hold_little():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghiklmnoprstuvwy") for _ in range(rng.randint(2, 12))) for _ in range(60_000)]
+    texts = pa.array([" ".join(rng.choices(words, k=700)) for _ in range(500)])
+    vocabulary = bpe.load_vocabulary(VOCABULARY)
+    shipped = pickle.dumps(bpe.Encoder(vocabulary))
+    del vocabulary
+    gc.collect()
+    tracemalloc.start()
+    try:
+        enc = pickle.loads(shipped)                            # what a worker gets
+        batch = pa.RecordBatch.from_arrays([texts, texts], names=["id", "text"])
+        n = sum(len(enc.encode_batch(b.column(1))[0]) for b in bpe._parts([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 500 * 700 and len(shipped) < 16e6 and peak < 60e6
+    assert "arc" not in vars(enc.automaton)                    # no object for each token until a word is very long
+    word = "-" * 30 + "Donaudampfschiff" * 8
+    assert enc.encode(word) == Tokenizer.from_file(VOCABULARY).encode(word).ids
+
+
 # ---------------------------------------------------------------- personal data
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
             "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
