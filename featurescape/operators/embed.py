@@ -120,7 +120,8 @@ def tsne_weights(knn: DataFrame, perplexity: float, n: int) -> DataFrame:
     bandwidth calibrated to the perplexity (entropy H = ln Z + beta * sum
     d^2 p equal to ln(perplexity), in nats), then (p + p^T) / 2n."""
     g = knn.groupBy("src").agg(F.collect_list(F.struct("dst", "dist")).alias("e"))   # bounded by k
-    cond = g.mapInArrow(_conditional(perplexity), "src string, dst string, w double")
+    kind = dict(knn.dtypes)
+    cond = g.mapInArrow(_conditional(perplexity), f"src {kind['src']}, dst {kind['dst']}, w double")
     return _symmetrise(cond, lambda a, b: (a + b) / (2.0 * n))
 
 
@@ -155,18 +156,22 @@ def neighbor_embedding(df: DataFrame, method: str = "umap", k: int = DEFAULT_K,
         base = base.select("id", F.zip_with(F.zip_with("v", mv, lambda a, b: a - b), sv,
                                             lambda a, b: a / b).alias("v"))
     kk = k if method == "umap" else int(min(max(3 * perplexity, 1), max(n - 1, 1)))
-    knn = materialize(knn_graph(base, k=kk, id_col="id", vec_col="v", seed=seed))
-    w = umap_weights(knn, kk) if method == "umap" else tsne_weights(knn, perplexity, n)
-    w = materialize(w.where(F.col("w") > 0))
     init = pca_positions(base, vector_col="v", id_col="id")
     bnd = init.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
     start = init.select(F.col("ID").alias("id"), F.round(F.col("x") / bnd * 10, 6).alias("x"),
                         F.round(F.col("y") / bnd * 10, 6).alias("y"))
     pos = materialize(with_global_index(start, ["id"], "no"))
-    number = pos.select("id", "no")
-    edges = materialize(
-        w.join(number.toDF("src", "s"), "src").join(number.toDF("dst", "d"), "dst")
-         .select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"))
-    pos = umap_layout(pos, edges, n, rounds, seed=seed) if method == "umap" else \
+    # From here on an id is the first number it has, in id order; text is attached again at the end.
+    number = materialize(pos.groupBy(F.col("id").alias("name")).agg(F.min("no").alias("id")))
+    once = number.count() == n
+    numbered = base.join(number, F.col("name").eqNullSafe(base["id"])).select(number["id"], "v")
+    knn = materialize(knn_tables(numbered, kk, seed)[0])
+    w = umap_weights(knn, kk) if method == "umap" else tsne_weights(knn, perplexity, n)
+    edges = materialize(w.where(F.col("w") > 0))
+    if not once:                                               # an edge between all rows of its two ids
+        rows = pos.join(number, F.col("name").eqNullSafe(pos["id"])).select(number["id"], "no")
+        edges = materialize(edges.join(rows.toDF("src", "s"), "src").join(rows.toDF("dst", "d"), "dst")
+                            .select(F.col("s").alias("src"), F.col("d").alias("dst"), "w"))
+    out = umap_layout(pos, edges, n, rounds, seed=seed) if method == "umap" else \
         tsne_layout(pos, edges, rounds, levels=levels_for(n))
-    return pos.select(F.lit(method).alias("algorithm"), F.col("id").alias("ID"), "x", "y")
+    return out.select(F.lit(method).alias("algorithm"), F.col("id").alias("ID"), "x", "y")

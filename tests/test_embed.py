@@ -129,3 +129,44 @@ def test_knn_of_few_items(spark):
     assert knn.knn_tables(spark.createDataFrame([("a", [1.0])], schema), 3)[0].collect() == []
     two = knn.knn_tables(spark.createDataFrame([("a", [1.0]), ("b", [1.0])], schema), 3)[0].collect()
     assert sorted(map(tuple, two)) == [("a", "b", 1, 0.0), ("b", "a", 1, 0.0)]
+
+
+def test_knn_keeps_the_best_of_all_blocks_in_one_place(spark):
+    x = np.random.default_rng(5).normal(size=(960, 4))
+    df = materialize(spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>"))
+    k = 100
+    with tasks_of(spark) as stages:
+        graph, _ = knn.knn_tables(df, k, cells=1, chunk_rows=8)
+        rows = graph.collect()
+    assert len(rows) == 960 * k
+    read = max(sum(r) for r in stages)
+    assert read < 960 * k, read                    # no neighbour found is dealt out once more
+    got = {}
+    for r in rows:
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    want = _brute(x, [f"{i:04d}" for i in range(960)], k)
+    assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == want
+
+
+@pytest.mark.parametrize("scale,shift", [(1.0, 0.0), (1e-3, 1e6), (1e17, 0.0)])
+def test_knn_is_exact_where_single_precision_is_not(spark, scale, shift):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 5)) * scale + shift
+    x[100:] = x[:100] + rng.normal(size=(100, 5)) * scale * 1e-6          # near pairs
+    x[10] += 1e5 * scale
+    x[150:160] = x[50:60]                                                # ties
+    ids = [f"i{j:03d}" for j in range(len(x))]
+    df = spark.createDataFrame([(ids[j], x[j].tolist()) for j in range(len(x))], "id string, v array<double>")
+    got = {}
+    for r in knn.knn_tables(df, 6, cells=3, chunk_rows=16)[0].collect():
+        got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
+    assert {s: [d for _, d in sorted(v)] for s, v in got.items()} == _brute(x, ids, 6)
+
+
+def test_numbers_and_names_give_one_graph(spark):
+    x = np.random.default_rng(8).normal(size=(90, 3))
+    rows = [(i, f"n{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    both = spark.createDataFrame(rows, "no long, name string, v array<double>")
+    one, two = (sorted(map(tuple, knn.knn_tables(both.select(both[c].alias("id"), "v"), 5)[0].collect()))
+                for c in ("no", "name"))
+    assert [(f"n{a:03d}", f"n{b:03d}", r, d) for a, b, r, d in one] == two
